@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000     # a group above this size is never handled by one task
 LIST_ROWS = 100_000      # the longest list put into one row
 MAX_HOT = 10_000
-COARSE = 64              # quantile cuts of the order column
-FINE = 64                # equal-width steps between two cuts
+COARSE = 16              # quantile cuts of the order column
+FINE = 256               # equal-width steps between two cuts
 
 _HOT, _PARTS, _SLICE = "__hot", "__parts", "__slice"
 
@@ -62,36 +62,38 @@ def _mark(df: DataFrame, keys: Sequence[str], hot: list[tuple], rows: int) -> Da
     return marked.withColumn(_HOT, F.coalesce(_HOT, F.lit(0)))
 
 
-def _position_key(df: DataFrame, name: str) -> tuple[Column, bool]:
-    """A number that never falls as the column rises, and whether equal numbers mean equal values."""
+def _position_key(df: DataFrame, name: str) -> tuple[str, bool]:
+    """SQL of a number that never falls as the column rises; and whether equal numbers mean equal values."""
     kind = df.schema[name].dataType
-    c = F.col(name)
+    c = f"`{name}`"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")), True
+        return f"unix_micros(cast({c} as timestamp))", True
     if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("bigint"), True
+        return f"cast(unix_date({c}) as bigint)", True
     if isinstance(kind, T.StringType):
-        lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(lead, 16, 10).cast("bigint"), False
+        return f"cast(conv(rpad(hex(substring(encode({c}, 'UTF-8'), 1, 7)), 14, '0'), 16, 10) as bigint)", False
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return c.cast("bigint"), True
-    return c.cast("double"), isinstance(kind, (T.DoubleType, T.FloatType))
+        return f"cast({c} as bigint)", True
+    return f"cast({c} as double)", isinstance(kind, (T.DoubleType, T.FloatType))
 
 
-def _step_tree(v: Column, cuts: list, lo: int, hi: int) -> Column:
+def _number(v) -> str:
+    return f"{v}L" if isinstance(v, int) else f"{v!r}D"
+
+
+def _step_tree(v: str, cuts: list, lo: int, hi: int) -> str:
     """Index of ``v`` among the cuts: a balanced CASE, FINE steps inside each gap."""
     width = FINE + 1
     if lo == hi:
         if 0 < lo < len(cuts):
             gap = float(cuts[lo] - cuts[lo - 1])
-            part = (v - F.lit(cuts[lo - 1])).cast("double") / F.lit(gap) * F.lit(float(FINE))
-            return F.lit(lo * width) + F.least(F.lit(FINE - 1), part.cast("int"))
-        return F.lit(lo * width)
+            part = f"cast(({v} - {_number(cuts[lo - 1])}) / {gap!r}D * {FINE} as int)"
+            return f"{lo * width} + least({FINE - 1}, {part})"
+        return f"{lo * width}"
     mid = (lo + hi) // 2
-    at = F.lit(cuts[mid])
-    return (F.when(v < at, _step_tree(v, cuts, lo, mid))
-            .when(v == at, F.lit(mid * width + FINE))
-            .otherwise(_step_tree(v, cuts, mid + 1, hi)))
+    at = _number(cuts[mid])
+    return (f"case when {v} < {at} then {_step_tree(v, cuts, lo, mid)} when {v} = {at} then {mid * width + FINE} "
+            f"else {_step_tree(v, cuts, mid + 1, hi)} end")
 
 
 def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int]:
@@ -101,31 +103,27 @@ def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int]:
     whole quantiles is cut further by the next column.
     """
     keys = [_position_key(df, _name(o)) for o in order]
-    grid = [i / COARSE for i in range(1, COARSE)]
-    found = df.agg(*[F.percentile_approx(k, grid, 10_000).alias(f"c{i}")
-                     for i, (k, _) in enumerate(keys)]).first()
-    step, size = F.lit(0), 1
-    inside = F.lit(True)
+    grid = ", ".join(repr(i / COARSE) for i in range(1, COARSE))
+    found = df.selectExpr(*[f"percentile_approx({k}, array({grid}), 10000) as c{i}"
+                            for i, (k, _) in enumerate(keys)]).first()
+    step, size, inside = "0L", 1, []
     for i, (key, exact) in enumerate(keys):
         raw = [v for v in (found[i] or []) if v == v]
         cuts = sorted(set(raw))
         if not cuts:
             break
         own = (len(cuts) + 1) * (FINE + 1)
-        index = F.when(key.isNull(), F.lit(-1)).otherwise(_step_tree(key, cuts, 0, len(cuts)))
-        if order[i].startswith("-"):
-            index = F.lit(own) - index
-        else:
-            index = index + 1
-        step = step * (own + 2) + F.when(inside, index).otherwise(0)
+        index = f"case when {key} is null then -1 else {_step_tree(key, cuts, 0, len(cuts))} end"
+        index = f"{own} - ({index})" if order[i].startswith("-") else f"1 + ({index})"
+        if inside:
+            index = f"case when {' and '.join(inside)} then {index} else 0 end"
+        step = f"({step}) * {own + 2} + ({index})"
         size *= own + 2
         frequent = [v for v in cuts if raw.count(v) > 1]
-        if not exact or not frequent:
+        if not exact or not frequent or size > 10_000_000:
             break
-        inside = inside & F.coalesce(key.isin(frequent), F.lit(False))
-        if size > 10_000_000:
-            break
-    return step.cast("bigint"), size
+        inside.append(f"coalesce({key} in ({', '.join(map(_number, frequent))}), false)")
+    return F.expr(step), size
 
 
 @dataclass
@@ -142,23 +140,27 @@ class Spread:
         by = [*self.keys, _SLICE] if self.sliced else self.keys
         return Window.partitionBy(*by).orderBy(*sort_columns(self.order))
 
-    def before(self, total: Column) -> DataFrame:
-        """Per (hot group, slice): the total of all earlier slices of that group.
+    def before(self, total: Column, fold) -> DataFrame:
+        """Per (hot group, slice): the totals of all earlier slices of that group, folded.
 
         At most MAX_HOT + rows/HOT_ROWS lines, whatever the number of keys.
         """
         sums = (self.df.where(F.col(_HOT) > 0).groupBy(_HOT, _SLICE)
                 .agg(total.alias("__total")))
         earlier = Window.partitionBy(_HOT).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(_HOT, _SLICE, F.sum("__total").over(earlier).alias("__before"))
+        return sums.select(_HOT, _SLICE, fold("__total").over(earlier).alias("__before"))
 
-    def carry(self, out: DataFrame, total: Column, name: str) -> DataFrame:
+    def carry(self, out: DataFrame, total: Column, fold, join) -> DataFrame:
+        """Bring the totals of earlier slices in; ``join`` gives the columns to set."""
         if not self.sliced:
             return out
-        side = F.broadcast(self.before(total))
-        return (out.join(side, [_HOT, _SLICE], "left")
-                .withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0)))
-                .drop("__before"))
+        side = F.broadcast(self.before(total, fold))
+        out = out.join(side, [_HOT, _SLICE], "left")
+        return out.withColumns(join(F.col("__before"))).drop("__before")
+
+    def add(self, out: DataFrame, total: Column, name: str) -> DataFrame:
+        return self.carry(out, total, F.sum,
+                          lambda before: {name: F.col(name) + F.coalesce(before, F.lit(0))})
 
     def clean(self, out: DataFrame) -> DataFrame:
         return out.drop(_HOT, _PARTS, _SLICE)
@@ -188,7 +190,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     """``row_number()`` from 1 per key (or over the whole table when there is no key)."""
     s = spread(df, keys, order, rows)
     out = s.df.withColumn(name, F.row_number().over(s.window).cast("bigint"))
-    return s.clean(s.carry(out, F.count(F.lit(1)), name))
+    return s.clean(s.add(out, F.count(F.lit(1)), name))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
@@ -197,7 +199,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     s = spread(df, keys, order, rows)
     frame = s.window.rowsBetween(Window.unboundedPreceding, 0)
     out = s.df.withColumn(name, F.sum(value).over(frame))
-    return s.clean(s.carry(out, F.sum(value), name))
+    return s.clean(s.add(out, F.sum(value), name))
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                 rows: int = HOT_ROWS) -> DataFrame:
+    """Replace a null ``value`` by the last one before it in the key."""
+    s = spread(df, keys, order, rows)
+    frame = s.window.rowsBetween(Window.unboundedPreceding, 0)
+    out = s.df.withColumn(value, F.last(value, ignorenulls=True).over(frame))
+    if s.sliced:
+        at = F.struct(*[F.col(_name(o)) for o in order])
+        pick = F.min_by if order[0].startswith("-") else F.max_by
+        if len({o.startswith("-") for o in order}) > 1:
+            raise ValueError("fill_forward needs one direction for all order columns")
+        total = pick(F.col(value), F.when(F.col(value).isNotNull(), at))
+        out = s.carry(out, total, lambda c: F.last(c, ignorenulls=True),
+                      lambda before: {value: F.coalesce(F.col(value), before)})
+    return s.clean(out)
 
 
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0,
@@ -299,9 +318,13 @@ def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool],
         F.flatten(F.transform(
             F.sort_array(F.collect_list(F.when(F.col("__c") == c, F.col("__piece")))),
             lambda p: F.array_repeat(p["__v"], p["len"]))).alias(c) for c in lists])
-    side = F.broadcast(totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n_rows"))
+    totals = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n_rows")
     match = F.lit(True)
     for i, k in enumerate(keys):
-        match = match & parts[k].eqNullSafe(side[f"__k{i}"])
-    parts = parts.join(side, match).select(*keys, "part_no", "n_rows", *lists)
+        match = match & parts[k].eqNullSafe(totals[f"__k{i}"])
+    empty = F.array().cast("array<string>")
+    parts = totals.join(parts, match, "left").select(
+        *[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)],
+        F.coalesce("part_no", F.lit(0)).alias("part_no"), "n_rows",
+        *[F.coalesce(c, empty).alias(c) for c in lists])
     return out.unionByName(parts)
