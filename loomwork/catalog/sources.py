@@ -91,10 +91,13 @@ CONFIG_SQL = """
     c as (select doc_id, line_no, string_split(raw, ' ')[1] as head, raw from l),
     d as (select doc_id, line_no, case when length(head) >= 6 then head end as own,
                  head as key, substr(raw, length(head) + 2) as value from c),
-    e as (select *, last_value(own ignore nulls) over (partition by doc_id order by line_no
-                 rows between unbounded preceding and current row) as section from d)
-    select doc_id, section, trim(key) as key, trim(arg_max(value, line_no)) as value
-    from e where own is null and section is not null group by doc_id, section, trim(key)"""
+    e as (select *, coalesce(last_value(own ignore nulls) over w, 'default') as section,
+                 coalesce(last_value(case when own is not null then line_no end ignore nulls) over w, -1) as since
+          from d window w as (partition by doc_id order by line_no rows between unbounded preceding and current row)),
+    f as (select doc_id, own, max(line_no) as renewed from d where own is not null group by doc_id, own)
+    select e.doc_id, section, trim(key) as key, trim(arg_max(value, line_no)) as value
+    from e left join f on e.doc_id = f.doc_id and e.section = f.own
+    where e.own is null and (renewed is null or since = renewed) group by e.doc_id, section, trim(key)"""
 
 
 @query("section_config", CONFIG_SQL)

@@ -31,16 +31,21 @@ def at_least(log: DataFrame, level: str) -> DataFrame:
 def parse_sections(lines: DataFrame, file: str) -> DataFrame:
     """Lines ``(file, line_no, line)`` to ``(file, section, key, value)``.
 
-    A header ``[name]`` holds until the next one; of a key given twice in a
-    section the later line wins; lines before the first header are left out.
+    A header ``[name]`` holds until the next one; lines before any header are
+    in section ``default``. A header given again empties its section; of a key
+    given twice in a section the later line wins.
     """
-    line = F.trim("line")
-    header = F.regexp_extract(line, r"^\[(.*)\]$", 1)
-    rows = lines.select(file, "line_no", line.alias("line"),
-                        F.when(line.rlike(r"^\[.*\]$"), header).alias("section"))
-    rows = fill_forward(rows, [file], ["line_no"], "section")
-    rows = rows.where(F.col("section").isNotNull() & F.col("line").contains("=")
-                      & ~F.col("line").rlike(r"^\[.*\]$"))
+    rows = lines.select(file, "line_no", F.trim("line").alias("line"))
+    is_header = F.col("line").startswith("[") & F.col("line").endswith("]")
+    name = F.expr("substring(line, 2, greatest(length(line) - 2, 0))")
+    rows = rows.withColumn("head", F.when(is_header, F.struct(name.alias("section"), F.col("line_no").alias("at"))))
+    renewed = (rows.where("head is not null").groupBy(file, F.col("head.section").alias("section"))
+               .agg(F.max("line_no").alias("renewed")))
+    rows = fill_forward(rows.withColumn("is_header", is_header), [file], ["line_no"], "head")
     pair = F.split("line", "=", 2)
-    return (rows.groupBy(file, "section", F.trim(pair[0]).alias("key"))
-            .agg(F.max_by(F.trim(pair[1]), "line_no").alias("value")))
+    entries = (rows.where(~F.col("is_header") & F.col("line").contains("="))
+               .select(file, "line_no", F.coalesce("head.section", F.lit("default")).alias("section"),
+                       F.coalesce("head.at", F.lit(-1)).alias("at"),
+                       F.trim(pair[0]).alias("key"), F.trim(pair[1]).alias("value")))
+    entries = entries.join(renewed, [file, "section"], "left").where("renewed is null or at = renewed")
+    return entries.groupBy(file, "section", "key").agg(F.max_by("value", "line_no").alias("value"))
