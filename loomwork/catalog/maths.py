@@ -9,7 +9,7 @@ c = F.col
 
 
 @query("vector_dot", """
-    with e as (select vec_id, list_transform(embedding, x -> x::double) as a, list_reverse(list_transform(embedding, x -> x::double)) as b from embeddings)
+    with e as (select vec_id, embedding::double[] as a, list_reverse(embedding::double[]) as b from embeddings)
     select vec_id, round(list_inner_product(a, b), 4) + 0.0 as dot, round(sqrt(list_inner_product(a, a)), 4) as size, round(list_distance(a, b), 4) as apart from e""")
 def vector_dot(t):
     a, b = c("embedding"), F.reverse("embedding")

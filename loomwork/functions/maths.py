@@ -39,12 +39,12 @@ def floor_mod(a: Column, b) -> Column:
 
 
 def wrap_unsigned(value: Column, bits: int) -> Column:
-    size = F.lit(2 ** bits).cast("decimal(38,0)")
+    size = F.lit(str(2 ** bits)).cast("decimal(38,0)")
     return F.pmod(value.cast("decimal(38,0)"), size)
 
 
 def wrap_signed(value: Column, bits: int) -> Column:
-    size, half = (F.lit(2 ** n).cast("decimal(38,0)") for n in (bits, bits - 1))
+    size, half = (F.lit(str(2 ** n)).cast("decimal(38,0)") for n in (bits, bits - 1))
     low = wrap_unsigned(value, bits)
     return F.when(low >= half, low - size).otherwise(low)
 

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from loomwork.operators.hot import collect_values, running_sum
 
 
-def rollup_text(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], sep: str = ",", **more) -> DataFrame:
+def rollup_text(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], more: Sequence[Column] = (),
+                sep: str = ",", **options) -> DataFrame:
     """Per key the row count and the sorted values of some text columns, joined.
 
     True in ``lists`` means distinct values. One row per key; a key with more
     than ``per_row`` values goes on in further parts (``part_no``).
     """
-    rows = collect_values(df, keys, lists, **more)
-    return rows.select(*keys, "part_no", "n_rows", *[F.array_join(c, sep).alias(c) for c in lists])
+    rows = collect_values(df, keys, lists, more, **options)
+    return rows.withColumns({c: F.array_join(c, sep) for c in lists})
 
 
 def mean_or_zero(value: Column) -> Column:

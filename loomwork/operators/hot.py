@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000     # a group above this size is never handled by one task
+WHOLE_ROWS = 100_000     # a whole table up to this size is numbered by one sort
 LIST_ROWS = 100_000      # the longest list put into one row
 MAX_HOT = 10_000
 COARSE = 16              # quantile cuts of the order column
@@ -138,6 +139,8 @@ class Spread:
     @property
     def window(self):
         by = [*self.keys, _SLICE] if self.sliced else self.keys
+        if not by:
+            return Window.orderBy(*sort_columns(self.order))
         return Window.partitionBy(*by).orderBy(*sort_columns(self.order))
 
     def before(self, total: Column, fold) -> DataFrame:
@@ -169,8 +172,10 @@ class Spread:
 def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = HOT_ROWS) -> Spread:
     keys, order = list(keys), list(order)
     if not keys:
-        # the whole table is one group: always sliced
+        # the whole table is one group: sliced unless it was counted and found small
         n = df.count()
+        if n <= min(rows, WHOLE_ROWS):
+            return Spread(df, keys, order, False)
         least = df.sparkSession.sparkContext.defaultParallelism
         step, size = _steps(df, order)
         parts = max(least, -(-n // rows))
@@ -275,35 +280,34 @@ def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
             .select(*keys, "part_no", F.col("__l.__v").alias("items")))
 
 
-def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool],
+def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], more: Sequence[Column] = (),
                    per_row: int = LIST_ROWS) -> DataFrame:
-    """Several sorted lists per key in one pass: ``(key..., part_no, n_rows, <column>...)``.
+    """Several sorted lists per key in one pass: ``(key..., part_no, n_rows, <more>..., <column>...)``.
 
     ``lists`` maps a text column to True for a set, False for a list that keeps
     duplicates; nulls are left out. ``n_rows`` is the row count of the whole
-    key. Parts as in ``collect_ordered``.
+    key; ``more`` adds aggregates of it. Parts as in ``collect_ordered``.
     """
     keys = list(keys)
+    count = F.count(F.lit(1)).alias("n_rows")
     hot = hot_groups(df, keys, per_row)
     plain, heavy = df, None
     if hot:
         marked = _mark(df, keys, hot, per_row)
         plain = marked.where(F.col(_HOT) == 0).drop(_HOT, _PARTS)
         heavy = marked.where(F.col(_HOT) > 0).drop(_HOT, _PARTS)
-    out = (plain.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.sort_array(F.collect_set(c) if distinct else F.collect_list(c)).alias(c)
-          for c, distinct in lists.items()])
-        .select(*keys, F.lit(0).cast("bigint").alias("part_no"), "n_rows", *lists))
+    out = plain.groupBy(*keys).agg(
+        count, *more, *[F.sort_array(F.collect_set(c) if distinct else F.collect_list(c)).alias(c)
+                        for c, distinct in lists.items()])
+    facts = [c for c in out.columns if c not in keys and c not in lists]
+    out = out.select(*keys, F.lit(0).cast("bigint").alias("part_no"), *facts, *lists)
     if heavy is None:
         return out
     # run lengths: one line per distinct value, so a hot key shrinks before any shuffle
     pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in lists)
     runs = (heavy.select(*keys, F.expr(f"stack({len(lists)}, {pairs}) as (__c, __v)"))
             .groupBy(*keys, "__c", "__v").agg(F.count(F.lit(1)).alias("__n")))
-    first = next(iter(lists))
-    totals = (runs.where(F.col("__c") == first).groupBy(*keys)
-              .agg(F.sum("__n").alias("n_rows")))  # one line per hot key
+    totals = heavy.groupBy(*keys).agg(count, *more)  # one line per hot key
     sets = F.array(*[F.lit(c) for c, distinct in lists.items() if distinct]).cast("array<string>")
     runs = (runs.where("__v is not null")
             .withColumn("__n", F.when(F.array_contains(sets, F.col("__c")), F.lit(1)).otherwise(F.col("__n"))))
@@ -318,13 +322,13 @@ def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool],
         F.flatten(F.transform(
             F.sort_array(F.collect_list(F.when(F.col("__c") == c, F.col("__piece")))),
             lambda p: F.array_repeat(p["__v"], p["len"]))).alias(c) for c in lists])
-    totals = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "n_rows")
+    totals = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *facts)
     match = F.lit(True)
     for i, k in enumerate(keys):
         match = match & parts[k].eqNullSafe(totals[f"__k{i}"])
     empty = F.array().cast("array<string>")
     parts = totals.join(parts, match, "left").select(
         *[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)],
-        F.coalesce("part_no", F.lit(0)).alias("part_no"), "n_rows",
+        F.coalesce("part_no", F.lit(0)).alias("part_no"), *facts,
         *[F.coalesce(c, empty).alias(c) for c in lists])
     return out.unionByName(parts)
