@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from loomwork.operators.aggregates import to_wide
 from loomwork.operators.changes import odometer
 from loomwork.operators.hot import numbered
-from loomwork.operators.windows import keep_first
 from loomwork.plans.rules import Rule, first_rule
+from loomwork.sources.tables import staged
 
 # Product, bandwidths, types and result texts.
 FTTP = "Generic Ethernet Access - FTTP"
@@ -90,7 +90,7 @@ def gather_facts(requests: DataFrame, units: DataFrame, ports: DataFrame, addres
     exchange = to_wide(exchange_params, "exchange", "name", "value", ["ONTmodel", "XGS_Enabled", "L2SManufacturer"])
     behaviour = (order_params.where("name = 'OrderBehaviour'").groupBy("order_number")
                  .agg(F.max("value").alias("behaviour")))
-    known = order_params.select(F.col("order_number").alias("inflight")).distinct().withColumn("__known", F.lit(True))
+    known = order_params.select(F.col("order_number").cast("string").alias("inflight")).distinct().withColumn("__known", F.lit(True))
     place = addresses.groupBy("address_key").agg(F.max("exchange").alias("exchange"))
     out = (out.join(port_facts, "serial", "left").join(unit_facts, "serial", "left")
            .join(place, "address_key", "left").join(exchange, "exchange", "left")
@@ -135,6 +135,13 @@ def with_new_serials(decided: DataFrame, prefix: str = "ALCLF101", letters: str
     return decided.join(swaps, "order_number", "left")
 
 
+def check_orders(requests: DataFrame, units: DataFrame, ports: DataFrame, addresses: DataFrame, exchange_params: DataFrame,
+                 order_params: DataFrame, switch_on: bool) -> DataFrame:
+    """All requests with decision, swap and new serial. Facts and decisions are staged: several steps read them."""
+    facts = staged(gather_facts(requests, units, ports, addresses, exchange_params, order_params, switch_on), "order_facts")
+    return with_new_serials(staged(decide(facts), "order_decisions"))
+
+
 def result_rows(decided: DataFrame) -> DataFrame:
     """One row per request: serial, reason, code, lookup key and (when accepted) the reference."""
     return decided.select(
@@ -165,12 +172,11 @@ def change_set(decided: DataFrame, units: DataFrame, ports: DataFrame, run_ts: s
                          F.when(F.lit(action) != "delete", "I").alias("status"))
 
     order, new = F.col("order_number"), F.col("new_serial")
-    box_units = box.join(by_serial, "serial", "left")
+    # units are found by reference, so a request without one changes no unit
+    box_units = box.where("coalesce(reference, '') <> ''").join(by_serial, "serial", "left")
     box_ports = box.join(ports.select("serial", "port", "port_type", F.col("service_id").alias("port_service")), "serial")
-    first = keep_first(box_ports.select("order_number", "port", "port_type", "port_service"), ["order_number"],
-                       ["port", "port_type", "port_service"]).select("order_number", F.struct("port", "port_type", "port_service").alias("__first"))
-    box_ports = box_ports.join(first, "order_number").withColumn(
-        "__stays", ~F.col("prunes_ports") | (F.struct("port", "port_type", "port_service") == F.col("__first")))
+    box_ports = numbered(box_ports, ["order_number"], ["port", "port_type", "port_service"], "__rn")
+    box_ports = box_ports.withColumn("__stays", ~F.col("prunes_ports") | (F.col("__rn") == 1))
     old_ports = xgs.join(ports.select("serial", "port"), "serial")
     return (rows(box_units, "units", "update", new, nothing, F.coalesce(new_type, F.col("old_type")), nothing, order,
                  F.when(new_type.isNotNull(), F.lit(run_ts)))

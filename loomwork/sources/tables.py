@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators.hot import numbered
+from loomwork.session import fresh_path
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -32,6 +33,15 @@ def create_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder once and go on from the table.
+
+    For a result that several later steps read: it is computed once, the plan
+    stays short, and a lost executor re-reads files instead of redoing joins.
+    """
+    return create_table(df, fresh_path(df.sparkSession, name))
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
