@@ -6,6 +6,8 @@ derived tables grow with them.
 
 from __future__ import annotations
 
+from loomwork.catalog import delay_data
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 SQL = {
@@ -55,15 +57,26 @@ SQL = {
         from {orders} where o_orderkey % 9 = 0""",
 }
 
+SQL |= delay_data.SQL
+
 
 def duck(*names: str) -> str:
     """``name as (query)`` entries for a DuckDB WITH clause."""
     at = {t: t for t in TABLES}
-    return ", ".join(f"{n} as ({SQL[n].format(**at)})" for n in names)
+    return ", ".join(f"{n} as ({_put(SQL[n], at)})" for n in names)
+
+
+def _put(text: str, names: dict[str, str]) -> str:
+    for table, name in names.items():
+        text = text.replace("{" + table + "}", name)
+    return text
 
 
 def frame(t, name: str):
     """The derived table as a DataFrame."""
     text = SQL[name]
     used = {x: getattr(t, x) for x in TABLES if "{" + x + "}" in text}
-    return t.spark.sql(text, **used)
+    views = {x: f"loomwork_{x}" for x in used}
+    for x, df in used.items():
+        df.createOrReplaceTempView(views[x])
+    return t.spark.sql(_put(text, views))
