@@ -9,7 +9,7 @@ from loomwork.catalog.derived import duck, frame
 from loomwork.catalog.registry import query
 from loomwork.plans import delay_details as dd
 from loomwork.plans import delay_rules as dr
-from loomwork.plans.rules import apply_rules
+from loomwork.plans.rules import apply_rules, steps_of
 
 c = F.col
 RUN = datetime.datetime(2024, 5, 23, 8, 0, 0)
@@ -18,10 +18,15 @@ INPUT = ("delay_requests", "delay_params", "pending", "pending_by_order", "delay
 
 
 def layers(source: str, rules) -> str:
-    """The rules as nested SELECTs, each overwriting its columns."""
-    for condition, new in rules:
-        sets = ", ".join(f"case when coalesce({condition}, false) then {v} else {col} end as {col}" for col, v in new.items())
-        source = f"select * replace ({sets}) from ({source})"
+    """The rules as nested SELECTs, each step overwriting its columns."""
+    for step in steps_of(rules):
+        written = dict.fromkeys(col for _, new in step for col in new)
+        sets = []
+        for col in written:
+            # an alternative that leaves this column alone still keeps later ones out
+            cases = " ".join(f"when coalesce({condition}, false) then {new.get(col, col)}" for condition, new in step)
+            sets.append(f"case {cases} else {col} end as {col}")
+        source = f"select * replace ({', '.join(sets)}) from ({source})"
     return source
 
 

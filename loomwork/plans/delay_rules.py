@@ -1,7 +1,8 @@
 """Rules of the delay job, in order. Conditions and values are SQL text over the columns of a request.
 
 Each rule sees what earlier rules set; a later rule overwrites an earlier one.
-Texts, codes and product names are fixed values.
+Rules in an inner list look at different values of one column, so at most one
+of them holds. Texts, codes and product names are fixed values.
 """
 
 from __future__ import annotations
@@ -97,20 +98,19 @@ _SMPF_EARLY = f"temp_code in ('5197', '5867') and product2 = {q(WLR)} and marker
 _SMPF_FIRST = "first_delay <> 'N' and product2 like 'WLR3 PSTN%' and marker = 'Y' and stage = 'KSU2'"
 _WLR_GEA = f"stage = 'KSU2' and marker = 'Y' and product2 = {q(GEA)} and pcp_only = 'N' and reason = '9494 - Linked order delayed.'"
 
-BRANCH_B: list[Rule] = [
-    linked(f"{_GEA} and stage = 'KSU2' and pcp_only = 'N'", "mpf_reappt", "KSU2", _RESYNC, item=True, note=False),
-    linked(f"{_GEA} and stage = 'KSU2' and coalesce(pcp_only, '') <> 'N'", "'N'", "KSU2", _RESYNC, item=True, note=False),
-    linked(f"{_GEA} and stage = 'KSU1.5'", "mpf_reappt", "KSU1.5", _RESYNC, item=True, note=False),
+BRANCH_B: list[Rule | list[Rule]] = [
+    [linked(f"{_GEA} and stage = 'KSU2' and pcp_only = 'N'", "mpf_reappt", "KSU2", _RESYNC, item=True, note=False),
+     linked(f"{_GEA} and stage = 'KSU2'", "'N'", "KSU2", _RESYNC, item=True, note=False),
+     linked(f"{_GEA} and stage = 'KSU1.5'", "mpf_reappt", "KSU1.5", _RESYNC, item=True, note=False),
+     linked("valid = 'Y' and product = 'MPF'", "'N'", "KSU2"),
+     linked(f"valid = 'Y' and product = 'SMPF' and {_SMPF_EARLY}", "'N'", "KSU2", confirmation=NULL, kind="Delayed"),
+     linked(f"valid = 'Y' and product = 'SMPF' and {_SMPF_FIRST}", "mpf_reappt", "KSU2"),
+     linked("valid = 'Y' and product = 'SMPF'", "mpf_reappt", "KSU1.5"),
+     linked(f"valid = 'Y' and product = {q(WLR)} and {_WLR_GEA}", "'N'", "KSU2", _RESYNC, item=True),
+     linked(f"valid = 'Y' and product = {q(WLR)}", "mpf_reappt", "KSU1.5")],
     (f"{_GEA} and mpf_reappt in ('W', 'A1')", {"confirmation": "'N'"}),
     (f"{_GEA} and temp_code in ('577', '9544')", {"reappt": "'N'", "confirmation": "'N'", "amend_reason": "''"}),
     (f"{_GEA} and migrate like 'Migration from%'", {"reappt": "'N'", "confirmation": "'N'"}),
-    linked("valid = 'Y' and product = 'MPF'", "'N'", "KSU2"),
-    linked(f"valid = 'Y' and product = 'SMPF' and {_SMPF_EARLY}", "'N'", "KSU2", confirmation=NULL, kind="Delayed"),
-    linked(f"valid = 'Y' and product = 'SMPF' and not coalesce({_SMPF_EARLY}, false) and {_SMPF_FIRST}", "mpf_reappt", "KSU2"),
-    linked(f"valid = 'Y' and product = 'SMPF' and not coalesce({_SMPF_EARLY}, false) and not coalesce({_SMPF_FIRST}, false)",
-           "mpf_reappt", "KSU1.5"),
-    linked(f"valid = 'Y' and product = {q(WLR)} and {_WLR_GEA}", "'N'", "KSU2", _RESYNC, item=True),
-    linked(f"valid = 'Y' and product = {q(WLR)} and not coalesce({_WLR_GEA}, false)", "mpf_reappt", "KSU1.5"),
 ]
 
 LOOKUP: list[Rule] = [
@@ -124,7 +124,7 @@ _9569 = "code = '569' and reason = '569 - Delay Faulty Tie Pair Amend'"
 _MIGRATED = "migrate like 'Migration from%' and migrate <> 'Migration from SOTAP'"
 
 # Follow-on reason and its neighbours: which delay comes next.
-FOLLOW_ON: list[Rule] = [
+FOLLOW_ON: list[Rule | list[Rule]] = [[
     (f"code = '5197' and marker = 'Y' and product2 = {q(GEA)} and product = {q(WLR)} and reason = '5197 - EU Missed Appt'",
      {"amend_required": "'N'", "confirmation": "'N'", "reappt": "'PA10BT'"}),
     ("code = '577' and product = 'MPF' and marker = 'Y'", {"subsequent": q(SEVERED)}),
@@ -134,13 +134,14 @@ FOLLOW_ON: list[Rule] = [
     (f"code = '566' and product = {q(GEA)} and product2 = {q(WLR)} and marker = 'Y' and target_dn = 'Y' "
      "and reason = '566 - OR Missed Appt (EU Confirmed)'", {"subsequent": q(SEVERED)}),
     (f"code = '569' and {_MIGRATED}", {"subsequent": q(SEVERED)}),
-    (f"{_9569} and not coalesce({_MIGRATED}, false) and marker = 'N' and product in ('MPF', 'SMPF')", {"confirmation": "'N'"}),
-    (f"{_9569} and not coalesce({_MIGRATED}, false) and marker = 'Y' and product = 'SMPF'", {"confirmation": "'CP'"}),
+    (f"{_9569} and marker = 'N' and product in ('MPF', 'SMPF')", {"confirmation": "'N'"}),
+    (f"{_9569} and marker = 'Y' and product = 'SMPF'", {"confirmation": "'CP'"}),
+],
     ("code = '9544' and migrate like 'Migration from%'",
      {"reappt": "'CP'", "amend_required": "'Y'", "confirmation": "'Customer Delay'"}),
-    ("marker = 'Y' and ((code = '5463' and stage = 'KSU2') or code = '5466')", {"subsequent": q(SEVERED)}),
-    (f"marker = 'Y' and code = '9544' and product = {q(GEA)} and or_missed = 'Y'", {"subsequent": "'9600 - OR Missed Appointment'"}),
-    ("marker = 'Y' and code = '572' and stage = 'KSU2' and product = 'SMPF'", {"subsequent": q(SEVERED)}),
+    [("marker = 'Y' and ((code = '5463' and stage = 'KSU2') or code = '5466')", {"subsequent": q(SEVERED)}),
+     (f"marker = 'Y' and code = '9544' and product = {q(GEA)} and or_missed = 'Y'", {"subsequent": "'9600 - OR Missed Appointment'"}),
+     ("marker = 'Y' and code = '572' and stage = 'KSU2' and product = 'SMPF'", {"subsequent": q(SEVERED)})],
     (f"code = '9544' and product = {q(GEA)} and product2 = {q(WLR)} and marker = 'Y' and target_dn = 'Y'", {"subsequent": "''"}),
     ("kci = '9544' and last_note = '5463'", {"reappt": "'VZ'"}),
     ("pcp_only = 'Y' and code in ('5197', '565')", {"subsequent": q(SEVERED), "reappt": "'CP'"}),
@@ -149,37 +150,37 @@ FOLLOW_ON: list[Rule] = [
 
 _BUILD = f"product = {q(FTTP)} and fttp_stages = '2' and coalesce(successional, 'N') <> 'Y'"
 
-BEFORE_GATE: list[Rule] = [
-    ("code = '5787' and reason = '5787_Unknown_Parallel' and product = 'Dark Fibre Access' and trc_band is not null",
+BEFORE_GATE: list[Rule | list[Rule]] = [
+    [("code = '5787' and reason = '5787_Unknown_Parallel' and product = 'Dark Fibre Access' and trc_band is not null",
      {"text": "replace(text, '{RequiredTRCBand}', trc_band)"}),
     (f"reason = '9932 - Site Visit Reason and site contact details amend required' and product = {q(SOGEA)} and min_visit is not null",
      {"text": "replace(replace(text, '[%1]', min_visit), '[%2]', d15_103)"}),
     (f"reason in {among(*UPDATED_REASONS)} and cfg_found",
-     {"reappt": "cfg_reappt", "amend_required": "cfg_amend_required", "confirmation": "cfg_confirmation", "consent": "cfg_consent"}),
+     {"reappt": "cfg_reappt", "amend_required": "cfg_amend_required", "confirmation": "cfg_confirmation", "consent": "cfg_consent"})],
     ("code = '9808' and order_number like 'OR%'", {"item_type": "type", "item_text": "'9808; ' || text"}),
-    (f"reason = 'GEA - Awaiting Network Build Activity' and {_BUILD}", {"stages": "'KSU1'", "reappt": "'N'"}),
-    (f"reason = 'GEA - Awaiting Network Build Activity' and not coalesce({_BUILD}, false)", {"stages": "'KSU2'"}),
+    [(f"reason = 'GEA - Awaiting Network Build Activity' and {_BUILD}", {"stages": "'KSU1'", "reappt": "'N'"}),
+     ("reason = 'GEA - Awaiting Network Build Activity'", {"stages": "'KSU2'"})],
     ("reason like '%9775%' and text like '%2%'",
      {"text": "replace(replace(replace(text, '%1', ring_ahead), '%2', arrival_slot), '%3', closure)"}),
     ("reason like '%9931%'",
      {"text": "replace(replace(text, '%1', case when ptw = 'Y' then 'is not received' else 'is required' end), '%3', d1_105)"}),
-    ("reason = '8020 - Planned Work Will Delay Order'", {"text": "replace(text, '[MigrationDate]', d2_105)"}),
-    ("reason = '8020 - Planned Work Will Delay Order Twice'", {"text": "replace(text, '[MigrationDate]', d1_105)"}),
-    ("code = '8016' and reason <> '8016-OrderIsOnHold2nd'", {"text": "replace(text, '{AvailableDate_DDMMYYYY}', d30_103)"}),
-    ("code = '8016' and reason = '8016-OrderIsOnHold2nd'",
-     {"text": "replace(text, '{AvailableDate_DDMMYYYY2}', d40_103)", "available_date": "d40_iso"}),
+    [("reason = '8020 - Planned Work Will Delay Order'", {"text": "replace(text, '[MigrationDate]', d2_105)"}),
+     ("reason = '8020 - Planned Work Will Delay Order Twice'", {"text": "replace(text, '[MigrationDate]', d1_105)"})],
+    [("code = '8016' and reason <> '8016-OrderIsOnHold2nd'", {"text": "replace(text, '{AvailableDate_DDMMYYYY}', d30_103)"}),
+     ("code = '8016' and reason = '8016-OrderIsOnHold2nd'",
+      {"text": "replace(text, '{AvailableDate_DDMMYYYY2}', d40_103)", "available_date": "d40_iso"})],
     ("code = '8016' and order_number like 'OR%'", {"item_type": "type", "item_text": "'8016; ' || text"}),
     (f"product = {q(SOGEA)} and code in {among(*MISSED_CODES)}", {"missed": "'Y'"}),
     ("code = '565' and stage not in ('KSU2', 'KSU3') and product like '%MPF%' and notes_xml like '%5197%'",
      {"notes_xml": "xml_without_5197"}),
-    *FOLLOW_ON[:15],
-    ("code = '5463' and reason = 'GEA - Planning or Network Survey Delay'",
+    *FOLLOW_ON[:-2],
+    [("code = '5463' and reason = 'GEA - Planning or Network Survey Delay'",
      {"notes": f"'600;{HIGH_DEMAND[0]}' || survey_day || {q(HIGH_DEMAND[1])}",
       "external_notes": f"'600;Others. {HIGH_DEMAND[0]}' || survey_day || {q(HIGH_DEMAND[1])}"}),
     (f"product = {q(GEA)} and code = '9404'",
      {"note_code": "code", "note_text": "text", "note_type": "type", "item_text": "code || ';' || text", "item_type": "type"}),
-    ("product = 'SBS' and code = '9520'", {"note_code": "code", "note_text": "text", "note_type": "type"}),
-    *FOLLOW_ON[15:],
+    ("product = 'SBS' and code = '9520'", {"note_code": "code", "note_text": "text", "note_type": "type"})],
+    *FOLLOW_ON[-2:],
 ]
 
 GATE: list[Rule] = [
@@ -222,7 +223,7 @@ def keyword_notes(reason: str, keyword: str) -> Rule:
                           f"{note('600', q('Notes ') + ' || run_stamp')} || notes_xml"})
 
 
-LATE: list[Rule] = [
+LATE: list[Rule | list[Rule]] = [[
     day_text("code in ('9670', '9662', '9671')", "%1", "w14"),
     day_text("code = '9666'", "%2", "w3"),
     day_text("code in ('9648', '9651')", "%2", "w15"),
@@ -232,10 +233,12 @@ LATE: list[Rule] = [
     day_text("code = '9652'", "%2", "w4"),
     day_text("code = '9663'", "%2", "w3"),
     ("code = '9681'", {"text": "replace(replace(replace(text, '%1', complex_activities), '%3', w5), ' 00:00:00', '')"}),
+], [
     (f"{_ADDRESS} and reason like '9650%'",
      {"text": "replace(replace(replace(text, '%1', w15), '%2', w15), ' 00:00:00', '')", "note_type": "'Warning'"}),
     (f"{_ADDRESS} and not reason like '9650%'",
      {"text": "replace(replace(replace(text, '%1', w2), '%2', w2), ' 00:00:00', '')", "note_type": "'Warning'"}),
+], [
     ("code = '9709' and reason <> '9709_DELAY_CLOSURE'",
      {"text": f"{q(REACH_TEXT[0])} || case when reach = 'Standard' then 'Local Access' when reach = 'Extended Reach' and delay_reach = 'Standard' "
               f"then 'Standard' when reach = 'Extended Reach' then 'Local Access' end || {q(REACH_TEXT[1])}"}),
@@ -243,13 +246,16 @@ LATE: list[Rule] = [
     day_text(f"code = '9743' and product in {among(MPF, SOGEA, SOTAP)}", "%2", "w10"),
     (f"code = '9818' and product = {q(SOGEA)}", {"text": "replace(text, '%1', charge_band)"}),
     (f"code = '9649' and product = {q(SOGEA)}", {"text": "replace(replace(text, '%1', 'by Openreach'), '%2', w3)"}),
+],
     (_QUEUE, {"reason": "queue_head", "subsequent": "queue_head"}),
     ("reason like '%Copper Route Verification%'", {"eu_confirmed": "'N'"}),
+[
     (f"product = {q(FTTP)} and reason = '9816 Sitevisit changed'",
      {"item_text": "code || ';' || text", "item_type": "type", "appointment": "'Y'"}),
     (f"product = {q(FTTP)} and reason = '5480 - FTTP EU Different Instructions'",
      {"item_text": f"{q(NO_CONTACT[0])} || arrival || {q(NO_CONTACT[1])}",
       "item_type": "'Engineer Notes|Engineer Notes|Engineer Notes'"}),
+], [
     (f"{_DEMAND} and code in ('9561', '588')",
      {"item_type": "'Delayed'", "item_text": _clear("is ", "cast(seq as string)", "Estimated Clear Date")}),
     (f"{_DEMAND} and code = '9562'",
@@ -257,24 +263,28 @@ LATE: list[Rule] = [
     (f"{_DEMAND} and code = '9831'",
      {"item_type": "'Delayed'", "item_text": _clear("is ", "coalesce(ref_588, cast(seq as string))", "Estimated Clear Date")}),
     (f"{_DEMAND} and code = '5750'", {"item_type": "'Update'", "item_text": q(FIRST_ECC)}),
+],
     (f"product in {among(FTTP, 'FVA')} and coalesce(lorn, '') = '' and code = '5750'",
      {"text": f"replace({q(EXCESS_CHARGE)}, '{{Delaydate}}', d31_103)"}),
     ("product = 'PIA' and coalesce(code, '') <> '' and reason in ('Delay_ResponseToKCINotice', 'Delay_InsufficientInformation_Coop', "
      "'Delay_InsufficientInformation_NA')", {"code": "'000' || code"}),
+[
     (f"reason = '593-CPDelay(SupplementaryKSU)' and product = {q(SOGEA)}", {"appointment_failed": "'Y'", "eu_confirmed": "'Y'"}),
     (f"product = {q(SOTAP)} and reason = '565+9818 - Delay + insufficient TRC'", {"notes_xml": "replace(notes_xml, '%1', charge_band)"}),
     (f"product = {q(SOTAP)} and reason in {among(*NEXT_DAY_REASONS)}", {"next_update": "next_open || ' 00:00:00'"}),
+],
     ("code = '9601' and reason = '9601 - Additional build works required'",
      {"text": f"{q(BUILD_TEXT[0])} || commitment_day || {q(BUILD_TEXT[1])}"}),
     (_SVR, {"text": f"replace(replace(text, '[%1]', case when reason in {among(*PREMIUM_REASONS)} then 'Premium' else 'Advanced' end), '[%2]', d15_103)",
             "item_type": "'Delay Notes'",
             "item_text": f"'600;' || case when reason in {among(*PREMIUM_REASONS)} then answer_premium else answer_advanced end"}),
+[
     keyword_notes("9902+9700_VRI Faceplate or extension kit is missing", "TKNP"),
     keyword_notes("9903+9700_IP voice is not working", "DVNW"),
     keyword_notes("9904+9700_Telecare device was found without Prove Telecare SVR", "TDP"),
     ("reason = 'Excess Construction Charge with Ruggedised'",
      {"code": "'5750|9925'", "text": f"replace({q(EXCESS_CHARGE)}, '{{Delaydate}}', d5_103)"}),
-]
+]]
 
 # What a request changes in the attribute table: (condition, name, value).
 PARAM_CHANGES: list[tuple[str, str, str]] = [

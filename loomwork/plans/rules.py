@@ -1,7 +1,8 @@
 """Rule lists: conditions in order, and what they set.
 
 A rule is ``(condition, {column: value})``; conditions are SQL text over the
-columns of the row, values are SQL text too.
+columns of the row, values are SQL text too. A list of rules in place of a rule
+holds alternatives.
 """
 
 from __future__ import annotations
@@ -26,9 +27,20 @@ def first_rule(df: DataFrame, rules: Sequence[Rule], columns: Sequence[str]) ->
     return out.withColumns(texts).drop("__rule")
 
 
-def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Every rule that holds sets its columns, one after the other: later rules see and overwrite earlier results."""
-    for condition, new in rules:
-        df = df.withColumn("__hit", F.coalesce(F.expr(condition), F.lit(False)))
-        df = df.withColumns({c: F.when(F.col("__hit"), F.expr(v)).otherwise(F.col(c)) for c, v in new.items()})
-    return df.drop("__hit")
+def steps_of(rules: Sequence[Rule | list[Rule]]) -> list[list[Rule]]:
+    return [step if isinstance(step, list) else [step] for step in rules]
+
+
+def apply_rules(df: DataFrame, rules: Sequence[Rule | list[Rule]]) -> DataFrame:
+    """Steps one after the other: later steps see and overwrite the results of earlier ones.
+
+    A step is a rule or a list of alternatives, of which the first that holds
+    applies. Alternatives keep the plan short: one projection per step.
+    """
+    for step in steps_of(rules):
+        which = " ".join(f"when {cond} then {i}" for i, (cond, _) in enumerate(step))
+        written = list(dict.fromkeys(c for _, new in step for c in new))
+        df = df.withColumn("__which", F.expr(f"case {which} end")).withColumns({
+            c: F.expr("case __which " + " ".join(f"when {i} then {new[c]}" for i, (_, new) in enumerate(step) if c in new)
+                      + f" else {c} end") for c in written})
+    return df.drop("__which")
