@@ -143,11 +143,11 @@ def details_sql() -> str:
 
 def ready(t):
     requests, params, pending, by_order, rules, addresses, exchanges, texts = (frame(t, n) for n in INPUT)
-    return dd.prepare_requests(requests, params, pending, by_order, rules, addresses, exchanges, answers_wide(texts), RUN, HOLIDAYS)
+    return dd.prepare_requests(requests, params, pending, by_order, rules, addresses, exchanges, answers_wide(texts))
 
 
 def details(t):
-    return dd.delay_details(ready(t), 7000)
+    return dd.delay_details(ready(t), RUN, HOLIDAYS, 7000)
 
 
 @query("delay_details", details_sql() + "select request_id, branch, " + ", ".join(

@@ -11,7 +11,7 @@ import datetime
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.dates import COMMITMENT_SHIFT, SURVEY_SHIFT, calendar, shifted_text
@@ -22,7 +22,7 @@ from loomwork.operators.hot import numbered
 from loomwork.operators.joins import bundle_values, with_fallback
 from loomwork.plans import delay_rules as dr
 from loomwork.plans.eligibility import area_valid
-from loomwork.plans.rules import apply_rules
+from loomwork.plans.rules import apply_rules, bind, names_in
 from loomwork.sources.tables import staged
 
 # Attribute name -> column, for everything the job reads about the order itself.
@@ -143,20 +143,18 @@ def _slots(rows: DataFrame, params: DataFrame) -> DataFrame:
                             for n, (to, _) in names.items()}).drop(*[f"__{n}" for n in names])
 
 
-def _dates(rows: DataFrame, run_ts: datetime.datetime, holidays: Sequence[datetime.date]) -> DataFrame:
-    """Date texts the rules put in. They depend on the run day only, so they are literals."""
+def date_texts(spark: SparkSession, run_ts: datetime.datetime, holidays: Sequence[datetime.date] = ()) -> dict[str, str]:
+    """Date texts the rules put in. They depend on the run day only, so they become literals of the rules."""
     day = run_ts.date()
-    days = calendar(rows.sparkSession, day, day + datetime.timedelta(60), holidays)
-    # sixty-one rows: looked up here once instead of joined to every request
-    table = {r.day: r for r in days.collect()}
+    # sixty-one days: looked up here once instead of joined to every request
+    table = {r.day: r for r in calendar(spark, day, day + datetime.timedelta(60), holidays).collect()}
     open_days = {r.open_no: r.day for r in table.values() if r.is_open}
     at = table[day].open_no
-    literal = {f"w{n}": open_days[at + n].strftime("%d-%m-%Y") for n in (1, 2, 3, 4, 5, 10, 14, 15, 16, 17)}
     plus = {n: day + datetime.timedelta(n) for n in (0, 1, 2, 5, 15, 30, 31, 40)}
-    literal |= {f"d{n}_103": plus[n].strftime("%d/%m/%Y") for n in (0, 5, 15, 30, 31, 40)}
-    literal |= {f"d{n}_105": plus[n].strftime("%d-%m-%Y") for n in (1, 2)} | {"d40_iso": plus[40].isoformat()}
-    literal |= {"next_open": table[day].next_open_day.strftime("%d/%m/%Y"), "run_stamp": run_ts.strftime("%d/%m/%Y %H:%M:%S")}
-    return rows.withColumns({k: F.lit(v) for k, v in literal.items()} | {"available_date": F.lit(plus[30].isoformat())})
+    texts = {f"w{n}": open_days[at + n].strftime("%d-%m-%Y") for n in (1, 2, 3, 4, 5, 10, 14, 15, 16, 17)}
+    texts |= {f"d{n}_103": plus[n].strftime("%d/%m/%Y") for n in (0, 5, 15, 30, 31, 40)}
+    texts |= {f"d{n}_105": plus[n].strftime("%d-%m-%Y") for n in (1, 2)} | {"d30_iso": plus[30].isoformat(), "d40_iso": plus[40].isoformat()}
+    return texts | {"next_open": table[day].next_open_day.strftime("%d/%m/%Y"), "run_stamp": run_ts.strftime("%d/%m/%Y %H:%M:%S")}
 
 
 def _rules_joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -180,11 +178,10 @@ def _rules_joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def prepare_requests(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_by_order: DataFrame, rules: DataFrame,
-                     addresses: DataFrame, exchange_params: DataFrame, answers: DataFrame, run_ts: datetime.datetime,
-                     holidays: Sequence[datetime.date] = (), eaos_switch: bool = True) -> DataFrame:
+                     addresses: DataFrame, exchange_params: DataFrame, answers: DataFrame, eaos_switch: bool = True) -> DataFrame:
     """Everything a rule can look at, one row per request; staged, because the branches share it."""
     rows = _slots(context(requests, params, pending, pending_by_order), params)
-    rows = _rules_joined(_dates(rows, run_ts, holidays), rules)
+    rows = _rules_joined(rows, rules)
     scale = exchange_params.where("name = 'ScaleEnabled'").groupBy("exchange").agg(F.max("value").alias("exchange_scale"))
     rows = rows.join(addresses, "address_key", "left").join(scale, "exchange", "left")
     rows = area_valid(rows, "address_scale", "exchange_scale", "network_notes", "fttp_stages", "area_ok")
@@ -211,23 +208,30 @@ def prepare_requests(requests: DataFrame, params: DataFrame, pending: DataFrame,
         "no_access": F.when((F.col("rule_eaos") == "Y") & F.lit(eaos_switch) & (F.col("delay_type") == "OpenReach"), ""),
         "seq": F.lit(0).cast("bigint"),
     })
-    rows = rows.withColumns({c: F.expr(v) for c, v in dr.START.items()})
-    return staged(rows, "delay_requests")
-
-
-def delay_details(ready: DataFrame, first_sequence: int = 0) -> DataFrame:
-    """Result rows of all branches with their sequence numbers: ``request_id, branch, <33 columns>``."""
-    done = staged(reduce(DataFrame.unionByName, _branches(ready)), "delay_branches")
+    rows = rows.withColumns({c: F.expr(v) for c, v in dr.START.items()} | {"available_date": F.lit(None).cast("string")})
+    # only what rules and results name goes on: below a hundred columns the rules compile into one loop
+    every = [dr.SBS_START, dr.TRIGGER, dr.BRANCH_A, dr.BRANCH_B, dr.LOOKUP, dr.BEFORE_GATE, dr.GATE, dr.AFTER_GATE_B, dr.AFTER_GATE_C, dr.LATE]
+    kept = (set().union(*map(names_in, every), dr.START, RESULT_C.values())
+            | {"request_id", "request_ts", "order_number", "marker", "kci", "area_ok", "product", "reason"})
+    return staged(rows.select(*[c for c in rows.columns if c in kept]), "delay_requests")
+
+
+def delay_details(ready: DataFrame, run_ts: datetime.datetime, holidays: Sequence[datetime.date] = (),
+                  first_sequence: int = 0) -> DataFrame:
+    """Rows of all branches after all rules, with their sequence numbers."""
+    days = date_texts(ready.sparkSession, run_ts, holidays)
+    ready = ready.withColumn("available_date", F.lit(days["d30_iso"]))
+    done = staged(reduce(DataFrame.unionByName, _branches(ready, days)), "delay_branches")
     issued = done.where("valid <> 'N'").select("request_id", "branch", "request_ts")
     issued = numbered(issued, [], ["request_ts", "request_id", "branch"], "seq").select(
         "request_id", "branch", (F.col("seq") + first_sequence).alias("__seq"))
     rows = (done.join(issued, ["request_id", "branch"], "left")
             .withColumn("seq", F.coalesce("__seq", "seq")).drop("__seq"))
-    late = apply_rules(rows.where("branch = 'c'"), dr.LATE)
+    late = apply_rules(rows.where("branch = 'c'"), bind(dr.LATE, days))
     return late.unionByName(rows.where("branch <> 'c'"))
 
 
-def _branches(ready: DataFrame) -> list[DataFrame]:
+def _branches(ready: DataFrame, days: dict[str, str]) -> list[DataFrame]:
     marked = F.col("marker") == "Y"
     start = apply_rules(ready, dr.SBS_START)
     is_a, is_b = marked & (F.col("kci") == "9580"), marked & (F.col("kci") == "9494")
@@ -237,7 +241,7 @@ def _branches(ready: DataFrame) -> list[DataFrame]:
     rest = rest.withColumn("valid", F.when(area, F.col("area_ok")).otherwise(F.col("valid")))
     is_b = F.coalesce(is_b, F.lit(False))
     b = apply_rules(rest.where(is_b), dr.TRIGGER + dr.BRANCH_B + dr.GATE + dr.AFTER_GATE_B)
-    c = apply_rules(rest.where(~is_b), dr.TRIGGER + dr.LOOKUP + dr.BEFORE_GATE + dr.GATE + dr.AFTER_GATE_C)
+    c = apply_rules(rest.where(~is_b), dr.TRIGGER + dr.LOOKUP + bind(dr.BEFORE_GATE, days) + dr.GATE + dr.AFTER_GATE_C)
     return [df.withColumn("branch", F.lit(name)) for name, df in (("a", a), ("b", b), ("c", c))]
 
 
