@@ -176,9 +176,9 @@ ACTIONS = """
              and (c.ts, c.event_id) >= (a.ts, a.event_id))),"""
 
 
-def cart_actions(t):
+def cart_actions(events):
     action = F.create_map(*[F.lit(x) for x in ("purchase", "add", "click", "remove", "error", "clear")])[F.col("event_type")]
-    return t.events.select("user_id", "ts", "event_id", action.alias("act"),
+    return events.select("user_id", "ts", "event_id", action.alias("act"),
                            F.get_json_object("props", "$.k").cast("int").alias("item"), F.col("value").alias("price"))
 
 
@@ -193,7 +193,7 @@ def cart_actions(t):
     select u.user_id, coalesce(items, 0) as items, round(coalesce(total, 0), 2) + 0.0 as total
     from (select distinct user_id from events) u left join e on u.user_id = e.user_id""")
 def event_fold(t):
-    return (a.cart_totals(cart_actions(t), "user_id", ["ts", "event_id"], "act", "item", "price")
+    return (a.cart_totals(cart_actions(t.events), "user_id", ["ts", "event_id"], "act", "item", "price")
             .withColumn("total", F.round("total", 2) + F.lit(0.0)))
 
 
