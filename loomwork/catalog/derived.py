@@ -14,11 +14,10 @@ SQL = {
     # ---- token analysis -------------------------------------------------
     "token_base": """
         select cast(l_orderkey as string) as tokenid, cast(l_partkey as string) as nad_key,
-               case when l_returnflag = 'R' then 'UPRN' else l_returnflag end as createtype,
-               l_linestatus as status, cast(l_suppkey as string) as uprn from {lineitem}""",
+               l_returnflag as createtype, l_linestatus as status, cast(l_suppkey as string) as uprn from {lineitem}""",
     "repository": """
         select cast(o_orderkey as string) as cir_key, cast(o_custkey as string) as tr_sub_premise_key,
-               case when o_orderstatus = 'F' then 'OLD' else 'NGC' end as cir_type from {orders}""",
+               o_orderstatus as cir_type from {orders}""",
     "address_list": """
         select cast(c_custkey as string) as nad_key, cast(c_custkey * 2 as string) as uprn from {customer}
         where c_mktsegment <> 'BUILDING'""",

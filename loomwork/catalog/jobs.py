@@ -14,7 +14,7 @@ RUN_TS = "2024-05-23 08:00:00"
 ROLLED = """
     select tokenid, 0::bigint as part_no, count(*) as cnt, {more} string_agg(distinct nad_key, ',' order by nad_key) as new_key,
            string_agg(status, ',' order by status) as status, string_agg(distinct createtype, ',' order by createtype) as createtype
-    from token_base where createtype {op} 'UPRN' group by tokenid"""
+    from token_base where createtype {op} 'R' group by tokenid"""
 
 
 def token_tables(t):
@@ -23,17 +23,17 @@ def token_tables(t):
 
 @query("token_analysis", "with " + duck("token_base", "repository", "address_list") + ", a as (" + ROLLED.format(more="", op="<>") + """)
     select a.*, cir_key, tr_sub_premise_key, case when c.nad_key is not null then 'Y' else 'N' end as in_baabp from a
-    left join (select * from repository where cir_type = 'NGC') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key""")
+    left join (select * from repository where cir_type = 'O') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key""")
 def token_analysis(t):
-    return ta.token_analysis(*token_tables(t))
+    return ta.token_analysis(*token_tables(t), kind="R", source="O")
 
 
 @query("token_analysis_uprn", "with " + duck("token_base", "repository", "address_list") + ", a as (" + ROLLED.format(more="max(uprn) as uprn,", op="=") + """)
     select a.*, cir_key, tr_sub_premise_key, case when c.nad_key is not null then 'Y' else 'N' end as in_baabp, d.nad_key as baabp_key from a
-    left join (select * from repository where cir_type = 'NGC') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key
+    left join (select * from repository where cir_type = 'O') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key
     left join address_list d on a.uprn = d.uprn""")
 def token_analysis_uprn(t):
-    return ta.token_analysis_uprn(*token_tables(t))
+    return ta.token_analysis_uprn(*token_tables(t), kind="R", source="O")
 
 
 CHECK_TABLES = ("requests", "units", "ports", "addresses", "exchange_params", "behaviours")

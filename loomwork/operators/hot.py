@@ -2,16 +2,17 @@
 
 A window or a collected list puts one whole group into one task. That is fine
 for a group whose size was measured and found small, and fatal for a key that
-holds a third of a large table. So every operator here first counts rows per
-key (one narrow scan, combined before the shuffle) and takes the *hot* keys:
+holds a third of a large table. So every operator here first looks for *hot*
+keys (one narrow scan into bounded sketches, then an exact count of the few
+that stand out):
 
 * no hot key: the plain window or grouped aggregate, nothing else;
 * hot keys: the rows of a hot key are cut into slices along the order, the
   work runs per (key, slice), and a small table of per-slice totals carries
   the result from one slice to the next.
 
-The number of hot keys is bounded (``MAX_HOT``); a key below that rank holds
-less than 1/MAX_HOT of the table and is treated like any other key.
+The number of hot keys is bounded (``MAX_HOT``), so what is collected and
+broadcast about them is too.
 
 Order columns are written as names; a leading ``-`` means descending. The
 order has to be total (end it with a unique column) for repeatable results.
@@ -29,7 +30,9 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000     # a group above this size is never handled by one task
 WHOLE_ROWS = 100_000     # a whole table up to this size is numbered by one sort
 LIST_ROWS = 100_000      # the longest list put into one row
-MAX_HOT = 10_000
+SHARDS = 64              # frequent-items sketches, one per share of the key hashes
+SKETCH = 512             # items tracked by a sketch
+MAX_HOT = SHARDS * SKETCH // 4
 COARSE = 16              # quantile cuts of the order column
 FINE = 256               # equal-width steps between two cuts
 
@@ -45,9 +48,21 @@ def _name(order: str) -> str:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> list[tuple]:
-    """``(key..., row count)`` of the groups above ``rows``, largest first, at most MAX_HOT."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
-    return [tuple(r) for r in counts.orderBy(F.desc("__n")).limit(MAX_HOT).collect()]
+    """``(key..., row count)`` of the groups above ``rows``.
+
+    One scan feeds frequent-items sketches, SHARDS of them by key hash, so what
+    is shuffled and returned is bounded whatever the number of keys. A key that
+    the sketches miss holds less than 2 * 3.5 / SKETCH of its shard, about
+    1/4500 of the table. The found keys are then counted exactly.
+    """
+    digest = F.xxhash64(*keys)
+    shards = (df.select(digest.alias("h")).groupBy(F.pmod("h", F.lit(SHARDS)).alias("shard"))
+              .agg(F.expr(f"approx_top_k(h, {SKETCH // 4}, {SKETCH})").alias("top")).collect())
+    likely = [e["item"] for s in shards for e in s["top"] if e["count"] > rows]
+    if not likely:
+        return []
+    counts = df.where(digest.isin(likely)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return [tuple(r) for r in counts.where(F.col("__n") > rows).collect()]
 
 
 def _mark(df: DataFrame, keys: Sequence[str], hot: list[tuple], rows: int) -> DataFrame:

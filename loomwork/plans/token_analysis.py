@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loomwork.operators.aggregates import rollup_text
 
 
-def _matched(tokens: DataFrame, repository: DataFrame, addresses: DataFrame) -> DataFrame:
-    b = repository.where("cir_type = 'NGC'").select("cir_key", "tr_sub_premise_key").alias("b")
+def _matched(tokens: DataFrame, repository: DataFrame, addresses: DataFrame, source: str) -> DataFrame:
+    b = repository.where(F.col("cir_type") == source).select("cir_key", "tr_sub_premise_key").alias("b")
     c = addresses.select(F.col("nad_key").alias("c_nad_key")).alias("c")
     joined = (tokens.join(b, F.col("tokenid") == F.col("cir_key"), "left")
               .join(c, F.col("tr_sub_premise_key") == F.col("c_nad_key"), "left"))
@@ -22,14 +22,16 @@ def _tokens(base: DataFrame, *more) -> DataFrame:
     return rolled.withColumnsRenamed({"nad_key": "new_key", "n_rows": "cnt"})
 
 
-def token_analysis(base: DataFrame, repository: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Tokens of any create type but UPRN. ``base``: tokenid, nad_key, status, createtype, uprn."""
-    return _matched(_tokens(base.where("createtype <> 'UPRN'")), repository, addresses)
+def token_analysis(base: DataFrame, repository: DataFrame, addresses: DataFrame, kind: str = "UPRN",
+                   source: str = "NGC") -> DataFrame:
+    """Tokens of any create type but ``kind``. ``base``: tokenid, nad_key, status, createtype, uprn."""
+    return _matched(_tokens(base.where(F.col("createtype") != kind)), repository, addresses, source)
 
 
-def token_analysis_uprn(base: DataFrame, repository: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Tokens of create type UPRN, with the largest uprn and the address found by it."""
-    tokens = _tokens(base.where("createtype = 'UPRN'"), F.max("uprn").alias("uprn"))
+def token_analysis_uprn(base: DataFrame, repository: DataFrame, addresses: DataFrame, kind: str = "UPRN",
+                   source: str = "NGC") -> DataFrame:
+    """Tokens of create type ``kind``, with the largest uprn and the address found by it."""
+    tokens = _tokens(base.where(F.col("createtype") == kind), F.max("uprn").alias("uprn"))
     second = addresses.select(F.col("uprn").alias("d_uprn"), F.col("nad_key").alias("baabp_key"))
-    return (_matched(tokens, repository, addresses)
+    return (_matched(tokens, repository, addresses, source)
             .join(second, F.col("uprn") == F.col("d_uprn"), "left").drop("d_uprn"))
