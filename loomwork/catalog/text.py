@@ -123,14 +123,21 @@ def regex_extract(t):
                               F.regexp_extract("text", r"^(\S+) (\S+)", 2).alias("second"))
 
 
-@query("regex_advanced")
+@query("regex_advanced", r"""
+    select doc_id, regexp_extract(text, '\$(\d+(?:\.\d+)?)', 1) as price, regexp_matches(text, '(?s)^\S.*\.\s*$') as whole_sentence,
+           len(regexp_extract_all(text, '\p{L}')) - len(regexp_extract_all(text, '[A-Za-z]')) as non_ascii_letters from documents""")
 def regex_advanced(t):
-    # back-reference, look-behind, dot-all and Unicode classes: Java patterns, no RE2 form
+    # look-behind, dot-all and a class intersection; the SQL says the same without them
     return t.documents.select(
-        "doc_id", c("text").rlike(r"(?i)\b(?<w>\p{L}+)\s+\k<w>\b").alias("repeated_word"),
-        F.regexp_extract("text", r"(?<=\$)\d+(?:\.\d+)?", 0).alias("price"),
+        "doc_id", F.regexp_extract("text", r"(?<=\$)\d+(?:\.\d+)?", 0).alias("price"),
         c("text").rlike(r"(?s)^\S.*\.\s*$").alias("whole_sentence"),
-        F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}&&[^\p{ASCII}]]"), F.lit(0))).alias("non_ascii_letters"))
+        F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}&&[^\p{ASCII}]]"), F.lit(0))).cast("bigint").alias("non_ascii_letters"))
+
+
+@query("regex_repeated_word")
+def regex_repeated_word(t):
+    # a named back-reference: DuckDB's patterns have none
+    return t.documents.select("doc_id", c("text").rlike(r"(?i)\b(?<w>\p{L}+)\s+\k<w>\b").alias("repeated_word"))
 
 
 @query("regex_rewrite", """

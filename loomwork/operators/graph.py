@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from loomwork.operators.hot import numbered
 
 
+def _compact(union: DataFrame, depth: int) -> DataFrame:
+    """One checkpoint in place of the pieces of many steps."""
+    return union.checkpoint() if depth % 25 == 0 else union
+
+
 def breadth_first(edges: DataFrame, start: DataFrame, max_steps: int = 1000) -> DataFrame:
     """Reach order from the start nodes: ``(node, parent, depth, position)``.
 
@@ -34,7 +39,7 @@ def breadth_first(edges: DataFrame, start: DataFrame, max_steps: int = 1000) ->
         level = numbered(step, [], ["__p", "node"], "position").select(
             "node", "parent", F.lit(depth).alias("depth"), (F.col("position") + (reached - 1)).alias("position")).checkpoint()
         reached += level.count()
-        seen = seen.unionByName(level)
+        seen = _compact(seen.unionByName(level), depth)
     raise RuntimeError(f"no end after {max_steps} steps")
 
 
@@ -53,7 +58,7 @@ def walk_tree(edges: DataFrame, roots: DataFrame, max_steps: int = 1000) -> Data
                          F.concat_ws("/", "__path", "label").alias("path")).checkpoint())
         if level.isEmpty():
             return out
-        out = out.unionByName(level)
+        out = _compact(out.unionByName(level), depth)
     raise RuntimeError(f"no end after {max_steps} steps: is there a cycle?")
 
 

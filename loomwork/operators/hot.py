@@ -112,8 +112,8 @@ def _step_tree(v: str, cuts: list, lo: int, hi: int) -> str:
             f"else {_step_tree(v, cuts, mid + 1, hi)} end")
 
 
-def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int]:
-    """A step number that never falls along ``order``, and the number of steps.
+def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int, int]:
+    """A step number that never falls along ``order``, the number of steps, and the row count.
 
     The first column gives the steps. A value of it so frequent that it fills
     whole quantiles is cut further by the next column.
@@ -121,7 +121,7 @@ def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int]:
     keys = [_position_key(df, _name(o)) for o in order]
     grid = ", ".join(repr(i / COARSE) for i in range(1, COARSE))
     found = df.selectExpr(*[f"percentile_approx({k}, array({grid}), 10000) as c{i}"
-                            for i, (k, _) in enumerate(keys)]).first()
+                            for i, (k, _) in enumerate(keys)], "count(*) as n").first()
     step, size, inside = "0L", 1, []
     for i, (key, exact) in enumerate(keys):
         raw = [v for v in (found[i] or []) if v == v]
@@ -139,7 +139,7 @@ def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int]:
         if not exact or not frequent or size > 10_000_000:
             break
         inside.append(f"coalesce({key} in ({', '.join(map(_number, frequent))}), false)")
-    return F.expr(step), size
+    return F.expr(step), size, found["n"]
 
 
 @dataclass
@@ -188,11 +188,10 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int =
     keys, order = list(keys), list(order)
     if not keys:
         # the whole table is one group: sliced unless it was counted and found small
-        n = df.count()
+        step, size, n = _steps(df, order)
         if n <= min(rows, WHOLE_ROWS):
             return Spread(df, keys, order, False)
         least = df.sparkSession.sparkContext.defaultParallelism
-        step, size = _steps(df, order)
         parts = max(least, -(-n // rows))
         marked = df.withColumn(_HOT, F.lit(1)).withColumn(_PARTS, F.lit(parts))
         return Spread(marked.withColumn(_SLICE, F.floor(step * parts / size)), keys, order, True)
@@ -200,7 +199,7 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int =
     if not hot:
         return Spread(df, keys, order, False)
     marked = _mark(df, keys, hot, rows)
-    step, size = _steps(marked.where(F.col(_HOT) > 0), order)
+    step, size, _ = _steps(marked.where(F.col(_HOT) > 0), order)
     cut = F.when(F.col(_HOT) > 0, F.floor(step * F.col(_PARTS) / size)).otherwise(F.lit(0))
     return Spread(marked.withColumn(_SLICE, cut), keys, order, True)
 

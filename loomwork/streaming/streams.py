@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from loomwork.session import fresh_path
 
 
-def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
-    """New Parquet files of a folder as a stream; a micro-batch holds a bounded number of files."""
+def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", files_per_batch: int = 8) -> DataFrame:
+    """New Parquet files of a folder as a stream.
+
+    A micro-batch holds a bounded number of files, and with it a bounded number
+    of rows of any key, which is what the keyed processors sort.
+    """
     return (spark.readStream.schema(like.schema).option("pathGlobFilter", files)
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 

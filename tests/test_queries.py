@@ -27,5 +27,5 @@ def test_query(spark, con, name):
     assert rows > 0
 
 
-def test_only_regex_without_sql_form_has_none():
-    assert sorted(set(QUERIES) - set(ORACLE)) == ["regex_advanced"]
+def test_only_the_back_reference_has_no_sql():
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["regex_repeated_word"]
