@@ -58,7 +58,8 @@ def throttle(t):
     select user_id, ts as settled_at, value from events
     qualify coalesce(lead(ts) over (partition by user_id order by ts, event_id) - ts >= interval 8 hour, true)""")
 def debounce(t):
-    return sm.debounced(t.events, "user_id", "ts", ["ts", "event_id"], "value", "8 hours")
+    rows = t.events.select("user_id", "ts", "event_id", "value")
+    return sm.debounced(rows, "user_id", "ts", "event_id", 8 * 3600 * 1_000_000).select("user_id", c("ts").alias("settled_at"), "value")
 
 
 @query("stream_state", ORACLE["event_fold"])

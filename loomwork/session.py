@@ -18,7 +18,7 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merging maps: the later value wins, as in a dict merge
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # merge sessions on the map side before the shuffle
+    # streams merge sessions on the map side before the shuffle
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.operators.hot import neighbours
 from loomwork.session import fresh_path
 
 
@@ -27,15 +28,21 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def debounced(df: DataFrame, key: str, ts: str, order: list[str], value: str, gap: str, delay: str | None = None) -> DataFrame:
-    """The last value before every quiet gap: ``(key, settled_at, value)``.
+def debounced(df: DataFrame, key: str, ts: str, ident: str, gap_us: int) -> DataFrame:
+    """Rows after which the key is quiet for at least ``gap_us``: the values that settle."""
+    def make(w):
+        return {"__wait": F.unix_micros(F.lead(ts).over(w).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))}
+    rows = neighbours(df, [key], [ts, ident], make, ahead=1)
+    return rows.where(F.col("__wait").isNull() | (F.col("__wait") >= gap_us)).drop("__wait")
 
-    Sessions merge on the map side, so a busy key shrinks before the shuffle.
-    On a stream, ``delay`` is how late a row may come.
+
+def debounced_stream(stream: DataFrame, key: str, ts: str, order: list[str], value: str, gap: str, delay: str) -> DataFrame:
+    """The same on a stream: the last value of every session. ``delay`` is how late a row may come.
+
+    A session is given out once the watermark has passed its end, so those near
+    the end of the stream wait for more input.
     """
-    rows = df.withColumn("__ts", F.col(ts).cast("timestamp"))
-    if delay:
-        rows = rows.withWatermark("__ts", delay)
+    rows = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
     last = rows.groupBy(key, F.session_window("__ts", gap)).agg(F.max_by(F.struct(ts, value), F.struct(*order)).alias("__l"))
     return last.select(key, F.col(f"__l.{ts}").alias("settled_at"), F.col(f"__l.{value}").alias(value))
 

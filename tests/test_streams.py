@@ -76,3 +76,15 @@ def test_throttle_on_a_busy_key(spark):
     df = spark.createDataFrame(data, "k long, i long, us long").withColumn("ts", F.timestamp_micros("us"))
     got = st.throttled(df.select("k", "i", "ts"), "k", "ts", "i", 10)
     assert sorted(r.i for r in got.collect()) == want
+
+
+def test_debounce(spark, folder, events):
+    gap = 8 * 3600 * 1_000_000
+    batch = sm.debounced(events.select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", gap)
+    batch = set(rows(batch.select("user_id", "ts", "value")))
+    out = sm.run_to_end(sm.debounced_stream(stream(spark, folder, events), "user_id", "ts", ["ts", "event_id"], "value", "8 hours", "0 seconds"), "d")
+    got = set(rows(out))
+    end = max(ts for _, ts, _ in batch)
+    assert got <= batch
+    assert all((end - ts).total_seconds() < 2 * 86400 for _, ts, _ in batch - got)
+    assert got
