@@ -62,16 +62,16 @@ def basic_aggs(t):
 
 
 @query("avg_or_zero", """
-    select c_custkey, coalesce(n, 0) as n, round(coalesce(mean, 0), 4) as mean from customer left join
-    (select o_custkey, count(*) as n, avg(o_totalprice) as mean from orders where o_orderpriority = '1-URGENT' group by o_custkey)
+    select c_custkey, coalesce(n, 0) as n, round(coalesce(mean, 0), 7) as mean from customer left join
+    (select o_custkey, count(*) as n, sum(cast(o_totalprice as decimal(18,2)))::double / count(*) as mean from orders where o_orderpriority = '1-URGENT' group by o_custkey)
     on c_custkey = o_custkey""")
 def avg_or_zero(t):
     # aggregate first, then join: one row per customer reaches the join
     per = (t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey")
-           .agg(F.count(F.lit(1)).alias("n"), a.mean_or_zero(F.col("o_totalprice")).alias("mean")))
+           .agg(F.count(F.lit(1)).alias("n"), a.mean_or_zero(F.col("o_totalprice").cast("decimal(18,2)")).alias("mean")))
     return (t.customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
             .select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"),
-                    F.round(F.coalesce("mean", F.lit(0.0)), 4).alias("mean")))
+                    F.round(F.coalesce("mean", F.lit(0.0)), 7).alias("mean")))
 
 
 @query("group_by_bucket", """

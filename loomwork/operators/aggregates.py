@@ -22,7 +22,8 @@ def rollup_text(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], more
 
 
 def mean_or_zero(value: Column) -> Column:
-    return F.coalesce(F.avg(value), F.lit(0.0))
+    """Mean as a double, 0 for no rows. A decimal input is summed exactly, in any order."""
+    return F.coalesce(F.try_divide(F.sum(value).cast("double"), F.count(value)), F.lit(0.0))
 
 
 def any_of(value: Column, codes: Sequence[str]) -> Column:
