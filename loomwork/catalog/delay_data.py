@@ -44,6 +44,8 @@ DELAYS = [
     ("9648 - Activity", "9648", "Done by %2."),
     ("9668 - Activity", "9668", "Done by %2."),
     ("9667 - Activity", "9667", "Activities: %1."),
+    ("9652 - Activity", "9652", "Done by %2."),
+    ("9663 - Activity", "9663", "Done by %2 00:00:00."),
     ("9681 - Planning", "9681", "Activities %1 until %3."),
     ("5742 - Address Matching Delay", "5742", "Matching until %1."),
     ("9650 - Site", "9650", "Site until %2."),
@@ -56,6 +58,7 @@ DELAYS = [
     ("5480 - FTTP EU Different Instructions", "5480", "Instructions."),
     ("9561 - ECD", "9561", "Estimated date."),
     ("9562 - ECD", "9562", "Estimated date moved."),
+    ("9831 - ECD", "9831", "Estimated date again."),
     ("5750 - ECC", "5750", "Charge."),
     ("Delay_ResponseToKCINotice", "77", "Response."),
     ("593-CPDelay(SupplementaryKSU)", "593", "Provider delay."),
@@ -65,6 +68,8 @@ DELAYS = [
     ("9877-Required premium SVR", "9877", "Visit [%1] until [%2]."),
     ("9877-Required advanced SVR", "9877", "Visit [%1] until [%2]."),
     ("9902+9700_VRI Faceplate or extension kit is missing", "9902", "Kit missing."),
+    ("9903+9700_IP voice is not working", "9903", "No voice."),
+    ("9904+9700_Telecare device was found without Prove Telecare SVR", "9904", "Device found."),
     ("Excess Construction Charge with Ruggedised", "5750", "Charge."),
     ("593-Pinch point delay", "593", "Pinch point."),
     ("LLU_Out OF Time", "585", "Out of time."),
@@ -144,7 +149,7 @@ SQL = {
     "pending": """
         select key, name, value from (select 'G' || o_orderkey as key,
                case o_custkey % 5 when 0 then 'Migration from WLR' when 1 then 'Migration from SOTAP' when 2 then 'Provide' when 3 then ' ' end as SubType,
-               case o_orderkey % 4 when 0 then 'Y' when 1 then 'N' when 2 then '' end as SIM2PCPOnly,
+               case o_custkey % 4 when 0 then 'Y' when 1 then 'N' when 2 then '' end as SIM2PCPOnly,
                case o_custkey % 4 when 0 then 'W' when 1 then 'A1' when 2 then 'N' else '' end as ReappointmentReqd,
                case o_custkey % 6 when 0 then '577' when 1 then '5197' when 2 then '5867' when 3 then '100' end as delayNoteCode,
                case when o_custkey % 2 = 0 then '5463' end as LastDelayNoteCode,

@@ -163,7 +163,8 @@ def delay_audit(t):
 
 
 @query("delay_param_changes", details_sql() + " union all ".join(
-    f" select request_ts, order_number, '{name}' as name, {value} as value from details where branch = 'c' and ({cond})" for cond, name, value in dr.PARAM_CHANGES))
+    f" select request_ts, {owner} as order_number, '{name}' as name, {value} as value from details where branch = 'c' and ({cond})"
+    for cond, owner, name, value in dr.PARAM_CHANGES))
 def delay_param_changes(t):
     return dd.param_changes(details(t))
 

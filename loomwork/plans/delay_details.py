@@ -212,7 +212,7 @@ def prepare_requests(requests: DataFrame, params: DataFrame, pending: DataFrame,
     # only what rules and results name goes on: below a hundred columns the rules compile into one loop
     every = [dr.SBS_START, dr.TRIGGER, dr.BRANCH_A, dr.BRANCH_B, dr.LOOKUP, dr.BEFORE_GATE, dr.GATE, dr.AFTER_GATE_B, dr.AFTER_GATE_C, dr.LATE]
     kept = (set().union(*map(names_in, every), dr.START, RESULT_C.values())
-            | {"request_id", "request_ts", "order_number", "marker", "kci", "area_ok", "product", "reason"})
+            | {"request_id", "request_ts", "order_number", "order2", "marker", "kci", "area_ok", "product", "reason"})
     return staged(rows.select(*[c for c in rows.columns if c in kept]), "delay_requests")
 
 
@@ -262,10 +262,10 @@ def audit_of(details: DataFrame, run_ts: datetime.datetime) -> DataFrame:
 
 def param_changes(details: DataFrame) -> DataFrame:
     """Attribute changes of the branch-c rows, ready for ``changes.upsert``: ``(request_ts, order_number, name, value)``."""
-    hits = F.array(*[F.when(F.expr(cond), F.struct(F.lit(name).alias("name"), F.expr(value).alias("value")))
-                     for cond, name, value in dr.PARAM_CHANGES])
-    rows = details.where("branch = 'c'").select("request_ts", "order_number", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-    return rows.select("request_ts", "order_number", "h.name", "h.value")
+    hits = F.array(*[F.when(F.expr(cond), F.struct(F.col(owner).alias("order_number"), F.lit(name).alias("name"), F.expr(value).alias("value")))
+                     for cond, owner, name, value in dr.PARAM_CHANGES])
+    rows = details.where("branch = 'c'").select("request_ts", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return rows.select("request_ts", "h.order_number", "h.name", "h.value")
 
 
 def blanked(df: DataFrame, columns: Sequence[str], valid: Column, carried: str, reason: str) -> DataFrame:

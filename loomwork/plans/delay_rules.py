@@ -286,9 +286,14 @@ LATE: list[Rule | list[Rule]] = [[
      {"code": "'5750|9925'", "text": f"replace({q(EXCESS_CHARGE)}, '{{Delaydate}}', d5_103)"}),
 ]]
 
-# What a request changes in the attribute table: (condition, name, value).
-PARAM_CHANGES: list[tuple[str, str, str]] = [
+_LINKED_ORDER = "marker = 'Y' and order2 is not null and product like 'WLR3 PSTN%'"
+
+# What a request changes in the attribute table: (condition, owner, name, value).
+PARAM_CHANGES: list[tuple[str, str, str, str]] = [(condition, "order_number", name, value) for condition, name, value in [
+    ("product = 'EAD' and reason = '9275 - Unable to Gain Access'", "Is9275", "'Y'"),
     ("product = 'EAD' and reason = '593-Pinch point delay'", "IsPinchPointValidation", "'Y'"),
+    (f"(product = {q(GEA)} and reason = 'POSTKCI2WAITERS_578_EU_Confirmed') or reason = 'POSTKCI2WAITERS_578_EU_UnConfirmed'",
+     "578_PostKCIWAITERS_Delayreason", "reason"),
     ("true", "EUConfirmedDelay", "eu_confirmed"),
     (f"product in {among(FTTP, 'FVA')} and reason = 'GEA 572 - Delayed in Processing with Retention'",
      "572_DelayWithRetention_Reason", "reason"),
@@ -296,7 +301,17 @@ PARAM_CHANGES: list[tuple[str, str, str]] = [
     (f"(code = '565' and stage = 'KSU2' and (product like '%MPF%' or product like '%Generic Ethernet Access%' or product = {q(SOTAP)})) "
      f"or (code in ('9743', '5480') and stage = 'KSU2' and product = {q(SOTAP)}) or (code = '5197' and product like '%FTTP%')",
      "AbortiveVisitReqd", "'Y'"),
+    ("code = '9709' and reason <> '9709_DELAY_CLOSURE'", "EADOldReach", "reach"),
     ("code = '9743' and reason = '9743-delayed with SQ and then cancelling due to no response from CP or EU'", "9743Cancellation", "'Y'"),
+    (_QUEUE, "KCIDelayReason", "queue_head"),
+    (_QUEUE, "KCIDelaycodes", "substr(queue, length(queue_head) + 2)"),
+    (f"{_DEMAND} and code = '9561'", "DelayRef9561", "cast(seq as string)"),
+    (f"{_DEMAND} and code = '588'", "DelayRef588", "cast(seq as string)"),
+    ("reason = '9398_Unknown_5751_Unknown_9350_Unknown'", "ECCBehaviour", "'outside CP authorised value'"),
+    ("reason = '9797_529_Unknown_5787_Unknown'", "OrderBehaviour", "'E2E cross connect outsourcing'"),
+    ("product = 'PIA' and coalesce(code, '') <> ''", "CurrentKCIDelayReason", "reason"),
     (f"reason = '593-CPDelay(SupplementaryKSU)' and product = {q(SOGEA)}", "AppointmentFailed", "'Y'"),
     ("reason = 'Excess Construction Charge with Ruggedised'", "ECC_CheckFor5750", "'Y'"),
+]] + [
+    (f"{_LINKED_ORDER} and code in ('9666', '9651', '9681', '9650')", "order2", "KCIDelayReason", "'9494 - Linked order delayed'"),
 ]
