@@ -34,10 +34,14 @@ def _q(*values: str) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-MODIFY = "sub_order_type like '%Modify%'"
-TO_MIDDLE = f"down in ({_q(*MIDDLE_BANDWIDTHS)}) and up = '120Mbit/s'"
-TO_HIGH = f"down in ({_q(*HIGH_BANDWIDTHS)})"
-NOT_XGS = "coalesce(bandwidth, '') <> 'XGSPON'"
+# tests that many rules share; each is a column, worked out once per request
+TESTS = {
+    "is_modify": "sub_order_type like '%Modify%'",
+    "to_middle": f"down in ({_q(*MIDDLE_BANDWIDTHS)}) and up = '120Mbit/s'",
+    "to_high": f"down in ({_q(*HIGH_BANDWIDTHS)})",
+    "no_xgs": "coalesce(bandwidth, '') <> 'XGSPON'",
+}
+MODIFY, TO_MIDDLE, TO_HIGH, NOT_XGS = TESTS
 SWAP = f"coalesce(lookup_key, '') = '{SWAP_KEY}'"
 
 
@@ -112,19 +116,20 @@ def decide(facts: DataFrame) -> DataFrame:
     The swap key is settled between the rules, so it is a column before they run.
     """
     checked = F.col("product") == FTTP
+    facts = facts.withColumns({name: F.expr(test) for name, test in TESTS.items()})
     several = F.expr(f"ports > 1 and model = '2.5G' and working = 1 and {MODIFY} and {TO_MIDDLE}")
     single = F.expr(f"type not in ({_q(*SINGLE_PORT_TYPES)}) and model = '2.5G' and working = 1 and {MODIFY} and {TO_MIDDLE}")
     # a request that an early rule turns away never gets to the swap step
     early = F.expr(" or ".join(f"coalesce({condition}, false)" for condition, _ in RULES[:5]))
-    swap = checked & ~early & (F.coalesce(several, F.lit(False)) | F.coalesce(single, F.lit(False)))
-    out = facts.withColumn("lookup_key", F.when(swap, SWAP_KEY))
-    out = out.withColumn("prunes_ports", swap & F.coalesce(several, F.lit(False)))
-    out = first_rule(out, [(f"coalesce(product, '') = '{FTTP}' and {c}", new) for c, new in RULES], ["code", "reason"])
+    out = facts.withColumns({"early": early, "several": F.coalesce(several, F.lit(False)), "single": F.coalesce(single, F.lit(False))})
+    out = out.withColumn("swaps_box", F.coalesce(checked, F.lit(False)) & ~F.col("early") & (F.col("several") | F.col("single")))
+    out = out.withColumns({"lookup_key": F.when(F.col("swaps_box"), SWAP_KEY), "prunes_ports": F.col("swaps_box") & F.col("several")})
+    out = first_rule(out, [(f"product = '{FTTP}' and {c}", new) for c, new in RULES], ["code", "reason"])
     xgs = F.expr(f"{TO_HIGH} and site_visit = 'Standard' and working = 1 and {NOT_XGS} and coalesce(xgs_enabled, '') = 'Y' "
                  f"and product = '{FTTP}'")
     accepted = F.col("code").isNull()
     kind = F.when(accepted & F.col("lookup_key").isNotNull(), "box").when(accepted & F.coalesce(xgs, F.lit(False)), "xgs")
-    return out.withColumn("swap", kind)
+    return out.withColumn("swap", kind).drop(*TESTS, "early", "several", "single", "swaps_box")
 
 
 def with_new_serials(decided: DataFrame, prefix: str = "ALCLF101", letters: str = "AA", number: int = 1) -> DataFrame:
