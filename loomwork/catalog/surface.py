@@ -1,13 +1,11 @@
-"""Functions in SQL text, function pipelines, user functions and bound parameters."""
-
-import functools
+"""Functions in SQL text, chained steps, user functions and bound parameters."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.catalog.registry import query
 from loomwork.functions.registered import register
+from loomwork.operators.steps import pipe
 
 
 @query("udtf_pipe_rows", """
@@ -20,11 +18,6 @@ def udtf_pipe_rows(t):
         lateral pipe_rows(concat_ws('|', p_type, p_name, p_brand)) r""")
 
 
-def pipe(*steps):
-    """One step out of many, run from left to right."""
-    return lambda df: functools.reduce(DataFrame.transform, steps, df)
-
-
 @query("pipe_steps", """
     select o_custkey, count(*) as n, round(sum(o_totalprice * 0.9), 4) as total from orders where o_orderstatus <> 'F' group by o_custkey having count(*) > 5""")
 def pipe_steps(t):

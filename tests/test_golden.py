@@ -10,6 +10,7 @@ from loomwork.functions import dates, maths, structured, text, values
 from loomwork.operators import aggregates, changes, graph, ordering, quality, windows
 from loomwork.operators.joins import linked_record
 from loomwork.plans.eligibility import area_valid, filtered
+from loomwork.operators.steps import compose, pipe
 from loomwork.plans.rules import apply_rules, bind, first_rule
 from loomwork.sources.text import parse_sections
 
@@ -233,3 +234,13 @@ def test_area_and_filters(spark):
     n = spark.range(10)
     assert filtered(n, id=None, id_from=3, id_to=5).count() == 3
     assert filtered(n, id=[1, 2]).count() == 2
+
+
+def test_chained_steps(spark):
+    def add(df):
+        return df.withColumn("id", F.col("id") + 1)
+
+    def double(df):
+        return df.withColumn("id", F.col("id") * 2)
+    n = spark.range(1, 2)
+    assert (n.transform(pipe(add, double)).first()[0], n.transform(compose(add, double)).first()[0]) == (4, 3)
