@@ -8,16 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import piece_codec, token_counts
+from loomwork.llm import line_dedup, piece_codec, simhash, token_counts
 from loomwork.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def digest_of_ids(ids):
@@ -25,7 +30,7 @@ def digest_of_ids(ids):
     return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
 
 
-@query
+@query()
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = piece_codec.load(public_tokenizers.path("piece_bpe_32k.model"))
     coded = piece_codec.encode_decode(table(spark, folder, "documents"), model)
@@ -33,8 +38,32 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
                         sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
-@query
+@query()
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = token_counts.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     counts = token_counts.count_tokens(table(spark, folder, "documents"), tokenizer)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query()
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, bits=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, row_no, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM split),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+shared AS (SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT row_no) >= 3),
+judged AS (SELECT keyed.*, shared.k IS NOT NULL AND keyed.doc_id <> shared.holder AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id, row_no
+"""
+
+
+@query(LINE_DEDUP_SQL)
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.drop_shared_lines(table(spark, folder, "documents"), min_chars=20, min_docs=3)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), sha256_hex(F.col("__kept")).alias("kept_sha256"))
