@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import line_dedup, piece_codec, simhash, token_counts
+from loomwork.llm import line_dedup, outliers, piece_codec, quality_fm, simhash, token_counts
 from loomwork.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,16 @@ FROM judged GROUP BY doc_id, row_no
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.drop_shared_lines(table(spark, folder, "documents"), min_chars=20, min_docs=3)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), sha256_hex(F.col("__kept")).alias("kept_sha256"))
+
+
+@query()
+def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_fm.train(docs, table(spark, folder, "labels"), metadata=("n_chars",))
+    out = quality_fm.scored(docs.select("doc_id", "text", "n_chars"), model)
+    return out.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op9_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(table(spark, folder, "documents")).select("doc_id", "n_words", *outliers.BASE, "base_failed", "kept", "distance")
