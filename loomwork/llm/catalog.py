@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import line_dedup, outliers, piece_codec, quality_fm, simhash, token_counts
+from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, token_counts
 from loomwork.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,46 @@ def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(table(spark, folder, "documents")).select("doc_id", "n_words", *outliers.BASE, "base_failed", "kept", "distance")
+
+
+DECONTAMINATE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item_no, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT row_no, doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+its AS (SELECT DISTINCT item_no, item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT item_no, count(*) AS n FROM its GROUP BY item_no)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n.n) AS n_shingles
+FROM its JOIN ds USING (s) JOIN n USING (item_no) GROUP BY row_no, doc_id, item_no, item_id HAVING 100 * count(*) >= 80 * any_value(n.n)
+"""
+
+
+@query(DECONTAMINATE_SQL)
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=80, size=5)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.col("n").alias("n_shingles"))
+
+
+QUOTE_LINKS_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body,
+    nullif(trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g')), '') AS h FROM conversations),
+c AS (SELECT a.*, b.h AS h1, CASE WHEN b.turn IS NOT NULL THEN e.h END AS h2 FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+      LEFT JOIN t e ON e.conv_id = a.conv_id AND e.turn = a.turn - 2),
+both_keys AS (SELECT h AS x, coalesce(h1, '-') AS y, min((conv_id, turn)) AS id FROM c WHERE h IS NOT NULL GROUP BY ALL),
+own AS (SELECT h AS x, min((conv_id, turn)) AS id FROM c WHERE h IS NOT NULL GROUP BY ALL),
+l AS (SELECT c.conv_id, c.turn, c.role, c.body, coalesce(CASE WHEN p.id < (c.conv_id, c.turn) THEN p.id END, CASE WHEN o.id < (c.conv_id, c.turn) THEN o.id END) AS parent
+      FROM c LEFT JOIN both_keys p ON p.x = c.h1 AND p.y = coalesce(c.h2, '-') LEFT JOIN own o ON o.x = c.h1),
+r AS (SELECT conv_id, turn, (conv_id, turn) AS root, 0 AS depth FROM l WHERE parent IS NULL
+      UNION ALL SELECT l.conv_id, l.turn, r.root, r.depth + 1 FROM l JOIN r ON l.parent = (r.conv_id, r.turn))
+SELECT l.conv_id, l.turn, l.role, l.body AS text, l.parent[1] AS parent_conv, l.parent[2] AS parent_turn, r.root[1] AS root_conv, r.root[2] AS root_turn, CAST(r.depth AS BIGINT) AS depth
+FROM l JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn
+"""
+
+
+@query(QUOTE_LINKS_SQL)
+def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    messages = quote_links.quoting_messages(table(spark, folder, "conversations"), levels=3)
+    found = quote_links.linked(messages)
+    roles = messages.select(F.col("message_id").alias("id"), "role")
+    return found.join(roles, "id").select(
+        "id.conv_id", "id.turn", "role", "text", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
+        F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth")
