@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, token_counts
+from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, token_counts, warc
 from loomwork.llm.common import sha256_hex, table
+from loomwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +124,22 @@ def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(roles, "id").select(
         "id.conv_id", "id.turn", "role", "text", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth")
+
+
+# base32 has no function there: five hex digits of the SHA-1 are four characters
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+last AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest
+FROM p JOIN last USING (h)
+"""
+
+
+@query(WARC_SQL)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    path = fresh_path(spark, "warc")
+    warc.write_archives(pages, path)
+    return warc.read_pages(spark, path)
