@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, token_counts, warc
+from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, suffix_dedup, token_counts, warc
 from loomwork.llm.common import sha256_hex, table
 from loomwork.session import fresh_path
 
@@ -143,3 +143,9 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(pages, path)
     return warc.read_pages(spark, path)
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
