@@ -73,7 +73,7 @@ def quoting_messages(turns: DataFrame, levels: int = 3) -> DataFrame:
     rows = turns.select("conv_id", "turn", "role", plain.alias("body"))
     quoted = turns.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(plain).alias("said"))
     for k in range(1, levels + 1):
-        before = quoted.select("conv_id", (F.col("turn") + k).alias("turn"), F.regexp_replace("said", "(?m)^", "> " * k).alias(f"q{k}"))
+        before = quoted.select("conv_id", (F.col("turn") + k).alias("turn"), F.concat(F.lit("> " * k), F.replace("said", F.lit("\n"), F.lit("\n" + "> " * k))).alias(f"q{k}"))
         rows = rows.join(before, ["conv_id", "turn"], "left")
     said, parts = F.lit(True), []
     for k in range(1, levels + 1):  # a gap in the turns ends the quotes
