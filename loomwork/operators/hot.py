@@ -1,18 +1,18 @@
 """Work on ordered or collected groups of any size.
 
 A window or a collected list puts one whole group into one task. That is fine
-for a group whose size was measured and found small, and fatal for a key that
-holds a third of a large table. So every operator here first looks for *hot*
-keys (one narrow scan into bounded sketches, then an exact count of the few
-that stand out):
+for a small group and fatal for a key that holds a third of a large table. So
+every operator here first counts the rows of each key (a narrow scan; the counts
+combine before the shuffle):
 
-* no hot key: the plain window or grouped aggregate, nothing else;
-* hot keys: the rows of a hot key are cut into slices along the order, the
-  work runs per (key, slice), and a small table of per-slice totals carries
-  the result from one slice to the next.
+* no key above the limit: the plain window or grouped aggregate, nothing else;
+* keys above the limit: their rows are dealt by range over the keys and all order
+  columns, the work runs per key and range partition (a *slice*), and a small table of
+  per-slice totals carries the result from one slice to the next. All other rows
+  take the plain way.
 
-The number of hot keys is bounded (``MAX_HOT``), so what is collected and
-broadcast about them is too.
+The counts are exact, so no key above the limit is ever one task. Both ways give the
+same rows; only sums of floating numbers may differ in their last digits.
 
 Order columns are written as names; a leading ``-`` means descending. The
 order has to be total (end it with a unique column) for repeatable results.
@@ -25,18 +25,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HOT_ROWS = 1_000_000     # a group above this size is never handled by one task
-WHOLE_ROWS = 100_000     # a whole table up to this size is numbered by one sort
-LIST_ROWS = 100_000      # the longest list put into one row
-SHARDS = 64              # frequent-items sketches, one per share of the key hashes
-SKETCH = 512             # items tracked by a sketch
-MAX_HOT = SHARDS * SKETCH // 4
-COARSE = 16              # quantile cuts of the order column
-FINE = 256               # equal-width steps between two cuts
+from loomwork.session import fresh_path
 
-_HOT, _PARTS, _SLICE = "__hot", "__parts", "__slice"
+HOT_ROWS = 1_000_000       # a group above this size is never handled by one task
+LIST_ROWS = 100_000        # list members put into one row; longer lists go on in further rows
+BROADCAST_ROWS = 100_000   # lines of a table of hot keys or slices that are broadcast
+
+_SLICE = "__slice"
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -47,195 +43,136 @@ def _name(order: str) -> str:
     return order[1:] if order.startswith("-") else order
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> list[tuple]:
-    """``(key..., row count)`` of the groups above ``rows``.
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    One scan feeds frequent-items sketches, SHARDS of them by key hash, so what
-    is shuffled and returned is bounded whatever the number of keys. A key that
-    the sketches miss holds less than 2 * 3.5 / SKETCH of its shard, about
-    1/4500 of the table. The found keys are then counted exactly.
-    """
-    digest = F.xxhash64(*keys)
-    shards = (df.select(digest.alias("h")).groupBy(F.pmod("h", F.lit(SHARDS)).alias("shard"))
-              .agg(F.expr(f"approx_top_k(h, {SKETCH // 4}, {SKETCH})").alias("top")).collect())
-    likely = [e["item"] for s in shards for e in s["top"] if e["count"] > rows]
-    if not likely:
-        return []
-    counts = df.where(digest.isin(likely)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return [tuple(r) for r in counts.where(F.col("__n") > rows).collect()]
-
-
-def _mark(df: DataFrame, keys: Sequence[str], hot: list[tuple], rows: int) -> DataFrame:
-    """Add the number (0 = not hot) and slice count of a row's hot group."""
-    fields = [T.StructField(f"__k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-    fields += [T.StructField(_HOT, T.IntegerType()), T.StructField(_PARTS, T.LongType())]
-    table = [(*r[:-1], i + 1, -(-r[-1] // rows)) for i, r in enumerate(hot)]
-    side = F.broadcast(df.sparkSession.createDataFrame(table, T.StructType(fields)))  # <= MAX_HOT rows
+
+def _small(df: DataFrame, lines: int) -> DataFrame:
+    """Broadcast a table whose lines were counted, up to a bound; beyond it Spark chooses the join."""
+    return F.broadcast(df) if lines <= BROADCAST_ROWS else df
+
+
+def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Column:
     match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & df[k].eqNullSafe(side[f"__k{i}"])
-    marked = df.join(side, match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
-    return marked.withColumn(_HOT, F.coalesce(_HOT, F.lit(0)))
-
-
-def _position_key(df: DataFrame, name: str) -> tuple[str, bool]:
-    """SQL of a number that never falls as the column rises; and whether equal numbers mean equal values."""
-    kind = df.schema[name].dataType
-    c = f"`{name}`"
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return f"unix_micros(cast({c} as timestamp))", True
-    if isinstance(kind, T.DateType):
-        return f"cast(unix_date({c}) as bigint)", True
-    if isinstance(kind, T.StringType):
-        return f"cast(conv(rpad(hex(substring(encode({c}, 'UTF-8'), 1, 7)), 14, '0'), 16, 10) as bigint)", False
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return f"cast({c} as bigint)", True
-    return f"cast({c} as double)", isinstance(kind, (T.DoubleType, T.FloatType))
-
-
-def _number(v) -> str:
-    return f"{v}L" if isinstance(v, int) else f"{v!r}D"
-
-
-def _step_tree(v: str, cuts: list, lo: int, hi: int) -> str:
-    """Index of ``v`` among the cuts: a balanced CASE, FINE steps inside each gap."""
-    width = FINE + 1
-    if lo == hi:
-        if 0 < lo < len(cuts):
-            gap = float(cuts[lo] - cuts[lo - 1])
-            part = f"cast(({v} - {_number(cuts[lo - 1])}) / {gap!r}D * {FINE} as int)"
-            return f"{lo * width} + least({FINE - 1}, {part})"
-        return f"{lo * width}"
-    mid = (lo + hi) // 2
-    at = _number(cuts[mid])
-    return (f"case when {v} < {at} then {_step_tree(v, cuts, lo, mid)} when {v} = {at} then {mid * width + FINE} "
-            f"else {_step_tree(v, cuts, mid + 1, hi)} end")
-
-
-def _steps(df: DataFrame, order: Sequence[str]) -> tuple[Column, int, int]:
-    """A step number that never falls along ``order``, the number of steps, and the row count.
-
-    The first column gives the steps. A value of it so frequent that it fills
-    whole quantiles is cut further by the next column.
-    """
-    keys = [_position_key(df, _name(o)) for o in order]
-    grid = ", ".join(repr(i / COARSE) for i in range(1, COARSE))
-    found = df.selectExpr(*[f"percentile_approx({k}, array({grid}), 10000) as c{i}"
-                            for i, (k, _) in enumerate(keys)], "count(*) as n").first()
-    step, size, inside = "0L", 1, []
-    for i, (key, exact) in enumerate(keys):
-        raw = [v for v in (found[i] or []) if v == v]
-        cuts = sorted(set(raw))
-        if not cuts:
-            break
-        own = (len(cuts) + 1) * (FINE + 1)
-        index = f"case when {key} is null then -1 else {_step_tree(key, cuts, 0, len(cuts))} end"
-        index = f"{own} - ({index})" if order[i].startswith("-") else f"1 + ({index})"
-        if inside:
-            index = f"case when {' and '.join(inside)} then {index} else 0 end"
-        step = f"({step}) * {own + 2} + ({index})"
-        size *= own + 2
-        frequent = [v for v in cuts if raw.count(v) > 1]
-        if not exact or not frequent or size > 10_000_000:
-            break
-        inside.append(f"coalesce({key} in ({', '.join(map(_number, frequent))}), false)")
-    return F.expr(step), size, found["n"]
+    for k, n in zip(keys, names):
+        match = match & left[k].eqNullSafe(right[n])
+    return match
 
 
 @dataclass
-class Spread:
-    """Rows with their slice, and what is needed to carry totals across slices."""
+class Crowded:
+    """The keys above a limit, as a table, with their number and their rows in all."""
+
+    table: DataFrame
+    lines: int
+    rows: int
+
+    def split(self, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """(rows of other keys, rows of these keys)"""
+        side = _small(self.table, self.lines)
+        match = _equal(df, side, keys, [f"__k{i}" for i in range(len(keys))])
+        return df.join(side, match, "left_anti"), df.join(side, match, "left_semi")
+
+
+def crowded(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> Crowded | None:
+    """The keys with more than ``rows`` rows, by an exact count; None if there are none."""
+    counts = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    found = _staged(counts, "hot-keys")
+    total = found.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    return Crowded(found, total[0], total[1]) if total[0] else None
+
+
+@dataclass
+class Sliced:
+    """Rows in slices along their keys and order, and what carries totals across slices."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
-    sliced: bool
+    slices: int
 
     @property
     def window(self):
-        by = [*self.keys, _SLICE] if self.sliced else self.keys
-        if not by:
-            return Window.orderBy(*sort_columns(self.order))
-        return Window.partitionBy(*by).orderBy(*sort_columns(self.order))
+        return Window.partitionBy(*self.keys, _SLICE).orderBy(*sort_columns(self.order))
 
     def before(self, total: Column, fold) -> DataFrame:
-        """Per (hot group, slice): the totals of all earlier slices of that group, folded.
+        """Per key and slice: the totals of all earlier slices of that key, folded.
 
-        At most MAX_HOT + rows/HOT_ROWS lines, whatever the number of keys.
+        A key goes on in a slice only from the one before, so there are at most as many lines as slices and keys.
         """
-        sums = (self.df.where(F.col(_HOT) > 0).groupBy(_HOT, _SLICE)
-                .agg(total.alias("__total")))
-        earlier = Window.partitionBy(_HOT).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(_HOT, _SLICE, fold("__total").over(earlier).alias("__before"))
+        names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]
+        sums = self.df.groupBy(*names, F.col(_SLICE).alias("__at")).agg(total.alias("__total"))
+        by = [f"__k{i}" for i in range(len(self.keys))]
+        earlier = (Window.partitionBy(*by) if by else Window).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*by, "__at", fold("__total").over(earlier).alias("__before"))
 
     def carry(self, out: DataFrame, total: Column, fold, join) -> DataFrame:
         """Bring the totals of earlier slices in; ``join`` gives the columns to set."""
-        if not self.sliced:
-            return out
-        side = F.broadcast(self.before(total, fold))
-        out = out.join(side, [_HOT, _SLICE], "left")
-        return out.withColumns(join(F.col("__before"))).drop("__before")
+        side = _small(self.before(total, fold), 2 * self.slices)
+        match = (F.col(_SLICE) == F.col("__at")) & _equal(out, side, self.keys, [f"__k{i}" for i in range(len(self.keys))])
+        out = out.join(side, match, "left").drop("__at", *[f"__k{i}" for i in range(len(self.keys))])
+        return out.withColumns(join(F.col("__before"))).drop("__before", _SLICE)
 
     def add(self, out: DataFrame, total: Column, name: str) -> DataFrame:
-        return self.carry(out, total, F.sum,
-                          lambda before: {name: F.col(name) + F.coalesce(before, F.lit(0))})
+        return self.carry(out, total, F.sum, lambda before: {name: F.col(name) + F.coalesce(before, F.lit(0))})
+
 
-    def clean(self, out: DataFrame) -> DataFrame:
-        return out.drop(_HOT, _PARTS, _SLICE)
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, rows: int) -> Sliced:
+    """Deal ``count`` rows by range over keys and order, written once so that all later steps see the same slices."""
+    slices = max(df.sparkSession.sparkContext.defaultParallelism, -(-count // rows))
+    dealt = df.repartitionByRange(slices, *[F.col(k) for k in keys], *sort_columns(order))
+    return Sliced(_staged(dealt.withColumn(_SLICE, F.spark_partition_id()), "slices"), list(keys), list(order), slices)
 
 
-def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = HOT_ROWS) -> Spread:
+def _both(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, plain, spread) -> DataFrame:
+    """``plain(rows, window)`` for small keys, ``spread(slices)`` for those above the limit."""
     keys, order = list(keys), list(order)
-    if not keys:
-        # the whole table is one group: sliced unless it was counted and found small
-        step, size, n = _steps(df, order)
-        if n <= min(rows, WHOLE_ROWS):
-            return Spread(df, keys, order, False)
-        least = df.sparkSession.sparkContext.defaultParallelism
-        parts = max(least, -(-n // rows))
-        marked = df.withColumn(_HOT, F.lit(1)).withColumn(_PARTS, F.lit(parts))
-        return Spread(marked.withColumn(_SLICE, F.floor(step * parts / size)), keys, order, True)
-    hot = hot_groups(df, keys, rows)
-    if not hot:
-        return Spread(df, keys, order, False)
-    marked = _mark(df, keys, hot, rows)
-    step, size, _ = _steps(marked.where(F.col(_HOT) > 0), order)
-    cut = F.when(F.col(_HOT) > 0, F.floor(step * F.col(_PARTS) / size)).otherwise(F.lit(0))
-    return Spread(marked.withColumn(_SLICE, cut), keys, order, True)
+    if not keys:  # the whole table is one group
+        return spread(sliced(df, keys, order, df.count(), rows))
+    hot = crowded(df, keys, rows)
+    window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
+    if hot is None:
+        return plain(df, window)
+    rest, heavy = hot.split(df, keys)
+    return plain(rest, window).unionByName(spread(sliced(heavy, keys, order, hot.rows, rows)))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
              rows: int = HOT_ROWS) -> DataFrame:
     """``row_number()`` from 1 per key (or over the whole table when there is no key)."""
-    s = spread(df, keys, order, rows)
-    out = s.df.withColumn(name, F.row_number().over(s.window).cast("bigint"))
-    return s.clean(s.add(out, F.count(F.lit(1)), name))
+    def plain(part: DataFrame, window) -> DataFrame:
+        return part.withColumn(name, F.row_number().over(window).cast("bigint"))
+
+    return _both(df, keys, order, rows, plain, lambda s: s.add(plain(s.df, s.window), F.count(F.lit(1)), name))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
                 rows: int = HOT_ROWS) -> DataFrame:
     """Sum of ``value`` over this row and all earlier rows of the key."""
-    s = spread(df, keys, order, rows)
-    frame = s.window.rowsBetween(Window.unboundedPreceding, 0)
-    out = s.df.withColumn(name, F.sum(value).over(frame))
-    return s.clean(s.add(out, F.sum(value), name))
+    def plain(part: DataFrame, window) -> DataFrame:
+        return part.withColumn(name, F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+
+    return _both(df, keys, order, rows, plain, lambda s: s.add(plain(s.df, s.window), F.sum(value), name))
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                  rows: int = HOT_ROWS) -> DataFrame:
     """Replace a null ``value`` by the last one before it in the key."""
-    s = spread(df, keys, order, rows)
-    frame = s.window.rowsBetween(Window.unboundedPreceding, 0)
-    out = s.df.withColumn(value, F.last(value, ignorenulls=True).over(frame))
-    if s.sliced:
+    def plain(part: DataFrame, window) -> DataFrame:
+        return part.withColumn(value, F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def spread(s: Sliced) -> DataFrame:
         at = F.struct(*[F.col(_name(o)) for o in order])
         pick = F.min_by if order[0].startswith("-") else F.max_by
         if len({o.startswith("-") for o in order}) > 1:
             raise ValueError("fill_forward needs one direction for all order columns")
         total = pick(F.col(value), F.when(F.col(value).isNotNull(), at))
-        out = s.carry(out, total, lambda c: F.last(c, ignorenulls=True),
-                      lambda before: {value: F.coalesce(F.col(value), before)})
-    return s.clean(out)
+        return s.carry(plain(s.df, s.window), total, lambda c: F.last(c, ignorenulls=True),
+                       lambda before: {value: F.coalesce(F.col(value), before)})
+
+    return _both(df, keys, order, rows, plain, spread)
 
 
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0,
@@ -264,7 +201,7 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], make, back: int = 0, ahead: int = 0,
                rows: int = HOT_ROWS) -> DataFrame:
     """Add columns ``make(window) -> {name: Column}`` that look a few rows back or ahead."""
-    if not hot_groups(df, keys, rows):
+    if crowded(df, keys, rows) is None:
         return df.withColumns(make(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
     out, window = blocked(df, keys, order, back, ahead, rows)
     return out.withColumns(make(window)).where("__own").drop("__own", "__block", "rn")
@@ -274,20 +211,11 @@ def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
                     per_row: int = LIST_ROWS) -> DataFrame:
     """Group members as arrays in ``order``: ``(key..., part_no, items)``.
 
-    A group of up to ``per_row`` members is one row (part 0); a longer one goes
-    on in parts 1, 2, ... so that no row grows with the group.
+    Members ``per_row * p + 1`` to ``per_row * (p + 1)`` of a key are part p, for every key alike, so no row grows with its group.
     """
     names = [_name(o) for o in order]
     rows = df.select(*keys, *[c for c in names if c not in keys], value.alias("__v"))
-    if not hot_groups(rows, keys, per_row) and keys:
-        rows = rows.withColumn("part_no", F.lit(0).cast("bigint"))
-        desc = [o.startswith("-") for o in order]
-        if not any(desc) or all(desc):
-            entry = F.struct(*[F.col(c) for c in names], "__v")
-            packed = F.sort_array(F.collect_list(entry), asc=not any(desc))
-            return (rows.groupBy(*keys, "part_no").agg(packed.alias("__l"))
-                    .select(*keys, "part_no", F.col("__l.__v").alias("items")))
-    rows = numbered(rows.drop("part_no"), keys, order, "__rn")
+    rows = numbered(rows, keys, order, "__rn")
     rows = rows.withColumn("part_no", F.floor((F.col("__rn") - 1) / per_row))
     packed = F.sort_array(F.collect_list(F.struct("__rn", "__v")))
     return (rows.groupBy(*keys, "part_no").agg(packed.alias("__l"))
@@ -300,16 +228,13 @@ def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], m
 
     ``lists`` maps a text column to True for a set, False for a list that keeps
     duplicates; nulls are left out. ``n_rows`` is the row count of the whole
-    key; ``more`` adds aggregates of it. Parts as in ``collect_ordered``.
+    key; ``more`` adds aggregates of it. Members ``per_row * p + 1`` to ``per_row * (p + 1)`` of each list are part p, for every key
+    alike; a key has as many parts as its longest list needs. (Keys of at most ``per_row`` rows need one; they are collected directly.)
     """
     keys = list(keys)
     count = F.count(F.lit(1)).alias("n_rows")
-    hot = hot_groups(df, keys, per_row)
-    plain, heavy = df, None
-    if hot:
-        marked = _mark(df, keys, hot, per_row)
-        plain = marked.where(F.col(_HOT) == 0).drop(_HOT, _PARTS)
-        heavy = marked.where(F.col(_HOT) > 0).drop(_HOT, _PARTS)
+    hot = crowded(df, keys, per_row)
+    plain, heavy = (df, None) if hot is None else hot.split(df, keys)
     out = plain.groupBy(*keys).agg(
         count, *more, *[F.sort_array(F.collect_set(c) if distinct else F.collect_list(c)).alias(c)
                         for c, distinct in lists.items()])

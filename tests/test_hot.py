@@ -39,10 +39,38 @@ def test_numbered_whole_table(skewed, order):
 
 
 def test_a_hot_key_is_cut_into_slices(skewed):
-    s = hot.spread(skewed, ["k"], ["t", "id"], rows=100)
-    sizes = s.df.where("__hot > 0").groupBy("__hot", "__slice").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 200
-    assert sizes.where("__hot = 1").count() >= 8
+    found = hot.crowded(skewed, ["k"], rows=100)
+    assert {r[0] for r in found.table.collect()} == {1} and found.rows == 1000 + skewed.where("id % 3 <> 0 and id % 50 <> 1 and id % 40 = 1").count()
+    assert hot.crowded(skewed, ["k"], rows=5000) is None
+    rest, heavy = found.split(skewed, ["k"])
+    assert rest.count() + heavy.count() == 3000 and rest.where("k is null").count() > 0
+    s = hot.sliced(heavy, ["k"], ["t", "id"], found.rows, 100)
+    sizes = s.df.groupBy("__slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200 and sizes.count() >= 8
+
+
+def test_any_number_of_crowded_keys(spark):
+    """20 000 keys, each above the limit: none is missed, and the shape of a list follows from its length alone."""
+    df = spark.range(400_000).select((F.col("id") % 20_000).alias("k"), "id")
+    assert hot.crowded(df, ["k"], rows=19).lines == 20_000
+    parts = hot.collect_ordered(df, ["k"], ["id"], F.col("id"), per_row=8)
+    shape = parts.groupBy("k").agg(F.sort_array(F.collect_list(F.size("items"))).alias("n")).groupBy("n").count().collect()
+    assert [(list(r[0]), r[1]) for r in shape] == [([4, 8, 8], 20_000)]
+    values = hot.collect_values(df.withColumn("s", F.lit("x")), ["k"], {"s": False}, per_row=8)
+    shape = values.groupBy("k").agg(F.sort_array(F.collect_list(F.size("s"))).alias("n")).groupBy("n").count().collect()
+    assert [(list(r[0]), r[1]) for r in shape] == [([4, 8, 8], 20_000)]
+
+
+@pytest.mark.parametrize("order", [["s", "id"], ["-s", "id"], ["d", "-id"], ["-d", "id"]])
+def test_slices_are_even_whatever_the_order(spark, order):
+    """Long common prefixes, infinities, NaN and nulls."""
+    d = F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 11 == 0, float("inf")).when(F.col("id") % 13 == 0, float("-inf")).when(F.col("id") % 17 != 0, F.col("id") * -0.5)
+    df = spark.range(20_000).select("id", d.alias("d"), F.when(F.col("id") % 19 != 0, F.concat(F.lit("a long common prefix of text "), (F.col("id") % 500).cast("string"))).alias("s"))
+    s = hot.sliced(df, [], order, 20_000, 500)
+    assert s.df.groupBy("__slice").count().agg(F.max("count")).first()[0] <= 1000
+    got = hot.numbered(df, [], order, "rn", rows=500)
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy(*hot.sort_columns(order))).cast("bigint"))
+    assert same(got.select("id", "rn"), want.select("id", "rn"))
 
 
 def test_running_sum(skewed):
