@@ -94,14 +94,14 @@ def transpose(t):
 
 
 @query("map_transform", """
-    select r_name, string_agg(lower(n_name) || '=' || (n_nationkey * 2), ',' order by lower(n_name)) filter (where n_nationkey > 3) as doubled
+    select r_name, 0::bigint as part_no, string_agg(lower(n_name) || '=' || (n_nationkey * 2), ',' order by lower(n_name)) filter (where n_nationkey > 3) as doubled
     from nation join region on n_regionkey = r_regionkey group by r_name""")
 def map_transform(t):
     rows = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
     maps = collect_ordered(rows, ["r_name"], ["n_name"], F.struct("n_name", "n_nationkey"))
     m = F.map_filter(F.map_from_entries("items"), lambda k, v: v > 3)
     m = F.transform_keys(F.transform_values(m, lambda k, v: v * 2), lambda k, v: F.lower(k))
-    return maps.select("r_name", x.map_text(m).alias("doubled"))
+    return maps.select("r_name", "part_no", x.map_text(m).alias("doubled"))
 
 
 @query("map_lookup", """

@@ -8,9 +8,9 @@ from loomwork.catalog.registry import query
 from loomwork.functions import dates as d
 
 c = F.col
-HOLIDAYS = [datetime.date(y, m, day) for y in range(1994, 2004) for m, day in ((1, 1), (5, 1), (12, 25), (12, 26))]
+CLOSED_DAYS = ((1, 1), (5, 1), (12, 25), (12, 26))
 CALENDAR_SQL = """
-    days as (select cast(unnest(generate_series(date '1994-12-01', date '2002-12-31', interval 1 day)) as date) as day),
+    days as (select cast(unnest(generate_series((select cast(min(o_orderdate) as date) - 31 from orders), (select cast(max(o_orderdate) as date) + 183 from orders), interval 1 day)) as date) as day),
     cal as (select day, dayofweek(day) not in (0, 6) and strftime(day, '%m-%d') not in ('01-01', '05-01', '12-25', '12-26') as is_open from days),
     num as (select *, sum(is_open::int) over (order by day) as open_no from cal)"""
 
@@ -18,7 +18,8 @@ CALENDAR_SQL = """
 def order_calendar(t):
     """The calendar that covers the order dates and half a year after them."""
     low, high = t.orders.agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
-    return d.calendar(t.spark, low - datetime.timedelta(31), high + datetime.timedelta(183), HOLIDAYS)
+    low, high = low - datetime.timedelta(31), high + datetime.timedelta(183)
+    return d.calendar(t.spark, low, high, [datetime.date(y, m, day) for y in range(low.year, high.year + 1) for m, day in CLOSED_DAYS])
 
 
 @query("add_days", """

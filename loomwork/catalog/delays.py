@@ -208,6 +208,5 @@ FOLLOW_OUT = ["event_id", "code", "subsequent", "reappt", "amend_required", "con
 @query("followon_reason", f"select {', '.join(FOLLOW_OUT)} from (" + layers(
     f"select *, {REASONS} as reason, code as kci from (" + FOLLOW.replace("{events}", "events") + ")", dr.FOLLOW_ON) + ")")
 def followon_reason(t):
-    t.events.createOrReplaceTempView("loomwork_events")
-    rows = t.spark.sql(f"select *, {REASONS} as reason, code as kci from (" + FOLLOW.replace("{events}", "loomwork_events") + ")")
+    rows = t.spark.sql(f"select *, {REASONS} as reason, code as kci from (" + FOLLOW + ")", events=t.events)
     return apply_rules(rows, dr.FOLLOW_ON).select(*FOLLOW_OUT)

@@ -1,6 +1,9 @@
 """Functions in SQL text, chained steps, user functions and bound parameters."""
 
+import math
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwork.catalog.registry import query
@@ -12,10 +15,9 @@ from loomwork.operators.steps import pipe
     select p_partkey, i::int as id, string_split(p_type || '|' || p_name || '|' || p_brand, '|')[i] as data from part, (values (1), (2), (3)) v(i)""")
 def udtf_pipe_rows(t):
     register(t.spark)
-    t.part.createOrReplaceTempView("loomwork_part")
     return t.spark.sql("""
-        select p_partkey, r.id, r.data from loomwork_part,
-        lateral pipe_rows(concat_ws('|', p_type, p_name, p_brand)) r""")
+        select p_partkey, r.id, r.data from {part},
+        lateral pipe_rows(concat_ws('|', p_type, p_name, p_brand)) r""", part=t.part)
 
 
 @query("pipe_steps", """
@@ -28,14 +30,46 @@ def pipe_steps(t):
     return t.orders.transform(steps)
 
 
-@query("pandas_udf_map", """
-    select l_orderkey, l_linenumber, l_partkey, round(l_quantity * 2 + l_discount * 100, 4) as score from lineitem where l_quantity > 10""")
+@query("pandas_udf_map", "select doc_id, strip_accents(text) as plain from documents")
 def pandas_udf_map(t):
-    @F.pandas_udf("double")
-    def score(quantity: pd.Series, discount: pd.Series) -> pd.Series:
-        return quantity * 2 + discount * 100
-    rows = t.lineitem.where("l_quantity > 10")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(score("l_quantity", "l_discount"), 4).alias("score"))
+    # no built-in takes the accents off letters
+    @F.pandas_udf("string")
+    def plain(text: pd.Series) -> pd.Series:
+        return text.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True).str.normalize("NFC")
+    return t.documents.select("doc_id", plain("text").alias("plain"))
+
+
+@query("sql_scalar_function", "select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem")
+def sql_scalar_function(t):
+    """A scalar function defined in SQL text and called from SQL text."""
+    t.spark.sql("create or replace temporary function loomwork_net(price double, discount double) returns double return round(price * (1 - discount), 4)")
+    return t.spark.sql("select l_orderkey, l_linenumber, l_partkey, loomwork_net(l_extendedprice, l_discount) as net from {lineitem}", lineitem=t.lineitem)
+
+
+@query("user_aggregate", """
+    select o_custkey, round(exp(sum(ln(o_totalprice)) / count(*)), 3) as geometric_mean from orders where o_totalprice > 0 group by o_custkey""")
+def user_aggregate(t):
+    """A user's aggregate as start, step and end: partial states per task, merged per key."""
+    def start():
+        return (0, 0.0)
+
+    def step(state, row):
+        return (state[0] + 1, state[1] + math.log(row[1]))
+
+    def partial(batches):
+        states = {}
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                states[row[0]] = step(states.get(row[0], start()), row)
+                if len(states) >= 50_000:  # as a hash aggregate does: give out what there is and go on
+                    yield pa.RecordBatch.from_arrays([pa.array(list(states)), *map(pa.array, zip(*states.values()))], ["key", "n", "total"])
+                    states = {}
+        if states:
+            yield pa.RecordBatch.from_arrays([pa.array(list(states)), *map(pa.array, zip(*states.values()))], ["key", "n", "total"])
+
+    parts = t.orders.where("o_totalprice > 0").select("o_custkey", "o_totalprice").mapInArrow(partial, "key long, n long, total double")
+    return (parts.groupBy(F.col("key").alias("o_custkey")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            .select("o_custkey", F.round(F.exp(F.col("total") / F.col("n")), 3).alias("geometric_mean")))
 
 
 @query("bound_params", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and c_acctbal > 1000")

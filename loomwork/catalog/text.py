@@ -134,10 +134,13 @@ def regex_advanced(t):
         F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}&&[^\p{ASCII}]]"), F.lit(0))).cast("bigint").alias("non_ascii_letters"))
 
 
-@query("regex_repeated_word")
+@query("regex_repeated_word", r"""
+    with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]+') as p from documents),
+    n as (select doc_id, unnest(p) as a, generate_subscripts(p, 1) as i, p from w)
+    select doc_id, bool_or(regexp_full_match(a, '\p{L}+') and i + 2 <= len(p) and regexp_full_match(p[i + 1], '\s+') and p[i + 2] = a) as repeated_word from n group by doc_id""")
 def regex_repeated_word(t):
-    # a named back-reference: DuckDB's patterns have none
-    return t.documents.select("doc_id", c("text").rlike(r"(?i)\b(?<w>\p{L}+)\s+\k<w>\b").alias("repeated_word"))
+    # a named back-reference between word edges; DuckDB's patterns have none, so its SQL compares neighbouring words
+    return t.documents.select("doc_id", c("text").rlike(r"(?iu)(?<![\p{L}\p{N}_])(?<w>\p{L}+)\s+\k<w>(?![\p{L}\p{N}_])").alias("repeated_word"))
 
 
 @query("regex_rewrite", """

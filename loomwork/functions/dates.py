@@ -22,6 +22,9 @@ STYLES = {
 SURVEY_SHIFT = {7: 3, 1: 2, 2: 2, 3: 2, 4: 2, 5: 4, 6: 4}
 COMMITMENT_SHIFT = {7: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 3}
 
+#: Days of a calendar at most; it is made in the driver and broadcast.
+MOST_DAYS = 200 * 366
+
 
 def styled(value: Column, style: int) -> Column:
     return F.date_format(value, STYLES[style])
@@ -50,8 +53,10 @@ def calendar(spark: SparkSession, first: datetime.date, last: datetime.date,
 
     Open days are Monday to Friday without the holidays; ``open_no`` counts the
     open days up to and including the day. One row per day of the range, so the
-    table is small whatever the data size.
+    table is small whatever the data size; a range of over 200 years is an error.
     """
+    if (last - first).days > MOST_DAYS:
+        raise ValueError(f"a calendar from {first} to {last}: is there a stray date?")
     closed = set(holidays)
     days = [first + datetime.timedelta(i) for i in range((last - first).days + 1)]
     is_open = [d.weekday() < 5 and d not in closed for d in days]

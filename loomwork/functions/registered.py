@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
-@udtf(returnType="id int, data string")
+@udtf(returnType="id int, data string", useArrow=True)
 class PipeRows:
     """``pipe_rows('a|b')`` gives (1, a), (2, b)."""
 

@@ -29,9 +29,10 @@ def describe_json(text: Column) -> Column:
 
 
 def json_nodes(text: Column) -> Column:
-    """Number of values in a JSON text at any depth: objects, arrays and scalars; keys do not count."""
+    """Number of values in a JSON text at any depth: objects, arrays and scalars; keys do not count. Null for other text."""
     bare = F.regexp_replace(F.regexp_replace(text, _STRING, "s"), r"s\s*:", "")
-    return F.size(F.regexp_extract_all(bare, F.lit(r"[\[{]|s|-?\d[\d.eE+-]*|true|false|null"), F.lit(0)))
+    count = F.size(F.regexp_extract_all(bare, F.lit(r"[\[{]|s|-?\d[\d.eE+-]*|true|false|null"), F.lit(0)))
+    return F.when(F.try_parse_json(text).isNotNull(), count)
 
 
 def json_leaves(text: Column) -> Column:

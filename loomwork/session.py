@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +36,30 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, value)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session's context: Python steps there import it."""
+    context = spark.sparkContext
+    if getattr(context, "_loomwork_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # an installed zip is shipped by whoever installed it
+        folder = tempfile.mkdtemp(prefix="loomwork-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "loomwork.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(at, f)
+                        z.write(full, os.path.join("loomwork", os.path.relpath(full, root)))
+        context.addPyFile(path)
+    context._loomwork_shipped = True
+
+
 def build_session(app: str = "loomwork", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -48,7 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors can reach: ``spark.checkpoint.dir``.
 
     Only where the session does not name one (a bare local session, as in
-    tests) a local temporary folder takes its place.
+    tests) a local temporary folder takes its place; it goes when Python ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -58,6 +83,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = getattr(spark.sparkContext, "_loomwork_dir", None)
     if named is None:
         named = tempfile.mkdtemp(prefix="loomwork-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext._loomwork_dir = named
     return named
 

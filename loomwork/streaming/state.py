@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomwork.operators.hot import neighbours, running_sum
@@ -31,22 +32,24 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     """
     columns = df.columns
     at = [columns.index(k) for k in keys]
-    names = schema.fieldNames()
+    target = to_arrow_schema(schema)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
-                key = tuple(row[i] for i in at)
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                # null is a key like any other, and so is NaN
+                key = tuple("NaN" if row[i] != row[i] else row[i] for i in at)
                 if key != current:
                     current, state = key, start()
                 state, made = step(state, row)
                 if made is not None:
                     out.append(made)
-            yield pd.DataFrame(out, columns=names)
+            made = zip(*out) if out else [[] for _ in target]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(made, target)], schema=target)
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, schema))
+    return (df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema))
 
 
 # ---- the folds: small functions used by the batch and the stream form ----

@@ -9,14 +9,14 @@ from loomwork.operators.hot import neighbours
 from loomwork.session import fresh_path
 
 
-def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", files_per_batch: int = 8) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", bytes_per_batch: int = 256 << 20) -> DataFrame:
     """New Parquet files of a folder as a stream.
 
-    A micro-batch holds a bounded number of files, and with it a bounded number
-    of rows of any key, which is what the keyed processors sort.
+    A micro-batch holds files of a bounded size together (but always a whole file), and
+    with them a bounded number of rows of any key, which is what the keyed processors sort.
     """
     return (spark.readStream.schema(like.schema).option("pathGlobFilter", files)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+            .option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(folder))
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

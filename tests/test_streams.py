@@ -25,7 +25,7 @@ def folder(spark, events, tmp_path_factory):
 
 
 def stream(spark, folder, events):
-    return sm.read_stream(spark, folder, events, files_per_batch=1)
+    return sm.read_stream(spark, folder, events, bytes_per_batch=1)
 
 
 def keyed(df, *more):
@@ -88,3 +88,12 @@ def test_debounce(spark, folder, events):
     assert got <= batch
     assert all((end - ts).total_seconds() < 2 * 86400 for _, ts, _ in batch - got)
     assert got
+
+
+def test_null_and_nan_keys_fold_as_one_key(spark):
+    rows = [(None, 1, 1, "deposit", 10.0), (None, 2, 2, "deposit", 10.0), (None, 3, 3, "deposit", 10.0), (2**53 + 1, 1, 4, "deposit", 5.0), (2**53 + 1, 2, 5, "withdraw", 7.0)]
+    df = spark.createDataFrame(rows, "u long, ts long, event_id long, kind string, value double")
+    got = {r.event_id: (r.u, r.accepted, r.balance) for r in st.ledger(df, "u", ["ts", "event_id"], "kind", "value").collect()}
+    assert got == {1: (None, True, 10.0), 2: (None, True, 20.0), 3: (None, True, 30.0), 4: (2**53 + 1, True, 5.0), 5: (2**53 + 1, False, 5.0)}
+    nan = spark.createDataFrame([(float("nan"), k, k, "deposit", 1.0) for k in range(1, 4)], "u double, ts long, event_id long, kind string, value double")
+    assert sorted(r.balance for r in st.ledger(nan, "u", ["ts", "event_id"], "kind", "value").collect()) == [1.0, 2.0, 3.0]

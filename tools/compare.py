@@ -27,8 +27,10 @@ def duck(folder: str):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None:
         return None
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, float):
