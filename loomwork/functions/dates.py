@@ -47,14 +47,8 @@ def shifted_text(text: Column, rules: Mapping[int, int]) -> Column:
     return F.when(text.contains("T"), F.date_format(weekday_shift(day, rules), STYLES[105])).otherwise(text)
 
 
-def calendar(spark: SparkSession, first: datetime.date, last: datetime.date,
-             holidays: Iterable[datetime.date] = ()) -> DataFrame:
-    """One row per day: ``day, is_open, open_no, next_open_day``.
-
-    Open days are Monday to Friday without the holidays; ``open_no`` counts the
-    open days up to and including the day. One row per day of the range, so the
-    table is small whatever the data size; a range of over 200 years is an error.
-    """
+def calendar_days(first: datetime.date, last: datetime.date, holidays: Iterable[datetime.date] = ()) -> list[tuple]:
+    """``(day, is_open, open_no, next_open_day)`` for each day of a range of at most 200 years."""
     if (last - first).days > MOST_DAYS:
         raise ValueError(f"a calendar from {first} to {last}: is there a stray date?")
     closed = set(holidays)
@@ -68,7 +62,18 @@ def calendar(spark: SparkSession, first: datetime.date, last: datetime.date,
     for day, open_, after in zip(days, is_open, reversed(next_open)):
         count += open_
         rows.append((day, open_, count, after))
-    return spark.createDataFrame(rows, "day date, is_open boolean, open_no bigint, next_open_day date")
+    return rows
+
+
+def calendar(spark: SparkSession, first: datetime.date, last: datetime.date,
+             holidays: Iterable[datetime.date] = ()) -> DataFrame:
+    """One row per day: ``day, is_open, open_no, next_open_day``.
+
+    Open days are Monday to Friday without the holidays; ``open_no`` counts the
+    open days up to and including the day. One row per day of the range, so the
+    table is small whatever the data size; a range of over 200 years is an error.
+    """
+    return spark.createDataFrame(calendar_days(first, last, holidays), "day date, is_open boolean, open_no bigint, next_open_day date")
 
 
 def add_working_days(df: DataFrame, day: Column, n: Column | int, days: DataFrame, name: str) -> DataFrame:

@@ -11,10 +11,10 @@ import datetime
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.dates import COMMITMENT_SHIFT, SURVEY_SHIFT, calendar, shifted_text
+from loomwork.functions.dates import COMMITMENT_SHIFT, SURVEY_SHIFT, calendar_days, shifted_text
 from loomwork.functions.structured import without_note
 from loomwork.functions.text import queue_head
 from loomwork.operators.aggregates import to_wide
@@ -143,18 +143,18 @@ def _slots(rows: DataFrame, params: DataFrame) -> DataFrame:
                             for n, (to, _) in names.items()}).drop(*[f"__{n}" for n in names])
 
 
-def date_texts(spark: SparkSession, run_ts: datetime.datetime, holidays: Sequence[datetime.date] = ()) -> dict[str, str]:
+def date_texts(run_ts: datetime.datetime, holidays: Sequence[datetime.date] = ()) -> dict[str, str]:
     """Date texts the rules put in. They depend on the run day only, so they become literals of the rules."""
     day = run_ts.date()
-    # sixty-one days: looked up here once instead of joined to every request
-    table = {r.day: r for r in calendar(spark, day, day + datetime.timedelta(60), holidays).collect()}
-    open_days = {r.open_no: r.day for r in table.values() if r.is_open}
-    at = table[day].open_no
+    # sixty-one days, looked up here instead of joined to every request
+    table = {row[0]: row for row in calendar_days(day, day + datetime.timedelta(60), holidays)}
+    open_days = {open_no: on for on, is_open, open_no, _ in table.values() if is_open}
+    at = table[day][2]
     plus = {n: day + datetime.timedelta(n) for n in (0, 1, 2, 5, 15, 30, 31, 40)}
     texts = {f"w{n}": open_days[at + n].strftime("%d-%m-%Y") for n in (1, 2, 3, 4, 5, 10, 14, 15, 16, 17)}
     texts |= {f"d{n}_103": plus[n].strftime("%d/%m/%Y") for n in (0, 5, 15, 30, 31, 40)}
     texts |= {f"d{n}_105": plus[n].strftime("%d-%m-%Y") for n in (1, 2)} | {"d30_iso": plus[30].isoformat(), "d40_iso": plus[40].isoformat()}
-    return texts | {"next_open": table[day].next_open_day.strftime("%d/%m/%Y"), "run_stamp": run_ts.strftime("%d/%m/%Y %H:%M:%S")}
+    return texts | {"next_open": table[day][3].strftime("%d/%m/%Y"), "run_stamp": run_ts.strftime("%d/%m/%Y %H:%M:%S")}
 
 
 def _rules_joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -219,12 +219,13 @@ def prepare_requests(requests: DataFrame, params: DataFrame, pending: DataFrame,
 def delay_details(ready: DataFrame, run_ts: datetime.datetime, holidays: Sequence[datetime.date] = (),
                   first_sequence: int = 0) -> DataFrame:
     """Rows of all branches after all rules, with their sequence numbers."""
-    days = date_texts(ready.sparkSession, run_ts, holidays)
+    days = date_texts(run_ts, holidays)
     ready = ready.withColumn("available_date", F.lit(days["d30_iso"]))
     done = staged(reduce(DataFrame.unionByName, _branches(ready, days)), "delay_branches")
     issued = done.where("valid <> 'N'").select("request_id", "branch", "request_ts")
     issued = numbered(issued, [], ["request_ts", "request_id", "branch"], "seq").select(
         "request_id", "branch", (F.col("seq") + first_sequence).alias("__seq"))
+    issued = staged(issued, "delay_numbers")  # both halves of the union below read it
     rows = (done.join(issued, ["request_id", "branch"], "left")
             .withColumn("seq", F.coalesce("__seq", "seq")).drop("__seq"))
     late = apply_rules(rows.where("branch = 'c'"), bind(dr.LATE, days))

@@ -142,8 +142,8 @@ def with_new_serials(decided: DataFrame, prefix: str = "ALCLF101", letters: str
 
 def check_orders(requests: DataFrame, units: DataFrame, ports: DataFrame, addresses: DataFrame, exchange_params: DataFrame,
                  order_params: DataFrame, switch_on: bool) -> DataFrame:
-    """All requests with decision, swap and new serial. Facts and decisions are staged: several steps read them."""
-    facts = staged(gather_facts(requests, units, ports, addresses, exchange_params, order_params, switch_on), "order_facts")
+    """All requests with decision, swap and new serial. The decisions are staged: several steps read them."""
+    facts = gather_facts(requests, units, ports, addresses, exchange_params, order_params, switch_on)
     return with_new_serials(staged(decide(facts), "order_decisions"))
 
 
