@@ -309,6 +309,8 @@ PARAM_CHANGES: list[tuple[str, str, str, str]] = [(condition, "order_number", na
     (f"{_DEMAND} and code = '588'", "DelayRef588", "cast(seq as string)"),
     ("reason = '9398_Unknown_5751_Unknown_9350_Unknown'", "ECCBehaviour", "'outside CP authorised value'"),
     ("reason = '9797_529_Unknown_5787_Unknown'", "OrderBehaviour", "'E2E cross connect outsourcing'"),
+    ("code = '9808' and reason = '9808 - Provide valid Handover Port Service ID(9543)'", "iL2SIdModified", "'Y'"),
+    ("code = '9808' and reason = '9808 - Provide valid Handover Port Service ID(9543)'", "OrderBehaviour", "'9543 Valid OHP (SIM2)'"),
     ("product = 'PIA' and coalesce(code, '') <> ''", "CurrentKCIDelayReason", "reason"),
     (f"reason = '593-CPDelay(SupplementaryKSU)' and product = {q(SOGEA)}", "AppointmentFailed", "'Y'"),
     ("reason = 'Excess Construction Charge with Ruggedised'", "ECC_CheckFor5750", "'Y'"),
