@@ -87,7 +87,7 @@ def base_statistics(docs: DataFrame, text: Column, keep: list[Column]) -> DataFr
 def transformed() -> list[Column]:
     """The statistics that are compared, nearly symmetric for clean texts: length, word length, symbols a word, repeated lines and words."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), F.log1p(F.col("n_symbols") / n), F.log1p(10 * F.col("n_dup_lines") / n), F.log1p(F.col("n_repeat_words") / n)]
+    return [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), F.log1p(F.col("n_symbols") / n), F.log1p(5 * F.col("n_dup_lines") / n), F.log1p(F.col("n_repeat_words") / n)]
 
 
 def _key(*cols: str) -> Column:

@@ -52,7 +52,7 @@ def estimate(x):
 
 def transformed(b):
     n = max(1, b[0])
-    return np.round(np.log1p([b[0], b[1] / n, b[2] / n, 10 * b[3] / n, b[4] / n]) * outliers.GRID)
+    return np.round(np.log1p([b[0], b[1] / n, b[2] / n, 5 * b[3] / n, b[4] / n]) * outliers.GRID)
 
 
 def test_base_counts(spark):
