@@ -1,14 +1,14 @@
 """Long repeated byte strings, by a suffix sort whose comparisons are hash look-ups.
 
-Only suffixes at anchors are sorted. An anchor is the place of the least k-byte hash in
-some window of ``length`` bytes; equal windows have their anchor at the same place, so a
-repeated window shows as two anchors with the same k bytes. Anchors whose surroundings
-are all alike are settled by counting. Where they differ, one context for each
-different surrounding goes to a task that sorts the suffixes to the right of the
-anchors, and the prefixes to their left, by mergesort: prefix polynomial hashes give the
-hash of any substring, binary search over lengths finds a common extension, so a
-comparison takes logarithmically many steps. The extensions of neighbours, verified on
-the bytes, then tell which windows occur twice.
+Only suffixes at anchors are sorted. The anchor of a window of ``length`` bytes is the
+leftmost place of its least k-byte hash; equal windows have their anchor at the same
+place, so a repeated window shows as two anchors with the same k bytes. The bytes of all
+windows of an anchor are its context. Anchors whose contexts are all alike are settled by
+counting. Where they differ, each different context goes once to a task that sorts the
+suffixes to the right of the anchors, and the prefixes to their left, by mergesort: prefix
+polynomial hashes give the hash of any substring, binary search over lengths finds a
+common extension, so a comparison takes logarithmically many steps. The extensions of
+neighbours, verified on the bytes, then tell which windows occur twice.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from loomwork.llm.common import slices, texts_of, written
 #: Bytes of an anchor.
 ANCHOR = 40
 #: Contexts of one anchor string that one task sorts; beyond it windows are counted by their hash.
-TASK_CONTEXTS = 1 << 15
-#: Contexts sorted at a time.
+TASK_CONTEXTS = 1 << 17
+#: Contexts sorted at a time, unless one anchor has more (some 3 kB of hashes each).
 CHUNK = 1 << 14
 
 _rng = np.random.default_rng(20240229)
@@ -50,16 +50,25 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of a buffer: prefix sums of byte * base^place, brought to place 0 by the inverse power."""
+    """Hashes of all substrings of the texts in a buffer: prefix sums of byte * base^place, brought to place 0 by the inverse power.
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_BASE, n), out=self.prefix[1:])
-        self.back = _powers(_UNBASE, n + 1)
+    Places count from the start of a row of ``width`` bytes; a text lies within a row.
+    """
+
+    def __init__(self, data: np.ndarray, width: int):
+        rows = -(-len(data) // width)
+        self.width = width
+        self.prefix = np.zeros((rows, width + 1), np.uint64)
+        padded = np.zeros(rows * width, np.uint8)
+        padded[:len(data)] = data
+        np.cumsum(_BYTE[padded.reshape(rows, width)] * _powers(_BASE, width), axis=1, out=self.prefix[:, 1:])
+        self.prefix = self.prefix.reshape(-1)
+        self.back = _powers(_UNBASE, width + 1)
 
-    def of(self, at: np.ndarray, length) -> np.ndarray:
-        return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
+    def of(self, row: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of the bytes ``at`` to ``at + length`` of rows."""
+        begin = row * (self.width + 1) + at
+        return (self.prefix[begin + length] - self.prefix[begin]) * self.back[at]
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -72,15 +81,14 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:len(x) - width + 1], out[width - reach: len(x) - reach + 1]) if reach < width else out
 
 
-def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which text, place, k-byte hash) of the anchors: all places of the least k-byte hash of some window of ``length`` bytes within a text."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, place, first window, last window, k-byte hash) of the anchors of all windows of ``length`` bytes within the texts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return none
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
     sizes = np.array([len(t) for t in texts])
     stops = np.cumsum(sizes)
-    prefix = Hashes(data)
+    prefix = Hashes(data, len(data))
     n = len(data) - k + 1
     h = (prefix.prefix[k:] - prefix.prefix[:n]) * prefix.back[:n]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -94,13 +102,24 @@ def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.nda
     # a place is an anchor if the greatest least hash of the windows around it is its own
     edge = np.zeros(width - 1, np.uint64)
     most = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-    at = np.flatnonzero((most == h) & (most > 0))
+    places = np.flatnonzero((most == h) & (most > 0))
+    # windows in a row with the same least hash share the leftmost place that has it, up to that place
+    cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    first, last = cut, np.append(cut[1:], len(least)) - 1
+    first, last = first[least[first] > 0], last[least[first] > 0]
+    found = []
+    while len(first):
+        at = np.searchsorted(places, first)
+        while len(other := np.flatnonzero(h[places[at]] != least[first])):
+            at[other] += 1
+        at = places[at]
+        found.append(np.stack([at, first, np.minimum(last, at)]))
+        more = at < last  # the hash comes again in later windows
+        first, last = at[more] + 1, last[more]
+    at, first, last = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
     doc = np.searchsorted(stops, at, "right")
-    return doc, at - (stops - sizes)[doc], h[at]
-
-
-def _context(text: bytes, at: int, left: int, length: int) -> bytes:
-    return text[at - left: at + length]
+    begin = (stops - sizes)[doc]
+    return doc, at - begin, first - begin, last - begin, h[at]
 
 
 def _anchor_rows(length: int, k: int):
@@ -108,12 +127,11 @@ def _anchor_rows(length: int, k: int):
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, "text"):
             texts = texts_of(batch)
-            doc, at, h = anchors(texts, length, k)
-            left = np.minimum(at, length - k)
-            around = np.fromiter((digest(_context(texts[d], a, b, length), b) for d, a, b in zip(doc.tolist(), at.tolist(), left.tolist())), np.uint64, len(at))
+            doc, at, first, last, h = anchors(texts, length, k)
+            around = np.fromiter((digest(texts[d][a:b], c) for d, a, b, c in zip(doc.tolist(), first.tolist(), (last + length).tolist(), (at - first).tolist())), np.uint64, len(at))
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array(at, pa.int32())],
-                                             ["anchor", "around", "k1", "k2", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), batch.column("k1").take(rows), batch.column("k2").take(rows),
+                                              pa.array((first << 16) | ((at - first) << 8) | (last - first))], ["anchor", "around", "k1", "k2", "place"])
 
     return work
 
@@ -124,22 +142,21 @@ class Contexts:
     def __init__(self, group: np.ndarray, texts: list[bytes], left: np.ndarray, length: int):
         sizes = np.array([len(t) for t in texts])
         self.length, self.group = length, group
-        self.buffer = b"".join(texts)
+        self.width = int(sizes.max())
+        self.buffer = b"".join(t.ljust(self.width, b"\0") for t in texts)
         self.data = np.frombuffer(self.buffer, np.uint8)
-        self.hashes = Hashes(self.data)
-        stops = np.cumsum(sizes)
-        self.place = stops - sizes + left
-        self.left, self.right = left, np.minimum(stops - self.place, length)
+        self.hashes = Hashes(self.data, self.width)
+        self.place = np.arange(len(texts)) * self.width + left
+        self.left, self.right = left, np.minimum(sizes - left, length)
 
     def extension(self, a: np.ndarray, b: np.ndarray, back: bool) -> np.ndarray:
         """How far items a and b agree, to the right of their anchors or (back) to the left: binary search over lengths."""
         room = self.left if back else self.right
         low, high = np.zeros(len(a), np.int64), np.minimum(room[a], room[b])
-        pa_, pb = self.place[a], self.place[b]
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            x, y = (pa_ - mid, pb - mid) if back else (pa_, pb)
-            same = self.hashes.of(x, mid) == self.hashes.of(y, mid)
+            x, y = (self.left[a] - mid, self.left[b] - mid) if back else (self.left[a], self.left[b])
+            same = self.hashes.of(a, x, mid) == self.hashes.of(b, y, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
@@ -264,14 +281,14 @@ def _settle(length: int, k: int):
     return work
 
 
-def _windows(length: int, k: int):
+def _windows(length: int):
     """Each window around an anchor with two hashes, for anchors with too many contexts for one task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, back, w1, w2 = [], [], [], []
             for r, (text, left) in enumerate(zip(batch.column("context").to_pylist(), batch.column("left").to_pylist())):
-                for at in range(max(0, left - (length - k)), min(left, len(text) - length) + 1):
+                for at in range(len(text) - length + 1):
                     whole = xxhash.xxh3_128_intdigest(text[at: at + length])
                     row.append(r)
                     back.append(left - at)
@@ -292,7 +309,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k1"), batch.column("k2"), packed], ["id", "k1", "k2", "packed"])
 
 
-def _cut(length: int, k: int):
+def _cut(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -300,8 +317,8 @@ def _cut(length: int, k: int):
             for packed, places in zip(batch.column("packed").to_pylist(), batch.column("places").to_pylist()):
                 text = unpack.decompress(packed)
                 for p in places:
-                    left = min(p["place"], length - k)
-                    out.append((p["anchor"], p["around"], left, _context(text, p["place"], left, length)))
+                    first, left, more = p["place"] >> 16, (p["place"] >> 8) & 255, p["place"] & 255
+                    out.append((p["anchor"], p["around"], left, text[first: first + more + length]))
             for at in range(0, len(out), 8192):
                 cols = list(zip(*out[at: at + 8192]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
@@ -341,35 +358,40 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     judged on the input. ``n_spans`` counts maximal removed runs. Null texts are empty; repeated rows are texts of their own (and so lose what they share); ids are
     passed on. An empty table gives an empty result; further columns are ignored.
     """
+    if not 0 < k <= length <= k + 255:
+        raise ValueError("an anchor is shorter than a string, by at most 255 bytes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.pmod(F.xxhash64("text", "id", F.lit(1)), F.lit(2147483647)).cast("int").alias("k2"))
     keys = ["k1", "k2"]
-    found = rows.mapInArrow(_anchor_rows(length, k), "anchor long, around long, k1 long, k2 int, place int")
+    found = rows.mapInArrow(_anchor_rows(length, k), "anchor long, around long, k1 long, k2 int, place long")
     # anchors that occur twice; are all their surroundings alike?
     twice = written(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
                     .where("n > 1").select("anchor", F.expr("least <> most").alias("mixed")), "anchors")
     found = written(found.join(twice, "anchor"), "repeated-anchors")
-    alike = found.where(~F.col("mixed")).select(*keys, (F.col("place") - (length - k)).alias("start"), (F.col("place") + length).alias("stop"))
+    # a place holds the first window, the bytes from there to the anchor, and the windows after the first
+    first, left, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
+    alike = found.where(~F.col("mixed")).select(*keys, first.alias("start"), (first + more + length).alias("stop"))
     mixed = found.where("mixed").drop("mixed")
     # one context for each different surrounding goes on, however often it occurs
     contexts = mixed.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("first"))
     contexts = written(contexts.select("anchor", "around", "n", "first.*"), "contexts")
     packed = rows.mapInArrow(_pack, "id long, k1 long, k2 int, packed binary")
     places = contexts.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "around", "place")).alias("places"))  # no more than the text has anchors
-    cut = packed.join(places, keys).select("packed", "places").mapInArrow(_cut(length, k), "anchor long, around long, left int, context binary")
+    cut = packed.join(places, keys).select("packed", "places").mapInArrow(_cut(length), "anchor long, around long, left int, context binary")
     crowded = written(contexts.groupBy("anchor").count().where(F.col("count") > task_contexts).select("anchor"), "crowded")
     if crowded.limit(1).count():
         cut = written(cut, "cut")
         few, many = cut.join(crowded, "anchor", "left_anti"), cut.join(crowded, "anchor", "left_semi")
-        windows = many.mapInArrow(_windows(length, k), "anchor long, around long, back int, w1 long, w2 long").distinct()
+        windows = many.mapInArrow(_windows(length), "anchor long, around long, back int, w1 long, w2 long").distinct()
         again = written(windows.groupBy("anchor", "back", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "windows")
-        more = windows.join(again, ["anchor", "back", "w1", "w2"]).select("anchor", "around", (-F.col("back")).alias("start"), (length - F.col("back")).alias("stop"))
+        crowd = windows.join(again, ["anchor", "back", "w1", "w2"]).select("anchor", "around", (-F.col("back")).alias("start"), (length - F.col("back")).alias("stop"))
     else:
-        few, more = cut, None
+        few, crowd = cut, None
     settled = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle(length, k), SPANS)
-    settled = settled if more is None else settled.union(more)
-    often = contexts.where("n > 1").select("anchor", "around", F.lit(k - length).alias("start"), F.lit(length).alias("stop"))
-    some = mixed.join(settled.union(often), ["anchor", "around"]).select(*keys, (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
+    settled = settled if crowd is None else settled.union(crowd)
+    often = contexts.where("n > 1").select("anchor", "around", (-left).alias("start"), (more - left + length).alias("stop"))
+    at = first + left
+    some = mixed.join(settled.union(often), ["anchor", "around"]).select(*keys, (at + F.col("start")).alias("start"), (at + F.col("stop")).alias("stop"))
     spans = alike.union(some).groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # no more than the text has anchors
     return packed.join(spans, keys, "left").select("id", "packed", "spans").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
