@@ -50,16 +50,15 @@ def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "bod
     found = found.select("id", F.coalesce(earlier("both"), earlier("own")).alias("parent")).where("parent is not null")
     # rows that repeat an id may quote differently: the smallest original counts
     links = written(found.groupBy("id").agg(F.min("parent").alias("parent")), "reply-links")
-    # pointers double their reach in each round; ids fall along a pointer, so all end at a root
-    reach = links.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
-    while True:
-        step = reach.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        reach = written(reach.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+    # pointers double their reach in each round; ids fall along a pointer, so all end at a root, and those that have go no further
+    moving, done = links.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), None
+    while done is None or moving.limit(1).count():
+        step = (moving if done is None else done.unionByName(moving)).select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        after = written(moving.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
                                                                  F.col("next").isNotNull().alias("moved")), "reach")
-        if not reach.where("moved").limit(1).count():
-            break
-        reach = reach.drop("moved")
-    ends = links.join(reach.select("id", "root", "depth"), "id")
+        ended = after.where(~F.col("moved")).drop("moved")
+        done, moving = ended if done is None else done.unionByName(ended), after.where("moved").drop("moved")
+    ends = links.join(done, "id")
     return (parsed.select("id", "text").join(ends, "id", "left")
             .select("id", "text", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
 
