@@ -129,8 +129,9 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int,
 def _both(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, plain, spread) -> DataFrame:
     """``plain(rows, window)`` for small keys, ``spread(slices)`` for those above the limit."""
     keys, order = list(keys), list(order)
-    if not keys:  # the whole table is one group
-        return spread(sliced(df, keys, order, df.count(), rows))
+    if not keys:  # the whole table is one group, with the same limit
+        n = df.count()
+        return plain(df, Window.orderBy(*sort_columns(order))) if n <= rows else spread(sliced(df, keys, order, n, rows))
     hot = crowded(df, keys, rows)
     window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
     if hot is None:

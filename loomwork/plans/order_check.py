@@ -142,8 +142,11 @@ def with_new_serials(decided: DataFrame, prefix: str = "ALCLF101", letters: str
 
 def check_orders(requests: DataFrame, units: DataFrame, ports: DataFrame, addresses: DataFrame, exchange_params: DataFrame,
                  order_params: DataFrame, switch_on: bool) -> DataFrame:
-    """All requests with decision, swap and new serial. The decisions are staged: several steps read them."""
-    facts = gather_facts(requests, units, ports, addresses, exchange_params, order_params, switch_on)
+    """All requests with decision, swap and new serial.
+
+    The decisions are staged as several steps read them, the facts as the rules read each of them many times (without it a quarter slower).
+    """
+    facts = staged(gather_facts(requests, units, ports, addresses, exchange_params, order_params, switch_on), "order_facts")
     return with_new_serials(staged(decide(facts), "order_decisions"))
 
 
