@@ -2,8 +2,8 @@
 
 Each text becomes a vector of transformed statistics. Per language and source the
 minimum-covariance-determinant estimate is found by concentration steps: distances
-from the present centre and covariance, the closest three quarters of the rows, a
-new centre and covariance from those. Texts far from their group's final estimate by
+from the present centre and covariance, the closest half of the rows, a new centre
+and covariance from those, so that up to a third of a group may be foreign copies. Texts far from their group's final estimate by
 Mahalanobis distance are rejected. All sums run over whole numbers, so they don't
 depend on the order of rows.
 """
@@ -25,8 +25,8 @@ GRID = 1024
 #: The least standard deviation that counts for each transformed statistic: below it differences don't matter.
 FLOORS = (1.0, 0.2, 0.1, 0.15, 0.07)
 DIM = len(FLOORS)
-#: The share of rows that an estimate rests on.
-CORE = 0.75
+#: The share of rows that an estimate rests on; a larger core would take in a group of copies with the rows it lacks, and such copies would hide themselves.
+CORE = 0.5
 STEPS = 4
 #: The chance that a normal row lies beyond the cut.
 TAIL = 0.01

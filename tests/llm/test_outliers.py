@@ -91,5 +91,15 @@ def test_small_and_null_groups(spark):
     assert outliers.judged(frame(spark, [])).count() == 0
 
 
+def test_a_third_of_junk_copies_is_rejected(spark):
+    clean = [(i, t, "en", "a") for i, t, *_ in corpus(400) if i % 11 and i % 7 and i % 13]
+    junk = " ".join(f"word{i} ###" for i in range(60))
+    for near in (False, True):
+        rows = clean + [(1000 + k, junk + " more" * (k % 4 if near else 0), "en", "a") for k in range(len(clean) // 2)]
+        got = outliers.judged(frame(spark, rows)).collect()
+        assert not any(r.kept for r in got if r.doc_id >= 1000) and not any(r.base_failed for r in got)
+        assert sum(r.kept for r in got if r.doc_id < 1000) > 0.95 * len(clean)
+
+
 def test_chi_square():
     assert abs(outliers.chi2_cut(0.95, 5) - 11.0705) < 1e-3 and abs(outliers.chi2_share(4.3515, 5) - 0.5) < 1e-4
