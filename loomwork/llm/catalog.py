@@ -119,11 +119,11 @@ FROM l JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn
 @query(QUOTE_LINKS_SQL)
 def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     messages = quote_links.quoting_messages(table(spark, folder, "conversations"), levels=3)
-    found = quote_links.linked(messages)
-    roles = messages.select(F.col("message_id").alias("id"), "role")
-    return found.join(roles, "id").select(
-        "id.conv_id", "id.turn", "role", "text", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
-        F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth")
+    found = quote_links.linked(messages, passed=("conv_id", "turn", "role"))
+    root = lambda c: F.when(F.col("id").isNull(), F.col(c)).otherwise(F.col(f"root.{c}"))
+    return found.select(
+        "conv_id", "turn", "role", "text", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
+        root("conv_id").alias("root_conv"), root("turn").alias("root_turn"), "depth")
 
 
 # base32 has no function there: five hex digits of the SHA-1 are four characters

@@ -27,18 +27,18 @@ def passage_hash(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.substring(F.sha2(F.encode(plain, "UTF-8"), 256), 1, 32))
 
 
-def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "body") -> DataFrame:
+def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "body", passed: tuple[str, ...] = ()) -> DataFrame:
     """``id, text, parent, root, depth`` for each message: its own text without quotes, the message it answers, and its conversation.
 
     A message answers the smallest id that is smaller than its own and whose own text is the quoted passage of level 1, and whose quoted passage of level 1 is
     the passage of level 2 here; failing that (a quote that was shortened), the smallest id with that own text. So links lead back and never form a circle.
     Messages that answer nothing, or whose original is absent or empty, are roots of depth 0. In the order of (root, depth, id) each message comes after the
     one it answers. A null body is empty. Rows that repeat an id are all passed on and share their links; rows with a null id are roots of their own. Empty tables
-    give an empty result. Ids may be of any type that can be ordered; further columns are ignored.
+    give an empty result. Ids may be of any type that can be ordered. The columns named in ``passed`` follow, each row with its own; others are ignored.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
-    parsed = messages.select(F.col(id_col).alias("id"), *[level_text(body, k).alias(f"t{k}") for k in range(3)])
-    parsed = written(parsed.select("id", F.col("t0").alias("text"), *[passage_hash(F.col(f"t{k}")).alias(f"h{k}") for k in range(3)]), "messages")
+    parsed = messages.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *passed).alias("passed"), *[level_text(body, k).alias(f"t{k}") for k in range(3)])
+    parsed = written(parsed.select("id", "passed", F.col("t0").alias("text"), *[passage_hash(F.col(f"t{k}")).alias(f"h{k}") for k in range(3)]), "messages")
     known = parsed.where("id is not null and h0 is not null")
     none = F.lit("-")
     # one row a text: what thousands of messages share is one candidate, found before the shuffle by partial minima
@@ -59,14 +59,14 @@ def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "bod
         ended = after.where(~F.col("moved")).drop("moved")
         done, moving = ended if done is None else done.unionByName(ended), after.where("moved").drop("moved")
     ends = links.join(done, "id")
-    return (parsed.select("id", "text").join(ends, "id", "left")
-            .select("id", "text", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
+    return (parsed.select("id", "passed", "text").join(ends, "id", "left")
+            .select("id", "text", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), *[F.col("passed")[c].alias(c) for c in passed]))
 
 
 def quoting_messages(turns: DataFrame, levels: int = 3) -> DataFrame:
     """Mail-like messages from conversation turns: each quotes the turn before it, with that turn's quotes, up to ``levels`` levels.
 
-    ``message_id`` is (conv_id, turn). Own lines that begin with ``>`` get a space before them. Of rows that repeat a turn the smallest text is quoted.
+    ``message_id`` is (conv_id, turn), null where either is: such rows are no turn of a conversation that others could answer. Own lines that begin with ``>`` get a space before them. Of rows that repeat a turn the smallest text is quoted.
     """
     plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "(?m)^>", " >")
     rows = turns.select("conv_id", "turn", "role", plain.alias("body"))
@@ -78,4 +78,4 @@ def quoting_messages(turns: DataFrame, levels: int = 3) -> DataFrame:
     for k in range(1, levels + 1):  # a gap in the turns ends the quotes
         said = said & F.col(f"q{k}").isNotNull()
         parts.append(F.when(said, F.col(f"q{k}")))
-    return rows.select(F.struct("conv_id", "turn").alias("message_id"), "conv_id", "turn", "role", F.concat_ws("\n", "body", *parts).alias("body"))
+    return rows.select(F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct("conv_id", "turn")).alias("message_id"), "conv_id", "turn", "role", F.concat_ws("\n", "body", *parts).alias("body"))

@@ -1,4 +1,5 @@
 from llm.conftest import LONG, same
+from loomwork.llm.catalog import op8_quote_links
 from loomwork.llm.quote_links import linked, quoting_messages
 
 SCHEMA = "message_id long, body string, parent string, h0 string, root int"
@@ -38,3 +39,11 @@ def test_messages_quote_the_turns_before(spark):
     turns = [(1, 0, "user", "a\n> odd"), (1, 1, "assistant", "b"), (1, 2, "user", None), (1, 3, "assistant", "d"), (2, 1, "user", "z"), (None, 1, "user", "n"), (1, 4, "user", "e"), (1, 4, "user", "e2")]
     got = {(r.conv_id, r.turn, r.body) for r in quoting_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 2).collect()}
     assert got == {(1, 0, "a\n > odd"), (1, 1, "b\n> a\n>  > odd"), (1, 2, "\n> b\n> > a\n> >  > odd"), (1, 3, "d\n> \n> > b"), (2, 1, "z"), (None, 1, "n"), (1, 4, "e\n> d\n> > "), (1, 4, "e2\n> d\n> > ")}
+
+
+def test_the_query_passes_each_row_on_once(spark, tmp_path):
+    turns = [(1, 0, "user", "a"), (1, 0, "system", "a2"), (1, 1, "user", "b"), *[(None, 0, f"r{k}", "a") for k in range(4)], (1, None, "user", "n")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert same(op8_quote_links(spark, str(tmp_path)).collect(), [
+        (1, 0, "user", "a", None, None, 1, 0, 0), (1, 0, "system", "a2", None, None, 1, 0, 0), (1, 1, "user", "b", 1, 0, 1, 0, 1),
+        *[(None, 0, f"r{k}", "a", None, None, None, 0, 0) for k in range(4)], (1, None, "user", "n", None, None, 1, None, 0)])
