@@ -27,27 +27,55 @@ def passage_hash(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.substring(F.sha2(F.encode(plain, "UTF-8"), 256), 1, 32))
 
 
+def level_hashes(body: Column) -> Column:
+    """``level, hash`` of each quote level that has words, own text (level 0) first."""
+    lines = F.transform(F.split(body, "\n", -1), lambda x: F.struct(F.length(F.replace(F.regexp_extract(x, MARKS, 0), F.lit(" "), F.lit(""))).alias("level"), F.regexp_replace(x, MARKS, "").alias("text")))
+    of = lambda k: F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == k), lambda x: x["text"]), "\n")
+    levels = F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["level"])))
+    return F.filter(F.transform(levels, lambda k: F.struct(k.alias("level"), passage_hash(of(k)).alias("hash"))), lambda x: x["hash"].isNotNull())
+
+
+def _chain(above: int) -> Column:
+    """What lies below level ``above`` as texts, the levels counted from there."""
+    return F.transform(F.filter("levels", lambda x: x["level"] > above), lambda x: F.concat((x["level"] - above).cast("string"), F.lit(":"), x["hash"]))
+
+
+def _keyed(rows: DataFrame, about: str, chain: str) -> DataFrame:
+    """A row for each length of the chain, from none to all, and one for all and its end: ``key`` and ``rank``, larger for longer ones."""
+    key = lambda k: F.concat_ws("|", F.slice(chain, F.lit(1), k))
+    some = F.transform(F.sequence(F.lit(0), F.size(chain)), lambda k: F.struct(key(k).alias("key"), (2 * k).alias("rank")))
+    whole = F.array(F.struct(F.concat(key(F.size(chain)), F.lit("|.")).alias("key"), (2 * F.size(chain) + 1).alias("rank")))
+    out = rows.select("*", F.explode(F.concat(some, whole)).alias("__at")).select("*", "__at.rank", F.sha2(F.concat_ws("|", about, "__at.key"), 256).substr(1, 32).alias("key"))
+    return out.drop("__at", chain, about)
+
+
+def _answers(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """``id, quotes, parent`` for each ask with an earlier offer about the same: the one with the best score, then the longest common chain, then the smallest id.
+
+    asks: id, quotes, about, chain; offers: id, about, chain, score.
+    """
+    # one row a key: what thousands of messages share is one candidate, found before the shuffle by partial minima
+    few = _keyed(offers, "about", "chain").groupBy("key", "score").agg(F.min("id").alias("parent"))
+    found = _keyed(asks, "about", "chain").join(few, "key").where(F.col("parent") < F.col("id"))
+    return found.groupBy("id", "quotes").agg(F.max_by("parent", F.struct("score", "rank")).alias("parent"))
+
+
 def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "body", passed: tuple[str, ...] = ()) -> DataFrame:
     """``id, text, parent, root, depth`` for each message: its own text without quotes, the message it answers, and its conversation.
 
-    A message answers the smallest id that is smaller than its own and whose own text is the quoted passage of level 1, and whose quoted passage of level 1 is
-    the passage of level 2 here; failing that (a quote that was shortened), the smallest id with that own text. So links lead back and never form a circle.
+    A message answers a message of smaller id whose own text is the quoted passage of level 1: the one whose own quotes are the deeper passages here, level by level; else
+    the one that agrees in the most levels from the top (a quote that was shortened); of equal ones the smallest id. So links lead back and never form a circle.
     Messages that answer nothing, or whose original is absent or empty, are roots of depth 0. In the order of (root, depth, id) each message comes after the
     one it answers. A null body is empty. Rows that repeat an id are all passed on and share their links; rows with a null id are roots of their own. Empty tables
     give an empty result. Ids may be of any type that can be ordered. The columns named in ``passed`` follow, each row with its own; others are ignored.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
-    parsed = messages.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *passed).alias("passed"), *[level_text(body, k).alias(f"t{k}") for k in range(3)])
-    parsed = written(parsed.select("id", "passed", F.col("t0").alias("text"), *[passage_hash(F.col(f"t{k}")).alias(f"h{k}") for k in range(3)]), "messages")
-    known = parsed.where("id is not null and h0 is not null")
-    none = F.lit("-")
-    # one row a text: what thousands of messages share is one candidate, found before the shuffle by partial minima
-    by_both = known.groupBy(F.col("h0").alias("h1"), F.coalesce("h1", none).alias("h2")).agg(F.min("id").alias("both"))
-    by_own = known.groupBy(F.col("h0").alias("h1")).agg(F.min("id").alias("own"))
-    asks = parsed.where("id is not null and h1 is not null").select("id", "h1", F.coalesce("h2", none).alias("h2")).distinct()
-    found = asks.join(by_both, ["h1", "h2"], "left").join(by_own, "h1", "left")
-    earlier = lambda c: F.when(F.col(c) < F.col("id"), F.col(c))
-    found = found.select("id", F.coalesce(earlier("both"), earlier("own")).alias("parent")).where("parent is not null")
+    parsed = written(messages.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *passed).alias("passed"), level_text(body, 0).alias("text"), level_hashes(body).alias("levels")), "messages")
+    at = lambda k: F.get(F.filter("levels", lambda x: x["level"] == k), F.lit(0))["hash"]
+    known = parsed.where("id is not null").select("id", at(0).alias("about"), _chain(0).alias("chain")).where("about is not null")
+    quotes = F.sha2(F.concat_ws("|", _chain(0)), 256).substr(1, 32)
+    asks = parsed.where("id is not null").select("id", quotes.alias("quotes"), at(1).alias("about"), _chain(1).alias("chain")).where("about is not null").distinct()
+    found = _answers(asks, known.withColumn("score", F.lit(0)))
     # rows that repeat an id may quote differently: the smallest original counts
     links = written(found.groupBy("id").agg(F.min("parent").alias("parent")), "reply-links")
     # pointers double their reach in each round; ids fall along a pointer, so all end at a root, and those that have go no further

@@ -47,3 +47,17 @@ def test_the_query_passes_each_row_on_once(spark, tmp_path):
     assert same(op8_quote_links(spark, str(tmp_path)).collect(), [
         (1, 0, "user", "a", None, None, 1, 0, 0), (1, 0, "system", "a2", None, None, 1, 0, 0), (1, 1, "user", "b", 1, 0, 1, 0, 1),
         *[(None, 0, f"r{k}", "a", None, None, None, 0, 0) for k in range(4)], (1, None, "user", "n", None, None, 1, None, 0)])
+
+
+def test_every_level_tells_equal_texts_apart(spark):
+    def quote(texts):
+        return "\n".join("> " * k + t for k, t in enumerate(texts))
+
+    rows = []
+    for first in (1, 2):
+        turns = [f"start {first}", "Hello", "How are you?", "Fine", "Good"]
+        rows += [(10 * k + first, quote(turns[k::-1])) for k in range(5)]
+    rows += [(100, quote(["odd", "Good", "Fine", "never", "said"])), (101, quote(["odd", "Good", "Fine", "How are you?", "Hello", "start 2"]))]
+    got = {r[0]: r[2:4] for r in found(spark, rows)}
+    assert all(got[10 * k + first] == (10 * (k - 1) + first if k else None, first) for k in range(5) for first in (1, 2))
+    assert got[100] == (41, 1) and got[101] == (42, 2)
