@@ -60,22 +60,63 @@ def _answers(asks: DataFrame, offers: DataFrame) -> DataFrame:
     return found.groupBy("id", "quotes").agg(F.max_by("parent", F.struct("score", "rank")).alias("parent"))
 
 
+def passages(body: Column) -> Column:
+    """The level-1 lines without their marks; lines of other levels between them are blank lines."""
+    level = lambda x: F.length(F.replace(F.regexp_extract(x, MARKS, 0), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(F.split(body, "\n", -1), lambda x: F.when(level(x) == 1, F.regexp_replace(x, MARKS, "")).otherwise("")), "\n")
+
+
+def line_hashes(text: Column) -> Column:
+    """The different lines and paragraphs of a passage as hashes; a blank line ends a paragraph."""
+    parts = F.concat(F.split(text, "\n", -1), F.split(text, r"\n[\x20\x09-\x0D]*\n", -1))
+    return F.array_distinct(F.filter(F.transform(parts, passage_hash), lambda x: x.isNotNull()))
+
+
+def _from_parts(asks: DataFrame, known: DataFrame) -> DataFrame:
+    """The offers for quotes that are no whole text: about, id, chain, score (how many of the quoted lines and paragraphs the original has).
+
+    Of the quoted lines that some original has, the one in the fewest different originals decides which are looked at. Equal quotes are one ask, equal messages one
+    original, so a common line makes as many pairs as there are different originals with it, for each different quote that has no rarer line.
+    """
+    asked = written(asks.select("about", "lines").distinct(), "quoted-lines")
+    wanted = asked.select("about", F.explode("lines").alias("line"))
+    # one row for equal messages; a message's own text and its quotes decide
+    same = F.sha2(F.concat_ws("|", "about", F.concat_ws("|", "chain")), 256).substr(1, 32)
+    own = known.select("id", "chain", same.alias("same"), line_hashes(F.col("text")).alias("own"))
+    lines = own.select("same", F.explode("own").alias("line")).join(wanted.select("line").distinct(), "line", "left_semi").distinct()
+    lines = written(lines, "own-lines")
+    rarest = (wanted.join(lines.groupBy("line").agg(F.count("*").alias("n")), "line").groupBy("about").agg(F.min_by("line", F.struct("n", "line")).alias("line")))
+    pairs = rarest.join(lines, "line").select("about", "same")
+    # what a pair shares is counted on hashes
+    shared = pairs.join(wanted, "about").join(lines, ["same", "line"]).groupBy("about", "same").agg(F.count("*").alias("score"))
+    first = own.join(lines.select("same").distinct(), "same", "left_semi").groupBy("same", "chain").agg(F.min("id").alias("id"))
+    return shared.join(first, "same").select("about", "id", "chain", "score")
+
+
 def linked(messages: DataFrame, id_col: str = "message_id", body_col: str = "body", passed: tuple[str, ...] = ()) -> DataFrame:
     """``id, text, parent, root, depth`` for each message: its own text without quotes, the message it answers, and its conversation.
 
     A message answers a message of smaller id whose own text is the quoted passage of level 1: the one whose own quotes are the deeper passages here, level by level; else
-    the one that agrees in the most levels from the top (a quote that was shortened); of equal ones the smallest id. So links lead back and never form a circle.
+    the one that agrees in the most levels from the top (a quote that was shortened); of equal ones the smallest id. A quote that is no message's whole text (trimmed, or of two messages) is looked up by its lines and paragraphs: of the earlier messages that
+    have its rarest known one, that with the most of them, then by the deeper levels in the same way. So links lead back and never form a circle.
     Messages that answer nothing, or whose original is absent or empty, are roots of depth 0. In the order of (root, depth, id) each message comes after the
     one it answers. A null body is empty. Rows that repeat an id are all passed on and share their links; rows with a null id are roots of their own. Empty tables
     give an empty result. Ids may be of any type that can be ordered. The columns named in ``passed`` follow, each row with its own; others are ignored.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
-    parsed = written(messages.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *passed).alias("passed"), level_text(body, 0).alias("text"), level_hashes(body).alias("levels")), "messages")
+    parsed = written(messages.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *passed).alias("passed"), level_text(body, 0).alias("text"), level_hashes(body).alias("levels"),
+                                      line_hashes(passages(body)).alias("lines")), "messages")
     at = lambda k: F.get(F.filter("levels", lambda x: x["level"] == k), F.lit(0))["hash"]
-    known = parsed.where("id is not null").select("id", at(0).alias("about"), _chain(0).alias("chain")).where("about is not null")
+    known = parsed.where("id is not null").select("id", at(0).alias("about"), _chain(0).alias("chain"), "text").where("about is not null")
     quotes = F.sha2(F.concat_ws("|", _chain(0)), 256).substr(1, 32)
-    asks = parsed.where("id is not null").select("id", quotes.alias("quotes"), at(1).alias("about"), _chain(1).alias("chain")).where("about is not null").distinct()
-    found = _answers(asks, known.withColumn("score", F.lit(0)))
+    asks = parsed.where("id is not null").select("id", quotes.alias("quotes"), at(1).alias("about"), _chain(1).alias("chain"), F.array_sort("lines").alias("lines")).where("about is not null").distinct()
+    asks = asks.withColumn("quotes", F.sha2(F.concat_ws("|", "quotes", F.concat_ws("|", "lines")), 256).substr(1, 32))
+    found = written(_answers(asks.drop("lines"), known.drop("text").withColumn("score", F.lit(0))), "answers")
+    open_asks = written(asks.join(found, ["id", "quotes"], "left_anti"), "open-asks")
+    if open_asks.limit(1).count():
+        # equal sets of lines are one ask
+        open_asks = open_asks.withColumn("about", F.sha2(F.concat_ws("|", "lines"), 256).substr(1, 32))
+        found = found.unionByName(_answers(open_asks.drop("lines"), _from_parts(open_asks, known)))
     # rows that repeat an id may quote differently: the smallest original counts
     links = written(found.groupBy("id").agg(F.min("parent").alias("parent")), "reply-links")
     # pointers double their reach in each round; ids fall along a pointer, so all end at a root, and those that have go no further

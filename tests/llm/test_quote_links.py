@@ -61,3 +61,13 @@ def test_every_level_tells_equal_texts_apart(spark):
     got = {r[0]: r[2:4] for r in found(spark, rows)}
     assert all(got[10 * k + first] == (10 * (k - 1) + first if k else None, first) for k in range(5) for first in (1, 2))
     assert got[100] == (41, 1) and got[101] == (42, 2)
+
+
+def test_trimmed_and_mixed_quotes(spark):
+    rows = [(1, "Hello\n\nFirst point\nstill first\n\nSecond point\nBye"), (2, "Hello\nOther matter\nBye"), (3, "Yes\n> Second point"), (4, "> First point\nA\n> Second point\nB"),
+            (5, "> First point still first\nC"), (6, "D\n> Other matter\n> Bye\n> not there"), (7, "> Hello\nE"), (8, "> Second point\nF\n> Other matter\n> Hello\nG"), (9, "H\n> B\n> > Second point"),
+            (10, "> nowhere\nI"), (11, "J\n> A\n> B\n> > First point\n> > Second point")]
+    got = {r[0]: (r[2], r[3]) for r in found(spark, rows)}
+    assert {k: got[k] for k in (1, 2, 10)} == {1: (None, 1), 2: (None, 2), 10: (None, 10)}
+    assert {k: got[k][0] for k in (3, 4, 5, 6, 7, 9, 11)} == {3: 1, 4: 1, 5: 1, 6: 2, 7: 1, 9: 4, 11: 4}
+    assert got[8][0] in (1, 2) and got[11][1] == 1
