@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, suffix_dedup, token_counts, warc
+from loomwork.llm import (centroids, decontaminate, grid_order, line_dedup, outliers, piece_codec, quality_fm, quote_links, simhash, suffix_dedup, token_counts,
+                          vector_codes, warc)
 from loomwork.llm.common import sha256_hex, table
 from loomwork.session import fresh_path
 
@@ -149,3 +150,92 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _whole_vectors(scale: int) -> str:
+    """A table ``k`` of the vectors that count, as whole numbers, numbered by ``rid``."""
+    return f"""k AS (SELECT row_number() OVER () AS rid, *, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)"""
+
+
+# floor of a quotient of whole numbers: the rest is taken off first
+_FLOOR = "CAST((s - (((s % n) + n) % n)) AS BIGINT) // n"
+
+
+def _centroid_steps(rounds: int) -> str:
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS (SELECT rid, min((d, c))[2] AS c, min(d) AS d FROM (
+      SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c{r}.v[i]) * (k.v[i] - c{r}.v[i]))) AS d FROM k, c{r}) GROUP BY rid)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT c, list({_FLOOR} ORDER BY i) AS v FROM (
+      SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN k USING (rid), range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c),
+    c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON m{r}.c = c{r}.c)""")
+    return ",\n    ".join(out)
+
+
+CENTROIDS_SQL = f"""
+WITH {_whole_vectors(64)},
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM k QUALIFY c < 16),
+    {_centroid_steps(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN k USING (rid) JOIN c3 USING (c)
+"""
+
+
+@query(CENTROIDS_SQL)
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    first = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")).cast("binary"), 256)
+    found, final = centroids.clustered(table(spark, folder, "embeddings"), k=16, rounds=3, scale=64, dim=64, first=first)
+    return centroids.with_totals(found, final).withColumnRenamed("id", "vec_id")
+
+
+GRID_ORDER_SQL = """
+WITH RECURSIVE k AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+    g AS (SELECT *, sqrt(list_dot_product(v, v)) AS n, len(v) AS z FROM k WHERE v IS NOT NULL),
+    l AS (SELECT a.rid AS x, b.rid AS y FROM g a JOIN g b ON a.z = b.z AND a.rid <> b.rid WHERE CASE WHEN a.z = b.z THEN list_dot_product(a.v, b.v) / (a.n * b.n) END >= 0.95),
+    reach AS (SELECT rid, rid AS other FROM k UNION SELECT reach.rid, l.y FROM reach JOIN l ON reach.other = l.x),
+    least AS (SELECT reach.rid, min(o.vec_id) AS component_id FROM reach JOIN k o ON o.rid = reach.other GROUP BY reach.rid),
+    counts AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT k.vec_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_links, component_id, coalesce(k.vec_id = component_id, false) AS kept
+FROM k JOIN least ON k.rid = least.rid LEFT JOIN counts ON counts.x = k.rid
+"""
+
+
+@query(GRID_ORDER_SQL)
+def op12_grid_order(spark: SparkSession, folder: str) -> DataFrame:
+    found = grid_order.near_vectors(table(spark, folder, "embeddings"), least=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def _codebook_steps(rounds: int) -> str:
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS (SELECT rid, p, e, list_sum(list_transform(range(1, 5), lambda i: (w.v[i] - b{r}.v[i]) * (w.v[i] - b{r}.v[i]))) AS d FROM w JOIN b{r} USING (p)),
+    a{r} AS (SELECT rid, p, min((d, e))[2] AS e, min(d) AS d FROM d{r} GROUP BY rid, p)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT p, e, list({_FLOOR} ORDER BY i) AS v FROM (
+      SELECT p, e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN w USING (rid, p), range(1, 5) AS t(i) GROUP BY p, e, i) GROUP BY p, e),
+    b{r + 1} AS (SELECT p, e, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} USING (p, e))""")
+    return ",\n    ".join(out)
+
+
+VECTOR_CODES_SQL = f"""
+WITH {_whole_vectors(256)},
+    w AS (SELECT rid, p, v[4 * p + 1:4 * p + 4] AS v FROM k, range(0, 16) AS t(p)),
+    s AS (SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS e, rid FROM k QUALIFY e < 64),
+    b0 AS (SELECT p, e, v FROM s JOIN w USING (rid)),
+    {_codebook_steps(2)},
+    c AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha256((SELECT string_agg(array_to_string(v, ','), ',' ORDER BY p, e) FROM b2)) AS codebooks_sha256
+FROM c JOIN k USING (rid)
+"""
+
+
+@query(VECTOR_CODES_SQL)
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found, books = vector_codes.coded(table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2, scale=256, dim=64)
+    return vector_codes.with_totals(found, books).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
