@@ -8,7 +8,7 @@ occurrences at once; then the arrays are compacted. Words without a pair leave.
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import slices
 
 SPACE_MARK = "▁"
+#: Bytes of text that are encoded at once, and looked through for a place to cut.
+CODEC_BYTES = 1 << 20
+WINDOW = 1 << 16
 NONE = np.int64(1 << 40)
 GONE = np.int64(-(1 << 40))
 
@@ -31,6 +34,13 @@ def _each_byte(error):
 codecs.register_error("each_byte", _each_byte)
 
 
+def _spread(begin: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``begin[i]``, ``begin[i] + 1``, ... of runs of ``n[i]``, where ``after`` are the running sums of ``n``; all int32."""
+    at = np.repeat(begin - (after - n), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
+
+
 class Lookup:
     """A fixed map from non-negative int64 keys to places in an array, for whole arrays of keys at once."""
 
@@ -125,8 +135,8 @@ class PieceModel:
                 surface.append(p.piece.replace(SPACE_MARK, " ").encode())
                 self.starts_with_space[i] = p.piece.startswith(SPACE_MARK)
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
-        self.surface_len = np.array([len(s) for s in surface], np.int64)
-        self.surface_at = np.cumsum(self.surface_len) - self.surface_len
+        self.surface_len = np.array([len(s) for s in surface], np.int32)
+        self.surface_at = np.cumsum(self.surface_len, dtype=np.int32) - self.surface_len
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The number of the pair, -1 (no merge) where a symbol is in no piece."""
@@ -241,12 +251,43 @@ class PieceModel:
             sym, word = ids, np.repeat(word, count)
         return sym, np.bincount(word, minlength=len(words))
 
-    def encode(self, texts: pa.StringArray, end: bool = True) -> pa.ListArray:
-        """Ids of each text. A null text is empty; an empty text has the end id alone."""
+    def _cut(self, data: bytes, at: int, most: int) -> int:
+        """A place behind ``at``, about ``most`` bytes on, where no piece can lie across; else the first one after that, or the end."""
+        wide = max(min(WINDOW, most // 2), 8)
+        low = at + max(most - wide, 1)
+        while low < len(data):
+            high = min(low + wide, len(data))
+            # whole characters, and the one before them
+            a, b = low, high
+            while a > at and data[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(data) and data[b] & 0xC0 == 0x80:
+                b += 1
+            window = data[a:b].decode()
+            codes = np.frombuffer(window.replace(" ", SPACE_MARK).encode("utf-32-le"), np.uint32).astype(np.int64)
+            cuts = np.flatnonzero(self.inside.find((codes[:-1] << 32) | codes[1:]) < 0)
+            if len(cuts):
+                return a + len(window[: cuts[-1] + 1].encode())
+            if b == len(data):
+                break
+            low = max(b - 4, low + 1)  # the last character again: it may part from the next
+        return len(data)
+
+    def encode_long(self, data: bytes, most: int) -> Iterator[np.ndarray]:
+        """The ids of one text in UTF-8, without an end id, for about ``most`` bytes at a time."""
+        at = 0
+        while at < len(data):
+            to = self._cut(data, at, most) if len(data) - at > most else len(data)
+            yield self.encode(pa.array([data[at:to].decode()]), end=False, prefix=at == 0).flatten().to_numpy()
+            at = to
+
+    def encode(self, texts: pa.StringArray, end: bool = True, prefix: bool = True) -> pa.ListArray:
+        """Ids of each text. A null text is empty; an empty text has the end id alone. ``prefix`` is off for a text that goes on from another."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), " ", SPACE_MARK)
-        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(SPACE_MARK, texts, ""))
+        if prefix:
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(SPACE_MARK, texts, ""))
         texts = pa.concat_arrays([texts])  # offsets from 0
-        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1).astype(np.int64)
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
         base = ends[0]
         data = np.frombuffer(texts.buffers()[2], np.uint8)[base: ends[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
         ends = ends - base
@@ -259,33 +300,50 @@ class PieceModel:
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data.tobytes()))
         coded = words.dictionary_encode()
         ids, count = self.encode_words(coded.dictionary)
-        offset = np.cumsum(count) - count
+        offset = (np.cumsum(count) - count).astype(np.int32)
         which = coded.indices.to_numpy()
-        n = count[which]
-        after = np.cumsum(n)
-        flat = ids[np.repeat(offset[which] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        n = count[which].astype(np.int32)
+        after = np.cumsum(n, dtype=np.int32)
+        flat = ids.astype(np.int32)[_spread(offset[which], after, n)]
         doc_end = np.append(0, after)[np.searchsorted(starts, ends[1:])]
         if end:
             flat = np.insert(flat, doc_end, self.end_id)
             doc_end = doc_end + np.arange(1, len(texts) + 1)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, doc_end).astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, doc_end).astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
+
+    def surfaces(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids, one after the other."""
+        n = self.surface_len[ids]
+        return self.surface[_spread(self.surface_at[ids], np.cumsum(n, dtype=np.int32), n)].tobytes()
+
+    def decode_long(self, parts: Iterable[np.ndarray]) -> bytes:
+        """The text, in UTF-8, of one list of ids that comes in parts and holds no invisible id."""
+        first, out = True, []
+        for ids in parts:
+            data = self.surfaces(ids)
+            out.append(data[1:] if first and len(ids) and self.starts_with_space[ids[0]] else data)
+            first = first and len(ids) == 0
+        data = b"".join(out)
+        try:
+            data.decode()
+            return data
+        except UnicodeDecodeError:
+            return data.decode("utf-8", "each_byte").encode()
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
         """The text of each list of ids; bytes that are not UTF-8 become replacement characters."""
-        flat = ids.flatten().to_numpy().astype(np.int64)
+        flat = ids.flatten().to_numpy()
         lens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         doc_end = np.cumsum(lens)
         doc = np.repeat(np.arange(len(ids)), lens)
-        n = self.surface_len[flat]
-        after = np.cumsum(n)
-        data = self.surface[np.repeat(self.surface_at[flat] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        after = np.cumsum(self.surface_len[flat], dtype=np.int32)
         seen = np.flatnonzero(self.visible[flat])
         first = seen[np.append(True, doc[seen][1:] != doc[seen][:-1])] if len(seen) else seen
         skip = np.zeros(len(ids), np.int64)
         skip[doc[first]] = self.starts_with_space[flat[first]]
         stop = np.append(0, after)[doc_end]
         start = np.append(0, stop[:-1]) + skip
-        raw = data.tobytes()
+        raw = self.surfaces(flat)
         out = [raw[a:b].decode("utf-8", "each_byte") for a, b in zip(start.tolist(), stop.tolist())]
         # an invisible id inside a list keeps the bytes before and after it apart
         hidden = np.flatnonzero(~self.visible[flat])
@@ -306,13 +364,22 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
     The ids are those of the sentencepiece library without sampling, with an end id; ``decoded`` is what they decode to.
     A null text counts as empty; ids, also null and repeated ones, are passed on; further columns are ignored. The model's bytes travel with the job.
+    Python works on ``CODEC_BYTES`` of text at a time. A longer text is cut where no piece can lie across, so that of it only the text, the ids and what they
+    decode to are held at once.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel(model)
-        for batch in slices(batches, "text", 8 << 20):
-            ids = pieces.encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pieces.decode(ids)], ["id", "ids", "decoded"])
+        for batch in slices(batches, "text", CODEC_BYTES):
+            if batch.num_rows == 1 and batch.column("text")[0].is_valid and batch.column("text")[0].as_buffer().size > CODEC_BYTES:
+                parts = list(pieces.encode_long(batch.column("text")[0].as_buffer().to_pybytes(), CODEC_BYTES))
+                decoded = pa.array([pieces.decode_long(parts)], pa.binary()).cast(pa.string())
+                flat = np.concatenate([*parts, np.array([pieces.end_id], np.int32)])
+                ids = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+            else:
+                ids = pieces.encode(batch.column("text"))
+                decoded = pieces.decode(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, decoded], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -49,3 +49,29 @@ def test_edge_rows(spark):
     want = [(i, x + [2], LIBRARY.decode(x)) for i, t in EDGES for x in [LIBRARY.encode(t or "")]]
     assert same([(r[0], list(r[1]), r[2]) for r in got], want)
     assert piece_codec.encode_decode(frame(spark, []), MODEL).count() == 0
+
+
+def test_text_in_parts():
+    rng = random.Random(3)
+    made = ["".join(rng.choice("ab  ▁e\nnorst.-=*#é日") for _ in range(6000)), "".join(rng.choice("abcdefgh") for _ in range(5000)), "日本語の文" * 900,
+            " " * 3000 + "x" + "▁" * 3000, "=" * 4000, "word " * 1500, "\U0001F600" * 1200, ""]
+    for text in made:
+        data = text.encode()
+        parts = list(PIECES.encode_long(data, 300))
+        assert [i for p in parts for i in p.tolist()] == LIBRARY.encode(text)
+        assert PIECES.decode_long(parts).decode() == LIBRARY.decode(LIBRARY.encode(text))
+    assert len(list(PIECES.encode_long(made[0].encode(), 300))) > 10
+
+
+def test_cut_behind_a_window_without_places(monkeypatch):
+    monkeypatch.setattr(piece_codec, "WINDOW", 16)
+    text = ("=" * 200 + "\x00q") * 20 + "日本語 " * 40
+    assert [i for p in PIECES.encode_long(text.encode(), 50) for i in p.tolist()] == LIBRARY.encode(text)
+
+
+def test_text_larger_than_a_slice(spark):
+    text = "".join(f"Line {i} of a long text, word{i % 977}!\n" for i in range(120_000))
+    assert len(text) > 3 * piece_codec.CODEC_BYTES
+    got = piece_codec.encode_decode(frame(spark, [(1, text), (2, "short")]), MODEL).collect()
+    want = [(1, LIBRARY.encode(text) + [2], text), (2, LIBRARY.encode("short") + [2], "short")]
+    assert same([(r[0], list(r[1]), r[2]) for r in got], want)
