@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import written
+from loomwork.llm.common import free_names, written
 from loomwork.llm.line_dedup import row_keys
 
 #: Item shingles up to which sketches and items are broadcast (some 40 bytes each); beyond it Spark joins them as it sees fit.
@@ -80,6 +80,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, size:
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
-    gone = contained_items(docs, items, id_col=id_col, text_col=text_col, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    a, b = free_names(docs, "__k1", "__k2")
+    gone = contained_items(docs, items, id_col=id_col, text_col=text_col, **how).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+    return docs.withColumns({a: k1, b: k2}).join(gone, [a, b], "left_anti").drop(a, b)

@@ -9,7 +9,7 @@ shards and get back which lines go.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import slices, texts_of, written
+from loomwork.llm.common import free_names, slices, texts_of, written
 
 #: Distinct hashes a shard holds on average.
 SHARD_KEYS = 1 << 16
@@ -201,19 +201,21 @@ def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     return gone.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the columns ``__n_lines``, ``__n_dropped`` and ``__kept`` (the text without the lines of ``shared_lines``).
+def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                      names: Sequence[str] = ("__n_lines", "__n_dropped", "__kept"), **how) -> DataFrame:
+    """``docs`` with three further columns ``names``: the number of lines, of dropped ones, and the text without the lines of ``shared_lines``.
 
     A null or empty text is one empty line and stays empty. Repeated rows count as documents of their own and come back as often; an empty table gives an
-    empty result. All columns of ``docs`` are passed on whatever their names.
+    empty result. All columns of ``docs`` are passed on whatever their names; ``names`` must be none of them.
     """
-    gone = shared_lines(docs, min_chars, min_docs, id_col, text_col, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("dropped").alias("__dropped"))
+    a, b, which, lines = free_names(docs, "__k1", "__k2", "__dropped", "__lines")
+    gone = shared_lines(docs, min_chars, min_docs, id_col, text_col, **how).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("dropped").alias(which))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1, k2 = row_keys(F.col(id_col).cast("long"), text)
-    out = docs.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left")
-    out = out.withColumn("__lines", F.split(text, "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
+    out = docs.withColumns({a: k1, b: k2}).join(gone, [a, b], "left")
+    out = out.withColumn(lines, F.split(text, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(which))
     return out.withColumns({
-        "__n_lines": F.size("__lines").cast("long"), "__n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"),
-        "__kept": F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")),
-    }).drop("__k1", "__k2", "__dropped", "__lines")
+        names[0]: F.size(lines).cast("long"), names[1]: F.coalesce(F.size(which), F.lit(0)).cast("long"),
+        names[2]: F.when(F.col(which).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")),
+    }).drop(a, b, which, lines)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import slices, texts_of
+from loomwork.llm.common import free_names, slices, texts_of
 
 #: Rows that a model is fitted on, at most; half of each label.
 TRAIN_ROWS = 4096
@@ -118,14 +118,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _inputs(docs: DataFrame, text_col: str, metadata: Sequence[str]) -> list[Column]:
+def _inputs(text_col: str, metadata: Sequence[str], names: Sequence[str] = ("__text", "__meta")) -> list[Column]:
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in metadata]
-    return [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), F.array(*[F.log1p(F.greatest(n, F.lit(0.0))) for n in numbers]).cast("array<double>").alias("__meta")]
+    return [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(names[0]), F.array(*[F.log1p(F.greatest(n, F.lit(0.0))) for n in numbers]).cast("array<double>").alias(names[1])]
 
 
-def _matrix(batch: pa.RecordBatch, buckets: int, n_meta: int) -> np.ndarray:
-    meta = np.array(batch.column("__meta").to_pylist(), np.float64).reshape(batch.num_rows, n_meta)
-    return features(texts_of(batch, "__text"), meta, buckets)
+def _matrix(batch: pa.RecordBatch, buckets: int, n_meta: int, names: Sequence[str] = ("__text", "__meta")) -> np.ndarray:
+    meta = np.array(batch.column(names[1]).to_pylist(), np.float64).reshape(batch.num_rows, n_meta)
+    return features(texts_of(batch, names[0]), meta, buckets)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: Sequence[str] = ("n_chars",), id_col: str = "doc_id", text_col: str = "text",
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
         return model
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(train_rows // 2).select("id", "y") for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most train_rows rows
-    rows = docs.select(F.col(id_col).alias("id"), *_inputs(docs, text_col, metadata)).join(sample, "id").dropDuplicates(["id"])
+    rows = docs.select(F.col(id_col).alias("id"), *_inputs(text_col, metadata)).join(sample, "id").dropDuplicates(["id"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -159,16 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
     return fit(x, y, totals[1] / sum(totals.values()), model)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__score`` (0 to 1, higher: label 1 likelier), for every row, from its whole text.
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """``docs`` with a further column ``name`` (0 to 1, higher: label 1 likelier), for every row, from its whole text.
 
-    A null text counts as empty, which has a score too; null metadata counts as 0. All columns are passed on whatever their names.
+    A null text counts as empty, which has a score too; null metadata counts as 0. All columns are passed on whatever their names; ``name`` must be none of them.
     """
-    given = docs.select("*", *_inputs(docs, text_col, model.metadata))
+    names = free_names(docs, "__text", "__meta")
+    given = docs.select("*", *_inputs(text_col, model.metadata, names))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            scores = model.scores(_matrix(batch, model.buckets, len(model.metadata)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64())], [*batch.schema.names[:-2], "__score"])
+        for batch in slices(batches, names[0]):
+            scores = model.scores(_matrix(batch, model.buckets, len(model.metadata), names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64())], [*batch.schema.names[:-2], name])
 
-    return given.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return given.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import slices, texts_of, written
+from loomwork.llm.common import free_names, slices, texts_of, written
 from loomwork.llm.line_dedup import row_keys
 
 #: Fingerprints at one anchor that one task compares; more are compared block by block.
@@ -244,7 +244,7 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_
     """One row of each component, that with the smallest id (then the smallest row key); null ids come last. All columns are passed on."""
     found = near_duplicates(docs, words, bits, id_col, text_col, **how)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "k1", "k2")).alias("first"))
-    first = first.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
+    a, b = free_names(docs, "__k1", "__k2")
+    first = first.select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
     k1, k2 = row_keys(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return (docs.withColumns({"__k1": k1, "__k2": k2}).join(first, ["__k1", "__k2"], "left_semi")
-            .dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2"))
+    return docs.withColumns({a: k1, b: k2}).join(first, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)

@@ -60,6 +60,21 @@ def test_edge_rows_pass_all_stages(spark):
             assert out.count() == docs.count()
 
 
+INNER = ("__text", "__meta", "__score", "score", "__k1", "__k2", "K1", "__lines", "__dropped", "__kept", "kept", "n_lines", "n_dropped", "__n_lines", "__n_dropped")
+
+
+def test_columns_with_the_names_of_helpers_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in INNER])
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, docs, FOLDER), stage(spark, plain, FOLDER)
+        assert out.columns == docs.columns, name
+        docs, plain = spark.createDataFrame(out.toArrow()), spark.createDataFrame(want.toArrow())
+        assert same(docs.select(plain.columns).collect(), plain.collect()), name
+        for c in INNER:
+            assert docs.where(f"`{c}` <> concat('{c}', doc_id) or `{c}` is null").count() == 0, (name, c)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids", "text"] and out.count() > 100
