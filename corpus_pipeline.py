@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate, line_dedup, piece_codec, quality_fm, simhash
-from loomwork.llm.common import ready, table, written
+from loomwork.llm.common import free_names, ready, table, written
 
 #: Documents with a lower score go.
 LEAST_SCORE = 0.3
@@ -20,16 +20,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``LEAST_SCORE``; the model learns from the labels of ``sf_dir`` and the given texts."""
     ready(spark)
     model = quality_fm.train(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
-    return quality_fm.scored(docs, model).where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    score, = free_names(docs, "score")
+    return quality_fm.scored(docs, model, name=score).where(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand in three or more documents, but for the document with the largest id; ``n_chars`` follows the text."""
     ready(spark)
-    out = line_dedup.drop_shared_lines(docs, min_chars=20, min_docs=3)
+    n_lines, n_dropped, kept = free_names(docs, "n_lines", "n_dropped", "kept")
+    out = line_dedup.drop_shared_lines(docs, min_chars=20, min_docs=3, names=(n_lines, n_dropped, kept))
     # a null text stays null
-    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
-    out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    text = F.when(F.col("text").isNotNull(), F.col(kept))
+    out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
