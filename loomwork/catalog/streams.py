@@ -7,6 +7,7 @@ from loomwork.catalog.registry import ORACLE, query
 from loomwork.catalog.select import event_note
 from loomwork.streaming import state as st
 from loomwork.streaming import streams as sm
+from loomwork.streaming import timed
 
 c = F.col
 SIX_HOURS = 6 * 3600 * 1_000_000
@@ -43,10 +44,48 @@ def stream_classify(t):
     return sm.run_to_end(event_stream(t).select("event_id", event_note().alias("note")), "classified")
 
 
+def in_time(t, processor, name):
+    """All results of a processor over the events, which lie at most ten minutes out of order."""
+    ended = timed.run_flushed([(event_stream(t), "ts")], lambda s: timed.in_order(s, "user_id", "ts", "event_id", c("value"), processor, "10 minutes"), name, "late")
+    return ended.table.where("not late").select(c("key").alias("user_id"), c("ident").alias("event_id"), F.timestamp_micros("micros").alias("ts"), "value")
+
+
 @query("stream_throttle", THROTTLE)
 def stream_throttle(t):
-    out = sm.run_to_end(st.with_state(keyed(event_stream(t)), "key", st.Throttle(SIX_HOURS)), "throttled")
-    return out.select(c("key").alias("user_id"), c("ident").alias("event_id"))
+    return in_time(t, timed.Spaced(SIX_HOURS), "throttled").select("user_id", "event_id")
+
+
+@query("stream_debounce", "select user_id, event_id, value from events qualify coalesce(lead(ts) over (partition by user_id order by ts, event_id) - ts >= interval 8 hour, true)")
+def stream_debounce(t):
+    return in_time(t, timed.Debounce(8 * 3600 * 1_000_000), "debounced").select("user_id", "event_id", "value")
+
+
+@query("stream_quota", """
+    select user_id, event_id from events qualify row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) <= 2""")
+def stream_quota(t):
+    return in_time(t, timed.Quota(24 * 3600 * 1_000_000, 2), "within-quota").select("user_id", "event_id")
+
+
+@query("stream_visit_total", """
+    select user_id, event_id, round(sum(value) over (partition by user_id, visit order by ts, event_id), 4) as total from
+    (select *, sum(fresh) over (partition by user_id order by ts, event_id) as visit from
+     (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 12 hour then 0 else 1 end as fresh from events))""")
+def stream_visit_total(t):
+    return in_time(t, timed.VisitTotal(12 * 3600 * 1_000_000), "visits").select("user_id", "event_id", F.round("value", 4).alias("total"))
+
+
+@query("stream_interval_join", """
+    select p.event_id as purchase, k.event_id as click from (select * from events where event_type = 'purchase') p
+    left join (select * from events where event_type = 'click') k on p.user_id = k.user_id and k.ts >= p.ts - interval 1 hour and k.ts <= p.ts + interval 5 hour""")
+def stream_interval_join(t):
+    p, k = (event_stream(t).select("event_id", "user_id", "ts", "event_type") for _ in "pk")
+
+    def make(left, right):
+        of = lambda df, kind: df.where(f"event_type = '{kind}' or ts > timestamp'8000-01-01'")  # noqa: E731 (the end of a stream has no kind)
+        return timed.interval_join(of(left, "purchase"), of(right, "click"), ("user_id", "user_id"), "ts", "ts", "-1 hour", "5 hours", "10 minutes", "left")
+
+    ended = timed.run_flushed([(p, "ts"), (k, "ts")], make, "interval-join")
+    return ended.table.select(c("l.event_id").alias("purchase"), c("r.event_id").alias("click"))
 
 
 @query("throttle", THROTTLE)

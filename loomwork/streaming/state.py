@@ -3,8 +3,8 @@
 On a stream the state of a key lives in the state store. In a batch the rows of
 a key pass one task in order, a record batch at a time, with only the state
 kept. The throttle first cuts each key at its quiet gaps, where the state is
-known, so a busy key spreads over tasks. A ledger has no such cut: whether a
-withdrawal passes depends on all rows before it.
+known, so a busy key spreads over tasks. A busy ledger is cut into slices, and
+those that surely reject nothing are passed as one sum each.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from loomwork.operators.hot import neighbours, running_sum
+from loomwork.operators.hot import HOT_ROWS, _small, _staged, crowded, neighbours, running_sum, sliced
 
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
@@ -84,11 +84,65 @@ def throttled(df: DataFrame, key: str, ts: str, ident: str, gap_us: int) -> Data
     return ordered_fold(rows, [key, "__burst"], [ts, ident], throttle_step(gap_us), lambda: None, schema).drop("__burst")
 
 
-def ledger(df: DataFrame, key: str, order: Sequence[str], kind: str, amount: str) -> DataFrame:
-    """Rows with ``accepted`` and the ``balance`` after them."""
-    rows = df.select(key, *order, kind, amount)
-    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.DoubleType())])
-    return ordered_fold(rows, [key], order, ledger_step, lambda: 0.0, schema)
+MICRO = 1_000_000
+
+
+def _micro_step(balance: int, row: tuple) -> tuple[int, tuple]:
+    """The ledger in whole millionths. Rows end with (kind, amount, millionths, whole slice's total or null)."""
+    *rest, kind, amount, micros, total = row
+    if total is not None:  # a slice without a rejection passes as one row
+        return balance + total, (*rest, kind, amount, None, balance)
+    ok = micros is not None and (micros > 0 if kind == "deposit" else micros <= balance)
+    if ok:
+        balance = balance + micros if kind == "deposit" else balance - micros
+    return balance, (*rest, kind, amount, ok, balance)
+
+
+def ledger(df: DataFrame, key: str, order: Sequence[str], kind: str, amount: str, limit: int = HOT_ROWS) -> DataFrame:
+    """Rows with ``accepted`` and the ``balance`` after them: a deposit counts if it is positive, any other kind is a withdrawal and counts if the balance covers it.
+
+    Amounts count in millionths, rounded; a null amount is rejected. The rows of an account pass one task in order. An account above ``limit`` rows is cut into slices
+    along its order. Were all its rows accepted, its balance would be the running sum; a rejection only raises the balance against that, and it never
+    falls below zero. So before a slice it is at least the running sum less the lowest running sum so far, and a slice whose own lowest sum stays
+    within that has no rejection: it passes as one row, its total, and its rows get their balances in tasks of their own. Only the slices that bring a
+    new lowest sum are replayed row by row, those of one account in one task.
+    """
+    deposit, m = F.coalesce(F.col(kind) == "deposit", F.lit(False)), F.round(F.col(amount) * MICRO).cast("long")
+    rows = df.select(key, *order, kind, amount, m.alias("__m"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())])
+    nothing = F.lit(None).cast("long")
+
+    def in_units(out: DataFrame) -> DataFrame:
+        return out.select(key, *order, kind, amount, "accepted", F.round(F.col("balance") / MICRO, 6).alias("balance"))
+
+    hot = crowded(rows, [key], limit)
+    plain = rows if hot is None else hot.split(rows, [key])[0]
+    out = in_units(ordered_fold(plain.withColumn("__total", nothing), [key], order, _micro_step, lambda: 0, schema))
+    if hot is None:
+        return out
+    s = sliced(hot.split(rows, [key])[1], [key], list(order), hot.rows, limit)
+    change = F.when(deposit, F.greatest(F.coalesce("__m", F.lit(0)), F.lit(0))).otherwise(-F.coalesce("__m", F.lit(0)))
+    upto = F.sum(change).over(s.window.rowsBetween(Window.unboundedPreceding, 0))
+    sums = s.df.withColumn("__upto", upto).groupBy(key, "__slice").agg(F.min("__upto").alias("low"), F.sum(change).alias("__total"))
+    # at most two lines a slice; those of one account in order
+    before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("start", F.coalesce(F.sum("__total").over(before), F.lit(0)))
+    lowest = F.least(F.coalesce(F.min(F.col("start") + F.col("low")).over(before), F.lit(0)), F.lit(0))
+    sums = _staged(sums.withColumn("covered", F.col("start") + F.col("low") >= lowest), "slices")
+    side = _small(sums.select(F.col(key).alias("__key"), F.col("__slice").alias("__at"), "covered"), 2 * s.slices)
+    match = (F.col("__slice") == F.col("__at")) & F.col(key).eqNullSafe(F.col("__key"))
+    dealt = s.df.join(side, match).drop("__key", "__at")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    whole = sums.where("covered").select(key, "__slice", *[F.lit(None).cast(kinds[c]).alias(c) for c in (*order, kind, amount, "__m")], "__total")
+    line = dealt.where(~F.col("covered")).select(key, "__slice", *order, kind, amount, "__m", nothing.alias("__total")).unionByName(whole)
+    full = [schema.fields[0], T.StructField("__slice", s.df.schema["__slice"].dataType), *schema.fields[1:]]
+    full = T.StructType([T.StructField(f.name, f.dataType) for f in full])  # a slice's row has nulls
+    walked = _staged(ordered_fold(line, [key], ["__slice", *order], _micro_step, lambda: 0, full), "ledger")
+    starts = _small(walked.where("accepted is null").select(F.col(key).alias("__key"), F.col("__slice").alias("__at"), F.col("balance").alias("__start")), 2 * s.slices)
+    passed = dealt.where("covered").withColumn("__upto", upto).join(starts, match)
+    passed = passed.select(key, *order, kind, amount, F.when(deposit, F.coalesce(F.col("__m") > 0, F.lit(False))).otherwise(F.col("__m").isNotNull()).alias("accepted"),
+                           (F.col("__start") + F.col("__upto")).alias("balance"))
+    return out.unionByName(in_units(walked.where("accepted is not null"))).unionByName(in_units(passed))
 
 
 # ---- stream processors: rows are (key, micros, ident, ...) ----

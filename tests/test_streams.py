@@ -7,6 +7,7 @@ from loomwork.catalog.aggregates import cart_actions
 from loomwork.operators.aggregates import cart_totals
 from loomwork.streaming import state as st
 from loomwork.streaming import streams as sm
+from loomwork.streaming import timed
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,96 @@ def test_null_and_nan_keys_fold_as_one_key(spark):
     assert got == {1: (None, True, 10.0), 2: (None, True, 20.0), 3: (None, True, 30.0), 4: (2**53 + 1, True, 5.0), 5: (2**53 + 1, False, 5.0)}
     nan = spark.createDataFrame([(float("nan"), k, k, "deposit", 1.0) for k in range(1, 4)], "u double, ts long, event_id long, kind string, value double")
     assert sorted(r.balance for r in st.ledger(nan, "u", ["ts", "event_id"], "kind", "value").collect()) == [1.0, 2.0, 3.0]
+
+
+HOUR = 3600 * 1_000_000
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, events, tmp_path_factory):
+    """Six files, one per micro-batch, whose rows overlap by up to two hours: the order across micro-batches is not that of time."""
+    path = str(tmp_path_factory.mktemp("shuffled"))
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    moved = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2 * HOUR))
+    part = F.least(F.floor((moved - low) * 6 / (high - low + 1)), F.lit(5))
+    for k in range(6):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def timed_run(spark, path, events, processor, delay="3 hours", partition=None):
+    return timed.run_flushed([(stream(spark, path, events), "ts")], lambda s: timed.in_order(s, "user_id", "ts", "event_id", F.col("value"), processor, delay), "timed", partition)
+
+
+def test_debounce_out_of_order_equals_the_batch_and_ends_its_state(spark, shuffled, events):
+    out = timed_run(spark, shuffled, events, timed.Debounce(8 * HOUR))
+    batch = sm.debounced(events.select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", 8 * HOUR)
+    assert rows(out.table.where("not late").select("key", "ident", "value")) == rows(batch.select("user_id", "event_id", "value"))
+    assert out.table.where("late").count() == 0
+    assert max(out.state_rows) > 0 and out.state_rows[-1] == 0
+
+
+def test_quota_and_throttle_out_of_order(spark, shuffled, events):
+    out = timed_run(spark, shuffled, events, timed.Quota(24 * HOUR, 2))
+    batch = sm.within_quota(events, "user_id", "ts", ["ts", "event_id"], "1 day", 2)
+    assert rows(out.table.select("key", "ident")) == rows(batch.select("user_id", "event_id")) and out.state_rows[-1] == 0
+    out = timed_run(spark, shuffled, events, timed.Spaced(6 * HOUR))
+    batch = st.throttled(events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 6 * HOUR)
+    assert rows(out.table.select("key", "ident")) == rows(batch.select("user_id", "event_id")) and out.state_rows[-1] == 0
+
+
+def test_late_rows_go_apart(spark, events, tmp_path):
+    """The second file lies days before the first; the third goes on after it."""
+    path, day = str(tmp_path / "late"), 24 * HOUR
+    at = lambda n: F.timestamp_micros(F.lit(1_700_000_000_000_000 + n)).cast(events.schema["ts"].dataType)
+    frames = [[(1, 10 * day), (2, 10 * day + HOUR)], [(3, day), (4, 10 * day - HOUR)], [(5, 10 * day + 2 * HOUR), (6, 2 * day)]]
+    for own in frames:
+        one = None
+        for ident, micros in own:
+            row = events.limit(1).select(*[{"event_id": F.lit(ident).cast("long"), "ts": at(micros), "user_id": F.lit(7).cast("long"), "value": F.lit(1.0)}.get(c, F.col(c)).alias(c)
+                                           for c in events.columns])
+            one = row if one is None else one.union(row)
+        one.coalesce(1).write.mode("append").parquet(path)
+    out = timed_run(spark, path, events, timed.VisitTotal(30 * day), "2 hours", "late")
+    # 4 is an hour late: in time. 3 and 6 lie days behind.
+    assert rows(out.table.where("not late").select("ident", "value")) == [(1, 2.0), (2, 3.0), (4, 1.0), (5, 4.0)]
+    assert rows(out.table.where("late").select("ident")) == [(3,), (6,)]
+    assert out.state_rows[-1] == 0
+
+
+def test_interval_join_equals_the_batch_and_empties_its_state(spark, shuffled, events):
+    def run(how):
+        sides = [(stream(spark, shuffled, events).select("event_id", "user_id", "ts"), "ts"), (stream(spark, shuffled, events).select("event_id", "user_id", "ts"), "ts")]
+        return timed.run_flushed(sides, lambda a, b: timed.interval_join(a, b, ("user_id", "user_id"), "ts", "ts", "1 second", "2 hours", "3 hours", how), "join")
+
+    a, b = events.select("event_id", "user_id", "ts").alias("a"), events.select("event_id", "user_id", "ts").alias("b")
+    fits = F.expr("a.user_id = b.user_id and b.ts >= a.ts + interval 1 second and b.ts <= a.ts + interval 2 hours")
+    for how in ("inner", "left"):
+        out = run(how)
+        assert rows(out.table.select("l.event_id", F.col("r.event_id").alias("other"))) == rows(a.join(b, fits, how).select("a.event_id", F.col("b.event_id").alias("other")))
+        assert max(out.state_rows) > 100 and out.state_rows[-1] == 0
+
+
+@pytest.mark.parametrize("drift", [-2, 0, 3])
+def test_ledger_of_a_hot_account_by_slices(spark, drift):
+    """Account 1 holds a third of the rows and passes by slices; the fold is the plain one."""
+    df = spark.range(6000).selectExpr(
+        "id", "if(id % 3 = 0, 1, id % 15) as account", "if(pmod(xxhash64(id), 10) < 5, 'deposit', if(id % 100 = 1, null, 'withdraw')) as kind",
+        f"case when id % 97 = 0 then null when id % 89 = 0 then -1.5D else round(pmod(xxhash64(id, 1), 1000) / 7, 4) + if(pmod(xxhash64(id), 10) < 5, {drift * 10}, 0) end as amount").repartition(5)
+    plain, cut = st.ledger(df, "account", ["id"], "kind", "amount"), st.ledger(df, "account", ["id"], "kind", "amount", limit=100)
+    assert plain.dtypes == cut.dtypes and rows(plain) == rows(cut)
+    balance = {}
+    for account, ident, kind, amount, accepted, after in sorted(map(tuple, cut.collect()), key=lambda r: (r[0], r[1])):
+        have, units = balance.get(account, 0), None if amount is None else round(amount * 1_000_000)
+        ok = units is not None and (units > 0 if kind == "deposit" else units <= have)
+        balance[account] = have + (0 if not ok else units if kind == "deposit" else -units)
+        assert ok == accepted and round(after * 1_000_000) == balance[account]
+
+
+def test_covered_slices_are_not_replayed(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(st, "ordered_fold", lambda df, *a, real=st.ordered_fold: (seen.append(df.count()), real(df, *a))[1])
+    df = spark.range(20000).selectExpr("id", "1 as account", "if(id % 2 = 0, 'deposit', 'withdraw') as kind", "if(id % 2 = 0, 3.0D, 2.0D) as amount")
+    out = st.ledger(df, "account", ["id"], "kind", "amount", limit=500)
+    assert out.count() == 20000 and seen[0] == 0 and seen[1] < 100
+    assert out.where("not accepted").count() == 0 and out.agg(F.max("balance")).first()[0] == 10001.0 + 1
