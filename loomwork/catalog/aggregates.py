@@ -2,19 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.catalog.registry import query
+from loomwork.catalog.registry import numbered_sql, query, rollup_sql
 from loomwork.catalog.joins import PARAMS, order_params
 from loomwork.operators import aggregates as a
 from loomwork.operators.hot import collect_ordered
 
 
-@query("token_rollup", """
-    select l_orderkey, 0::bigint as part_no, count(*) as n_rows,
-           string_agg(distinct l_shipmode, ',' order by l_shipmode) as l_shipmode,
-           string_agg(l_linestatus, ',' order by l_linestatus) as l_linestatus,
-           string_agg(distinct l_returnflag, ',' order by l_returnflag) as l_returnflag
-    from (select *, cast(l_partkey as varchar) as l_shipmode from lineitem) group by l_orderkey""".replace(
-        "l_shipmode", "part_key"))
+@query("token_rollup", rollup_sql("select *, cast(l_partkey as varchar) as part_key from lineitem", "l_orderkey", {"part_key": True, "l_linestatus": False, "l_returnflag": True}))
 def token_rollup(t):
     rows = t.lineitem.select("l_orderkey", F.col("l_partkey").cast("string").alias("part_key"), "l_linestatus", "l_returnflag")
     return a.rollup_text(rows, ["l_orderkey"], {"part_key": True, "l_linestatus": False, "l_returnflag": True})
@@ -28,9 +22,7 @@ def count_distinct(t):
                           F.countDistinct(F.when(F.col("l_returnflag") != "R", F.col("l_orderkey"))).alias("other_tokens"))
 
 
-@query("collect_list_set", """
-    select o_custkey, 0::bigint as part_no, count(*) as n_rows, string_agg(o_orderstatus, ',' order by o_orderstatus) as o_orderstatus,
-           string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as o_orderpriority from orders group by o_custkey""")
+@query("collect_list_set", rollup_sql("select * from orders", "o_custkey", {"o_orderstatus": False, "o_orderpriority": True}))
 def collect_list_set(t):
     return a.rollup_text(t.orders, ["o_custkey"], {"o_orderstatus": False, "o_orderpriority": True})
 
@@ -85,18 +77,16 @@ def group_by_bucket(t):
     return grouped.select("k.stock", "k.kind", "n", "pieces")
 
 
-@query("string_agg", """
-    select r_name, 0::bigint as part_no, string_agg(n_name, ', ' order by n_name) as nations
-    from nation join region on n_regionkey = r_regionkey group by r_name""")
+@query("string_agg", "select r_name, part_no, string_agg(n_name, ', ' order by n_name) as nations from "
+       + numbered_sql("nation join region on n_regionkey = r_regionkey", "r_name", "n_name") + " group by r_name, part_no")
 def string_agg(t):
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return (collect_ordered(rows, ["r_name"], ["n_name"], F.col("n_name"))
             .select("r_name", "part_no", F.array_join("items", ", ").alias("nations")))
 
 
-@query("group_members", """
-    select upper(p_name[1]) as letter, 0::bigint as part_no, count(*) as n, string_agg(p_name, ',' order by p_partkey) as members
-    from part group by upper(p_name[1])""")
+@query("group_members", "select letter, part_no, count(*) as n, string_agg(p_name, ',' order by p_partkey) as members from "
+       + numbered_sql("(select *, upper(p_name[1]) as letter from part)", "letter", "p_partkey") + " group by letter, part_no")
 def group_members(t):
     rows = t.part.select(F.upper(F.substring("p_name", 1, 1)).alias("letter"), "p_partkey", "p_name")
     return (collect_ordered(rows, ["letter"], ["p_partkey"], F.col("p_name"))
@@ -143,9 +133,8 @@ def split_outcomes(t):
                                                  F.countDistinct("reason").alias("reasons"))
 
 
-@query("errors_by_kind", """
-    select cast(json_extract_string(props, '$.k') as int) // 10 as kind, 0::bigint as part_no, count(*) as n,
-           string_agg(event_id, ',' order by event_id) as events from events where event_type = 'error' group by 1""")
+@query("errors_by_kind", "select kind, part_no, count(*) as n, string_agg(event_id, ',' order by event_id) as events from "
+       + numbered_sql("(select *, cast(json_extract_string(props, '$.k') as int) // 10 as kind from events where event_type = 'error')", "kind", "event_id") + " group by kind, part_no")
 def errors_by_kind(t):
     kind = F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int")
     rows = t.events.where("event_type = 'error'").select(kind.alias("kind"), "event_id")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.catalog.registry import query
+from loomwork.catalog.registry import numbered_sql, query
 from loomwork.functions import collections as x
 from loomwork.operators.hot import collect_ordered
 
@@ -86,7 +86,8 @@ def array_zip(t):
 
 @query("transpose", """
     with l as (select vec_id, generate_subscripts(embedding, 1) - 1 as col, unnest(embedding) as cell from embeddings)
-    select cast(col as int) as col, 0::bigint as part_no, string_agg(cast(cast(round(cell::double * 10000) as bigint) as varchar), ',' order by vec_id) as items from l group by col""")
+    select cast(col as int) as col, part_no, string_agg(cast(cast(round(cell::double * 10000) as bigint) as varchar), ',' order by vec_id) as items from """
+       + numbered_sql("l", "col", "vec_id") + " group by col, part_no")
 def transpose(t):
     got = x.transpose(t.embeddings, "vec_id", "embedding")
     scaled = F.transform("items", lambda v: F.round(v.cast("double") * 10000).cast("bigint").cast("string"))
@@ -94,8 +95,8 @@ def transpose(t):
 
 
 @query("map_transform", """
-    select r_name, 0::bigint as part_no, string_agg(lower(n_name) || '=' || (n_nationkey * 2), ',' order by lower(n_name)) filter (where n_nationkey > 3) as doubled
-    from nation join region on n_regionkey = r_regionkey group by r_name""")
+    select r_name, part_no, coalesce(string_agg(lower(n_name) || '=' || (n_nationkey * 2), ',' order by lower(n_name)) filter (where n_nationkey > 3), '') as doubled from """
+       + numbered_sql("nation join region on n_regionkey = r_regionkey", "r_name", "n_name") + " group by r_name, part_no")
 def map_transform(t):
     rows = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
     maps = collect_ordered(rows, ["r_name"], ["n_name"], F.struct("n_name", "n_nationkey"))

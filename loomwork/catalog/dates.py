@@ -15,11 +15,10 @@ CALENDAR_SQL = """
     num as (select *, sum(is_open::int) over (order by day) as open_no from cal)"""
 
 
-def order_calendar(t):
-    """The calendar that covers the order dates and half a year after them."""
-    low, high = t.orders.agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
-    low, high = low - datetime.timedelta(31), high + datetime.timedelta(183)
-    return d.calendar(t.spark, low, high, [datetime.date(y, m, day) for y in range(low.year, high.year + 1) for m, day in CLOSED_DAYS])
+def closed_days(t):
+    """The days that are closed in each year of the order dates and the one before and after."""
+    low, high = t.orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    return [datetime.date(y, m, day) for y in range((low or 1) - 1, (high or 0) + 2) if 1 <= y <= 9999 for m, day in CLOSED_DAYS]
 
 
 @query("add_days", """
@@ -69,16 +68,14 @@ def weekday_shift(t):
     join num e on e.is_open and e.open_no = s.open_no + case o_orderstatus when 'O' then 14 when 'P' then 3 else 10 end""")
 def add_working_days(t):
     n = F.when(c("o_orderstatus") == "O", 14).when(c("o_orderstatus") == "P", 3).otherwise(10)
-    return d.add_working_days(t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus"), c("o_orderdate").cast("date"), n,
-                              order_calendar(t), "due").select("o_orderkey", "due")
+    return t.orders.select("o_orderkey", d.working_day_after(c("o_orderdate").cast("date"), n, closed_days(t)).alias("due"))
 
 
 @query("next_open_day", "with" + CALENDAR_SQL + """,
     nxt as (select day, min(case when is_open then day end) over (order by day rows between 1 following and unbounded following) as next_day from num)
     select o_orderkey, next_day from orders join nxt on cast(o_orderdate as date) = day""")
 def next_open_day(t):
-    return d.next_open_day(t.orders.select("o_orderkey", "o_orderdate"), c("o_orderdate").cast("date"), order_calendar(t),
-                           "next_day").select("o_orderkey", "next_day")
+    return t.orders.select("o_orderkey", d.open_day_after(c("o_orderdate").cast("date"), closed_days(t)).alias("next_day"))
 
 
 @query("reshape_date", "select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as day from orders")

@@ -184,7 +184,10 @@ def answers_wide(texts):
 
     from loomwork.operators.hot import collect_ordered
     lists = collect_ordered(texts.where("flag = 'Y'"), ["product", "svr"], ["answer_id"], F.col("answer_text"))
-    text = F.array_join("items", ";")
-    return lists.where("part_no = 0").groupBy("product").agg(
-        F.max(F.when(F.col("svr") == "Premium", text)).alias("answer_premium"),
-        F.max(F.when(F.col("svr") == "Advanced", text)).alias("answer_advanced"))
+    part = F.struct("part_no", F.array_join("items", ";").alias("text"))
+
+    def joined(kind):
+        own = F.sort_array(F.collect_list(F.when(F.col("svr") == kind, part)))
+        return F.when(F.size(own) > 0, F.array_join(own["text"], ";"))
+
+    return lists.groupBy("product").agg(joined("Premium").alias("answer_premium"), joined("Advanced").alias("answer_advanced"))

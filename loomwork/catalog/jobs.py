@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomwork.catalog.derived import duck, frame
-from loomwork.catalog.registry import query
+from loomwork.catalog.registry import query, rollup_sql
 from loomwork.plans import eligibility as el
 from loomwork.plans import order_check as oc
 from loomwork.plans import token_analysis as ta
@@ -11,24 +11,23 @@ from loomwork.plans import token_analysis as ta
 c = F.col
 RUN_TS = "2024-05-23 08:00:00"
 
-ROLLED = """
-    select tokenid, 0::bigint as part_no, count(*) as cnt, {more} string_agg(distinct nad_key, ',' order by nad_key) as new_key,
-           string_agg(status, ',' order by status) as status, string_agg(distinct createtype, ',' order by createtype) as createtype
-    from token_base where createtype {op} 'R' group by tokenid"""
+def rolled(op: str, **more: str) -> str:
+    lists = {"nad_key": True, "status": False, "createtype": True}
+    return (f"select * rename (nad_key as new_key, n_rows as cnt) from ({rollup_sql(f'select * from token_base where createtype {op} {chr(39)}R{chr(39)}', 'tokenid', lists, more)})")
 
 
 def token_tables(t):
     return frame(t, "token_base"), frame(t, "repository"), frame(t, "address_list")
 
 
-@query("token_analysis", "with " + duck("token_base", "repository", "address_list") + ", a as (" + ROLLED.format(more="", op="<>") + """)
+@query("token_analysis", "with " + duck("token_base", "repository", "address_list") + ", a as (" + rolled("<>") + """)
     select a.*, cir_key, tr_sub_premise_key, case when c.nad_key is not null then 'Y' else 'N' end as in_baabp from a
     left join (select * from repository where cir_type = 'O') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key""")
 def token_analysis(t):
     return ta.token_analysis(*token_tables(t), kind="R", source="O")
 
 
-@query("token_analysis_uprn", "with " + duck("token_base", "repository", "address_list") + ", a as (" + ROLLED.format(more="max(uprn) as uprn,", op="=") + """)
+@query("token_analysis_uprn", "with " + duck("token_base", "repository", "address_list") + ", a as (" + rolled("=", uprn="max(uprn)") + """)
     select a.*, cir_key, tr_sub_premise_key, case when c.nad_key is not null then 'Y' else 'N' end as in_baabp, d.nad_key as baabp_key from a
     left join (select * from repository where cir_type = 'O') b on a.tokenid = b.cir_key left join address_list c on tr_sub_premise_key = c.nad_key
     left join address_list d on a.uprn = d.uprn""")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.catalog.registry import query
+from loomwork.catalog.registry import numbered_sql, query
 from loomwork.operators import joins as j
 from loomwork.operators.hot import collect_ordered
 
@@ -137,10 +137,11 @@ def scalar_subquery(t):
     return t.lineitem.where(F.col("l_extendedprice") > top.scalar()).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("peer_concat", """
-    select l_orderkey, l_returnflag, 0::bigint as part_no,
-           string_agg(l_linestatus || l_linenumber, ';' order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) as peers
-    from lineitem group by l_orderkey, l_returnflag""")
+PEERS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate"
+
+
+@query("peer_concat", f"select l_orderkey, l_returnflag, part_no, string_agg(l_linestatus || l_linenumber, ';' order by {PEERS}) as peers from "
+       + numbered_sql("lineitem", "l_orderkey, l_returnflag", PEERS) + " group by l_orderkey, l_returnflag, part_no")
 def peer_concat(t):
     text = F.concat("l_linestatus", F.col("l_linenumber").cast("string"))
     lists = collect_ordered(t.lineitem, ["l_orderkey", "l_returnflag"],

@@ -1,5 +1,7 @@
 """Window operators."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from loomwork.catalog.registry import query
@@ -14,6 +16,11 @@ def user_events(t):
     return t.events.select("user_id", "ts", "event_id", "event_type", "value")
 
 
+def exact_events(t):
+    """Values as decimals: their sums are exact in any order, whatever the way of summing."""
+    return user_events(t).withColumn("value", F.col("value").cast("decimal(18,6)"))
+
+
 @query("keep_first", """
     select l_suppkey, l_orderkey, l_partkey, l_linenumber, l_quantity from lineitem
     qualify row_number() over (partition by l_suppkey order by l_orderkey, l_partkey, l_linenumber, l_quantity) = 1""")
@@ -34,8 +41,8 @@ def dense_rank_keys(t):
 @query("running_total", """
     select user_id, event_id, round(sum(value) over (partition by user_id order by ts, event_id), 4) as total from events""")
 def running_total(t):
-    return (running_sum(user_events(t), USER, TIME, "value", "total")
-            .select("user_id", "event_id", F.round("total", 4).alias("total")))
+    return (running_sum(exact_events(t), USER, TIME, "value", "total")
+            .select("user_id", "event_id", F.round(F.col("total").cast("double"), 4).alias("total")))
 
 
 @query("sliding_items", """
@@ -51,7 +58,7 @@ def sliding_items(t):
     select user_id, event_id, value from (select *, sum(value) over (partition by user_id order by ts, event_id) - value as before
     from events) where before <= 150.005""")
 def take_until_sum(t):
-    return w.take_until(user_events(t), USER, TIME, "value", 150.005).select("user_id", "event_id", "value")
+    return w.take_until(exact_events(t), USER, TIME, "value", Decimal("150.005")).select("user_id", "event_id", F.col("value").cast("double").alias("value"))
 
 
 @query("last_n", """

@@ -58,7 +58,7 @@ def map_text(value: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
 
 
-def transpose(df: DataFrame, row: str, cells: str, per_row: int = 100_000) -> DataFrame:
+def transpose(df: DataFrame, row: str, cells: str, per_row: int | None = None) -> DataFrame:
     """Columns of a matrix whose rows are arrays: ``(col, part_no, items)`` in row order."""
     long = df.select(row, F.posexplode(cells).alias("col", "cell"))
     return collect_ordered(long, ["col"], [row], F.col("cell"), per_row)

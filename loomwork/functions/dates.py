@@ -1,13 +1,15 @@
-"""Dates: text styles, weekday rules and working-day calendars."""
+"""Dates: text styles, weekday rules and working days."""
 
 from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwork.operators.bins import edges_up_to
+
 # Date text styles by number, as Spark patterns.
 STYLES = {
     14: "HH:mm:ss",
@@ -65,31 +67,36 @@ def calendar_days(first: datetime.date, last: datetime.date, holidays: Iterable[
     return rows
 
 
-def calendar(spark: SparkSession, first: datetime.date, last: datetime.date,
-             holidays: Iterable[datetime.date] = ()) -> DataFrame:
-    """One row per day: ``day, is_open, open_no, next_open_day``.
+def _weekday_no(day: datetime.date) -> int:
+    """Mondays to Fridays up to and including the day, counted from Monday, 1969-12-29."""
+    at = day.toordinal() - datetime.date(1969, 12, 29).toordinal()
+    return at // 7 * 5 + min(at % 7 + 1, 5)
 
-    Open days are Monday to Friday without the holidays; ``open_no`` counts the
-    open days up to and including the day. One row per day of the range, so the
-    table is small whatever the data size; a range of over 200 years is an error.
-    """
-    return spark.createDataFrame(calendar_days(first, last, holidays), "day date, is_open boolean, open_no bigint, next_open_day date")
 
+def working_day_after(day: Column, n: Column | int, holidays: Iterable[datetime.date] = ()) -> Column:
+    """The open day ``n`` open days after ``day`` (n = 0: the last one up to it). Open days are Monday to Friday without the holidays.
 
-def add_working_days(df: DataFrame, day: Column, n: Column | int, days: DataFrame, name: str) -> DataFrame:
-    """The open day ``n`` open days after ``day``; the calendar has to reach that far."""
-    start = F.broadcast(days.select(F.col("day").alias("__from"), F.col("open_no").alias("__no")))
-    end = F.broadcast(days.where("is_open").select(F.col("open_no").alias("__to"), F.col("day").alias(name)))
+    Arithmetic on weeks, with the holidays as a sorted list that is searched: there is no calendar to join and no range to leave. Null gives null.
+    """
     n = n if isinstance(n, Column) else F.lit(n)
-    out = df.withColumn("__day", day).withColumn("__n", n).join(start, F.col("__day") == F.col("__from"), "left")
-    return (out.join(end, F.col("__no") + F.col("__n") == F.col("__to"), "left")
-            .drop("__day", "__n", "__from", "__no", "__to"))
-
-
-def next_open_day(df: DataFrame, day: Column, days: DataFrame, name: str) -> DataFrame:
+    closed = sorted({h for h in holidays if h.weekday() < 5})
+    number = F.unix_date(day)
+    at = number + 3  # from a Monday
+    open_no = F.floor(at / 7) * 5 + F.least(F.pmod(at, F.lit(7)) + 1, F.lit(5)) + n
+    if closed:
+        epoch = datetime.date(1970, 1, 1).toordinal()
+        dates = F.expr("array(" + ", ".join(str(h.toordinal() - epoch) for h in closed) + ")")
+        # a holiday is passed if the open days before it do not reach the wanted one
+        before = F.expr("array(" + ", ".join(str(_weekday_no(h) - k) for k, h in enumerate(closed, 1)) + ")")
+        wanted = open_no - edges_up_to(number, dates, len(closed))
+        open_no = wanted + edges_up_to(wanted - 1, before, len(closed))
+    at = F.floor((open_no - 1) / 5) * 7 + F.pmod(open_no - 1, F.lit(5))
+    return F.date_from_unix_date((at - 3).cast("int"))
+
+
+def open_day_after(day: Column, holidays: Iterable[datetime.date] = ()) -> Column:
     """The first open day after ``day``."""
-    side = F.broadcast(days.select(F.col("day").alias("__from"), F.col("next_open_day").alias(name)))
-    return df.withColumn("__day", day).join(side, F.col("__day") == F.col("__from"), "left").drop("__day", "__from")
+    return working_day_after(day, 1, holidays)
 
 
 def from_time_id(value: Column, epoch_ms: int = 1288834974657) -> Column:

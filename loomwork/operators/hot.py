@@ -209,11 +209,12 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], make, b
 
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                    per_row: int = LIST_ROWS) -> DataFrame:
+                    per_row: int | None = None) -> DataFrame:
     """Group members as arrays in ``order``: ``(key..., part_no, items)``.
 
     Members ``per_row * p + 1`` to ``per_row * (p + 1)`` of a key are part p, for every key alike, so no row grows with its group.
     """
+    per_row = per_row or LIST_ROWS
     names = [_name(o) for o in order]
     rows = df.select(*keys, *[c for c in names if c not in keys], value.alias("__v"))
     rows = numbered(rows, keys, order, "__rn")
@@ -224,7 +225,7 @@ def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 
 def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], more: Sequence[Column] = (),
-                   per_row: int = LIST_ROWS) -> DataFrame:
+                   per_row: int | None = None) -> DataFrame:
     """Several sorted lists per key in one pass: ``(key..., part_no, n_rows, <more>..., <column>...)``.
 
     ``lists`` maps a text column to True for a set, False for a list that keeps
@@ -232,7 +233,7 @@ def collect_values(df: DataFrame, keys: Sequence[str], lists: dict[str, bool], m
     key; ``more`` adds aggregates of it. Members ``per_row * p + 1`` to ``per_row * (p + 1)`` of each list are part p, for every key
     alike; a key has as many parts as its longest list needs. (Keys of at most ``per_row`` rows need one; they are collected directly.)
     """
-    keys = list(keys)
+    per_row, keys = per_row or LIST_ROWS, list(keys)
     count = F.count(F.lit(1)).alias("n_rows")
     hot = crowded(df, keys, per_row)
     plain, heavy = (df, None) if hot is None else hot.split(df, keys)

@@ -35,7 +35,10 @@ def sliding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
 
 
 def take_until(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limit) -> DataFrame:
-    """Rows as long as the sum of the rows *before* them is at most ``limit``."""
+    """Rows as long as the sum of the rows *before* them is at most ``limit``.
+
+    Sums of decimals and whole numbers are exact. Sums of doubles depend on how the rows are dealt, and with them, near the limit, the rows.
+    """
     rows = running_sum(df, keys, order, value, "total")
     return rows.where(F.col("total") - F.col(value) <= limit)
 

@@ -97,14 +97,33 @@ def test_sections(spark):
 
 
 def test_working_days(spark):
-    days = dates.calendar(spark, datetime.date(2024, 5, 20), datetime.date(2024, 6, 20), [datetime.date(2024, 5, 27)])
+    closed = [datetime.date(2024, 5, 27)]
     df = spark.createDataFrame([(datetime.date(2024, 5, 23),), (datetime.date(2024, 5, 25),)], "d date")
-    got = dates.add_working_days(df, F.col("d"), 2, days, "due")
+    got = df.withColumn("due", dates.working_day_after(F.col("d"), 2, closed))
     assert rows(got) == [(datetime.date(2024, 5, 23), datetime.date(2024, 5, 28)), (datetime.date(2024, 5, 25), datetime.date(2024, 5, 29))]
-    got = dates.next_open_day(df, F.col("d"), days, "n")
+    got = df.withColumn("n", dates.open_day_after(F.col("d"), closed))
     assert rows(got) == [(datetime.date(2024, 5, 23), datetime.date(2024, 5, 24)), (datetime.date(2024, 5, 25), datetime.date(2024, 5, 28))]
 
 
+@pytest.mark.parametrize("gap", [3, 11, 400])
+def test_working_days_of_any_date(spark, gap):
+    """Against a walk over the days; holidays in a row, on weekends, given twice; dates before 1970 and far ahead."""
+    day, one_day = datetime.date, datetime.timedelta(1)
+    bases = [day(1901, 3, 1), day(1969, 12, 20), day(2024, 2, 20), day(9990, 1, 1)]
+    closed = {b + one_day * k for b in bases for k in range(0, 120, gap)} | {bases[2] + one_day * k for k in range(40, 52)}
+
+    def walk(at, n):
+        while n > 0 or at.weekday() > 4 or at in closed:
+            at, n = (at + one_day, n - (1 if (at + one_day).weekday() < 5 and at + one_day not in closed else 0)) if n > 0 else (at - one_day, 0)
+        return at
+
+    days = [b + one_day * k for b in bases for k in range(30, 100)]
+    df = spark.createDataFrame([(d, n) for d in days for n in (0, 1, 2, 14)] + [(None, 3)], "d date, n int")
+    got = df.select("d", "n", dates.working_day_after(F.col("d"), F.col("n"), [*closed, *closed])).collect()
+    for d, n, due in got:
+        assert due == (None if d is None else walk(d, n)), (d, n)
+
+
 @pytest.mark.parametrize("day, survey, commitment", [
     ("2024-05-25", "28-05-2024", "27-05-2024"), ("2024-05-26", "28-05-2024", "27-05-2024"), ("2024-05-23", "27-05-2024", "24-05-2024"),
     ("2024-05-24", "28-05-2024", "27-05-2024")])
