@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from loomwork.catalog.registry import query
 from loomwork.operators import changes as ch
+from loomwork.session import fresh_path
+from loomwork.sources import versions
 
 
 @query("upsert", """
@@ -122,3 +124,20 @@ def command_feed(t):
         F.concat("event_type", F.col("event_id").cast("string")).alias("email")).where("act is not null")
     base = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"))
     return ch.apply_commands(base, feed, "id", "act", "email", ["ts", "event_id"])
+
+
+@query("partition_changes", """
+    with o as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(year(o_orderdate) as int) as o_year from orders)
+    select o_orderkey, o_custkey, o_orderstatus, case when o_year >= 1997 and o_orderstatus = 'P' then round(o_totalprice + 100, 2) else o_totalprice end as o_totalprice, o_year
+    from o where not (o_year >= 1997 and o_orderstatus = 'F')
+    union all select -o_orderkey, o_custkey, 'N', o_totalprice, 1900 from o where o_totalprice < 5000""")
+def partition_changes(t):
+    """Orders by year; one change set updates, deletes and inserts, and writes only the years that it touches."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("o_year"))
+    path = fresh_path(t.spark, "orders-by-year")
+    versions.create_partitioned(orders, path, "o_year")
+    late = orders.where("o_year >= 1997 and o_orderstatus in ('P', 'F')").withColumn("gone", F.col("o_orderstatus") == "F")
+    late = late.withColumn("o_totalprice", F.round(F.col("o_totalprice") + 100, 2))
+    added = orders.where("o_totalprice < 5000").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N"), "o_year": F.lit(1900), "gone": F.lit(False)})
+    versions.change_partitioned(late.unionByName(added), path, "o_year", ["o_year", "o_orderkey"], "gone")
+    return versions.read_version(t.spark, path, orders.schema)

@@ -1,9 +1,6 @@
 """Functions in SQL text, chained steps, user functions and bound parameters."""
 
-import math
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwork.catalog.registry import query
@@ -49,27 +46,11 @@ def sql_scalar_function(t):
 @query("user_aggregate", """
     select o_custkey, round(exp(sum(ln(o_totalprice)) / count(*)), 3) as geometric_mean from orders where o_totalprice > 0 group by o_custkey""")
 def user_aggregate(t):
-    """A user's aggregate as start, step and end: partial states per task, merged per key."""
-    def start():
-        return (0, 0.0)
-
-    def step(state, row):
-        return (state[0] + 1, state[1] + math.log(row[1]))
-
-    def partial(batches):
-        states = {}
-        for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                states[row[0]] = step(states.get(row[0], start()), row)
-                if len(states) >= 50_000:  # as a hash aggregate does: give out what there is and go on
-                    yield pa.RecordBatch.from_arrays([pa.array(list(states)), *map(pa.array, zip(*states.values()))], ["key", "n", "total"])
-                    states = {}
-        if states:
-            yield pa.RecordBatch.from_arrays([pa.array(list(states)), *map(pa.array, zip(*states.values()))], ["key", "n", "total"])
+    """A user's aggregate as a function of columns: its state is made of built-in aggregates, so Spark combines it before the shuffle."""
+    def geometric_mean(value):
+        return F.exp(F.avg(F.ln(value)))
 
-    parts = t.orders.where("o_totalprice > 0").select("o_custkey", "o_totalprice").mapInArrow(partial, "key long, n long, total double")
-    return (parts.groupBy(F.col("key").alias("o_custkey")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-            .select("o_custkey", F.round(F.exp(F.col("total") / F.col("n")), 3).alias("geometric_mean")))
+    return t.orders.where("o_totalprice > 0").groupBy("o_custkey").agg(F.round(geometric_mean("o_totalprice"), 3).alias("geometric_mean"))
 
 
 @query("bound_params", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and c_acctbal > 1000")
