@@ -28,14 +28,16 @@ from loomwork.llm import vectors
 from loomwork.llm.common import written
 from loomwork.llm.simhash import components
 
-BLOCK_ROWS = 4096
-BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 16384
+BLOCK_BYTES = 8 << 20
 LEAF_ROWS = 64
 #: Leading principal dimensions, and vectors that they are fitted on (their choice changes the speed, never the result).
 DIMS = 16
 FIT_ROWS = 4096
 #: Range partitions of the sorted sequence at most.
 PARTITIONS = 20_000
+#: Copies of a block at most that are sent to spread its pairs over tasks.
+MOST_SALTS = 16
 #: Boxes are widened by this much, many times the rounding error of a unit vector.
 SLACK = 1e-9
 
@@ -217,7 +219,8 @@ def near_blocks(boxes: DataFrame, dims: int, eps2: float, bits: int, step: int =
     """
     levels = max(1, -(-bits // step))
     edges = [c for d in range(dims + 1) for c in (F.min(f"l{d}").alias(f"l{d}"), F.max(f"h{d}").alias(f"h{d}"))]
-    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    # the whole sequence (not as a literal: the joins below shall stay joins on equal numbers)
+    pairs = boxes.select(F.shiftright("at", step * levels).alias("a")).distinct().select("a", F.col("a").alias("b"))
     for level in range(levels - 1, -1, -1):
         part = boxes.groupBy(F.shiftright("at", step * level).alias("i")).agg(*edges) if level else boxes.withColumnRenamed("at", "i")
         part = part.withColumn("of", F.shiftright("i", step))
@@ -288,7 +291,7 @@ def near_vectors(table: DataFrame, least: float = 0.95, id_col: str = "vec_id",
 
     kind = rows.schema["v"].dataType.simpleString()
     placed = points.select("node", "copies", "v").mapInArrow(_cells(basis, dims, eps2 ** 0.5), f"node long, copies long, v {kind}, cell array<int>, place array<double>")
-    parts = max(1, min(PARTITIONS, -(-n // (4 * block_rows))))
+    parts = max(1, min(PARTITIONS, -(-n // (2 * block_rows))))
     order = [F.size("v"), "cell", "place", "node"]
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     blocks = written(ordered.select("node", "copies", "v", "place").mapInArrow(
@@ -303,10 +306,14 @@ def near_vectors(table: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     edges += [F.col(c)[d].alias(f"{c[0]}{d + 1}") for d in range(dims) for c in ("low", "high")]
     pairs = written(near_blocks(blocks.select("at", *edges), dims, eps2, int(last[0] or 0).bit_length() + inner), "block-pairs")
 
-    # a task takes a few pairs of blocks; each pair is a row with both blocks in it
-    tasks = max(1, min(pairs.count(), max(3 * spark.sparkContext.defaultParallelism, pairs.count() // 16)))
+    # a pair is a row with both blocks in it. The first block of each pair travels once, the second once for each of its salts; few blocks get several, so that all cores work
+    n_blocks, cores = max(blocks.count(), 1), spark.sparkContext.defaultParallelism
+    salts = max(1, min(MOST_SALTS, -(-3 * cores // n_blocks)))
+    tasks = max(1, min(PARTITIONS, n_blocks * salts))
     a, b = (blocks.select(F.col("at").alias(k), *([F.col("size")] if k == "a" else []), *[F.col(c).alias(f"{c}_{k}") for c in ("data", "nodes", "copies")]) for k in "ab")
-    found = written(pairs.join(a, "a").join(b, "b").repartition(tasks).mapInArrow(_linked(basis, dims, least), "u long, v long, n long"), "vector-links")
+    a = pairs.join(a, "a").withColumn("salt", F.pmod("a", F.lit(salts)).cast("int")).repartition(tasks, "b", "salt")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(tasks, "b", "salt")
+    found = written(a.join(b, ["b", "salt"]).mapInArrow(_linked(basis, dims, least), "u long, v long, n long"), "vector-links")
 
     counts = found.where("n is not null").groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("n"))
     roots = components(found.where("v is not null").select("u", "v"))
