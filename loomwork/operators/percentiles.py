@@ -34,7 +34,7 @@ def _rank(n: Column, share: float, cont: bool) -> tuple[Column, Column, Column]:
 
 def _narrowed(values: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     """``g, r, value``: the value with each wanted rank ``r`` (from 0) of group ``g``; values: ``g, v``."""
-    spark, found = values.sparkSession, []
+    found = []
     # a target keeps the group and rank it was asked for
     targets = targets.select("g", F.col("g").alias("g0"), F.col("r").alias("r0"), "r", F.lit(None).cast("long").alias("size"))
     while True:
