@@ -12,7 +12,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import slices
@@ -58,11 +59,35 @@ def normalised(col):
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts, one row a key; an absent cache is empty."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], CACHE_SCHEMA)
     # two jobs that ran side by side may both have stored a text; their counts are equal
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def content_digest(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def add_misses(docs: DataFrame, tokenizer: Tokenizer, cache: str, text_col: str = "text") -> None:
+    """Encode the distinct texts of ``docs`` that have no stored count, and append their counts to the cache."""
+    known = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == tokenizer.version).select("content").distinct()
+    # one row a text and task before the shuffle: a text that fills a third of the table stays small. The texts are then dealt by digest already,
+    # so they travel once, and the hash join spares their sort
+    texts = docs.select(normalised(F.col(text_col)).alias("text")).groupBy(content_digest(F.col("text")).alias("content")).agg(F.first("text").alias("text"))
+    misses = texts.join(known.hint("shuffle_hash"), "content", "left_anti")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = tokenizer.counter()
+        for batch in slices(batches, "text"):
+            n = count(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([tokenizer.version] * len(n), pa.string()), pa.array(n, pa.int64())],
+                                             ["content", "tokenizer", "n_tokens"])
+
+    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = None, id_col: str = "doc_id",
@@ -77,19 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = None
     cache = cache or fresh_path(spark, "token-cache")
     text = normalised(F.col(text_col))
     # the digests are taken anew for the second read: cheaper than writing them
-    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("content"))
-    known = read_cache(spark, cache).where(F.col("tokenizer") == tokenizer.version).select("content").distinct()
-    # one row a text and task before the shuffle: a text that fills a third of the table stays small
-    misses = (docs.select(text.alias("text")).withColumn("content", F.sha2(F.encode("text", "UTF-8"), 256))
-              .join(known, "content", "left_anti").groupBy("content").agg(F.first("text").alias("text")))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = tokenizer.counter()
-        for batch in slices(batches, "text"):
-            n = count(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([tokenizer.version] * len(n), pa.string()), pa.array(n, pa.int64())],
-                                             ["content", "tokenizer", "n_tokens"])
-
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("content"))
+    add_misses(docs, tokenizer, cache, text_col)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == tokenizer.version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(stored, "content").select(id_col, "n_bytes", "n_tokens", "content")

@@ -1,9 +1,10 @@
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from llm.conftest import EDGES, frame, same
-from loomwork.llm.token_counts import Tokenizer, count_tokens, read_cache
+from loomwork.llm.token_counts import Tokenizer, add_misses, count_tokens, read_cache
 from loomwork.session import fresh_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +33,19 @@ def test_the_cache_grows_by_distinct_misses_only(spark):
     assert read_cache(spark, cache).count() == 9
 
 
+def test_a_stored_count_is_used_and_not_made_again(spark):
+    """A count that no tokenizer would give comes from the cache; the query's second append holds the misses of the first alone."""
+    cache, tokenizer = fresh_path(spark, "cache"), Tokenizer(PATH)
+    add_misses(frame(spark, [(1, "known text"), (2, "known text"), (3, None)]), tokenizer, cache)
+    assert read_cache(spark, cache).count() == 2
+    fake = fresh_path(spark, "cache")
+    read_cache(spark, cache).withColumn("n_tokens", F.lit(777).cast("long")).write.parquet(fake)
+    got = count_tokens(frame(spark, [(1, "known text"), (2, None), (3, "other"), (3, "other")]), tokenizer, fake).select("doc_id", "n_tokens").collect()
+    library = Library.from_file(PATH)
+    assert same(got, [(1, 777), (2, 777), *[(3, len(library.encode("other", add_special_tokens=False).ids))] * 2])
+    assert read_cache(spark, fake).count() == 3
+
+
 def test_an_empty_table(spark):
     assert count_tokens(frame(spark, []), Tokenizer(PATH)).count() == 0
 
