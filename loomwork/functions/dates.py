@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomwork.operators.bins import edges_up_to
+from loomwork.operators.bins import whole_up_to
 
 # Date text styles by number, as Spark patterns.
 STYLES = {
@@ -85,13 +85,15 @@ def working_day_after(day: Column, n: Column | int, holidays: Iterable[datetime.
     open_no = F.floor(at / 7) * 5 + F.least(F.pmod(at, F.lit(7)) + 1, F.lit(5)) + n
     if closed:
         epoch = datetime.date(1970, 1, 1).toordinal()
-        dates = F.expr("array(" + ", ".join(str(h.toordinal() - epoch) for h in closed) + ")")
         # a holiday is passed if the open days before it do not reach the wanted one
-        before = F.expr("array(" + ", ".join(str(_weekday_no(h) - k) for k, h in enumerate(closed, 1)) + ")")
-        wanted = open_no - edges_up_to(number, dates, len(closed))
-        open_no = wanted + edges_up_to(wanted - 1, before, len(closed))
-    at = F.floor((open_no - 1) / 5) * 7 + F.pmod(open_no - 1, F.lit(5))
-    return F.date_from_unix_date((at - 3).cast("int"))
+        before = [_weekday_no(h) - k for k, h in enumerate(closed, 1)]
+        wanted = open_no - whole_up_to(number, [h.toordinal() - epoch for h in closed])
+        # (an array of one, so that what is used several times is computed once)
+        open_no = F.transform(F.array(wanted), lambda w: w + whole_up_to(w - 1, before))
+    else:
+        open_no = F.array(open_no)
+    place = F.transform(open_no, lambda o: F.floor((o - 1) / 5) * 7 + F.pmod(o - 1, F.lit(5)) - 3)
+    return F.date_from_unix_date(F.get(place, 0).cast("int"))
 
 
 def open_day_after(day: Column, holidays: Iterable[datetime.date] = ()) -> Column:
