@@ -11,6 +11,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def left_lookup(df: DataFrame, facts: DataFrame, keys: Sequence[str], ident: Sequence[str]) -> DataFrame:
+    """``df`` left-joined to ``facts`` on the columns ``keys`` of both, where many rows of ``df`` may have no key or the same one.
+
+    A plain left join deals all rows without a key to one task. Here a hash is one more join column: of the key, or where a part of the key is null (such a row
+    matches nothing) of the columns ``ident``, which tell the rows apart. It also gives grouped facts a shuffle of their own, so that
+    adaptive execution may split a frequent key.
+    """
+    for k in keys:
+        kind = df.schema[k].dataType
+        if kind != facts.schema[k].dataType or isinstance(kind, T.FractionalType):
+            raise ValueError(f"{k} has to be of one type on both sides, and no fraction, so that equal keys have equal hashes")
+    key = F.xxhash64(*keys)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    dealt = df.withColumn("__deal", F.when(whole, key).otherwise(F.xxhash64(*ident)))
+    return dealt.join(facts.withColumn("__deal", key), [*keys, "__deal"], "left").drop("__deal")
 
 
 def flag_present(df: DataFrame, other: DataFrame, key: str, other_key: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwork.operators.aggregates import to_wide
 from loomwork.operators.changes import odometer
 from loomwork.operators.hot import numbered
+from loomwork.operators.joins import left_lookup
 from loomwork.plans.rules import Rule, first_rule
 from loomwork.sources.tables import staged
 
@@ -80,10 +81,11 @@ def gather_facts(requests: DataFrame, units: DataFrame, ports: DataFrame, addres
                  order_params: DataFrame, switch_on: bool) -> DataFrame:
     """Requests with everything the rules look at, one row each.
 
-    Every side is reduced to one row per key before it is joined.
+    Every side is reduced to one row per key before it is joined. Many requests have no serial or open order; they are dealt by what tells requests apart.
     """
+    ident = ["order_number", "request_ts", "service_id"]
     by_reference = units.groupBy("reference").agg(F.max("serial").alias("__serial"))
-    out = requests.join(by_reference, "reference", "left")
+    out = left_lookup(requests, by_reference, ["reference"], ident)
     out = out.withColumn("serial", F.coalesce(F.nullif("serial", F.lit("")), F.col("__serial"))).drop("__serial")
     working = F.col("status") == "W"
     port_facts = ports.groupBy("serial").agg(
@@ -96,9 +98,9 @@ def gather_facts(requests: DataFrame, units: DataFrame, ports: DataFrame, addres
                  .agg(F.max("value").alias("behaviour")))
     known = order_params.select(F.col("order_number").cast("string").alias("inflight")).distinct().withColumn("__known", F.lit(True))
     place = addresses.groupBy("address_key").agg(F.max("exchange").alias("exchange"))
-    out = (out.join(port_facts, "serial", "left").join(unit_facts, "serial", "left")
-           .join(place, "address_key", "left").join(exchange, "exchange", "left")
-           .join(behaviour, "order_number", "left").join(known, "inflight", "left"))
+    out = left_lookup(left_lookup(out, port_facts, ["serial"], ident), unit_facts, ["serial"], ident)
+    out = out.join(place, "address_key", "left").join(exchange, "exchange", "left").join(behaviour, "order_number", "left")
+    out = left_lookup(out, known, ["inflight"], ident)
     out = out.na.fill(0, ["ports", "working", "voice"])
     model = F.col("ONTmodel")
     if switch_on:
