@@ -19,12 +19,15 @@ from loomwork.functions.structured import without_note
 from loomwork.functions.text import queue_head
 from loomwork.operators.aggregates import to_wide
 from loomwork.operators.hot import numbered
-from loomwork.operators.joins import bundle_values, with_fallback
+from loomwork.operators.joins import bundle_values, left_lookup, with_fallback
 from loomwork.plans import delay_rules as dr
 from loomwork.plans.eligibility import area_valid
 from loomwork.plans.rules import apply_rules, bind, names_in
 from loomwork.sources.tables import staged
 
+# What tells requests apart; those without a linked order, a reference or a bundle are dealt by it.
+IDENT = ["request_id", "order_number"]
+
 # Attribute name -> column, for everything the job reads about the order itself.
 OWN = {
     "ProductName": "product", "SIM2Marker": "own_marker", "GeSSLoggingRef": "own_ref", "LinkedOrderReference": "link_ref",
@@ -92,9 +95,9 @@ def context(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_
     out = out.withColumn("marker", F.when(family, F.coalesce("own_marker", F.lit("N"))).otherwise("N"))
     link = F.when(p == dr.WLR, F.col("smpf_ref")).otherwise(F.col("link_ref"))
     out = out.withColumn("lorn", F.when(family & (F.col("marker") == "Y"), F.nullif(link, F.lit(""))))
-    links = linked_orders(params)
-    out = out.join(links, (p == links["ask"]) & (F.col("lorn") == links["link"]), "left").drop("ask", "link")
-    out = out.join(other, "order2", "left")
+    links = linked_orders(params).withColumnsRenamed({"ask": "product", "link": "lorn"})
+    out = left_lookup(out, links, ["product", "lorn"], IDENT)
+    out = left_lookup(out, other, ["order2"], IDENT)
     out = out.withColumn("ref", F.coalesce("ref2", "own_ref"))
     # the pending table is keyed by reference, the second source by order and reference
     first_own = pending_wide(pending, ["key"], "a_", ["SubType", "SIM2PCPOnly", "LastDelayNoteCode"]).withColumnRenamed("key", "own_ref")
@@ -103,8 +106,8 @@ def context(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_
                               ["SubType", "SIM2PCPOnly", "LastDelayNoteCode"]).withColumnRenamed("ref", "own_ref")
     second_ref = (pending_wide(pending_by_order, ["order_number", "ref"], "d_", PENDING[1:])
                   .withColumnRenamed("order_number", "order2"))
-    out = (out.join(first_own, "own_ref", "left").join(first_ref, "ref", "left")
-           .join(second_own, ["order_number", "own_ref"], "left").join(second_ref, ["order2", "ref"], "left"))
+    out = left_lookup(left_lookup(out, first_own, ["own_ref"], IDENT), first_ref, ["ref"], IDENT)
+    out = left_lookup(out.join(second_own, ["order_number", "own_ref"], "left"), second_ref, ["order2", "ref"], IDENT)
 
     def mine(name):
         return with_fallback(F.col(f"a_{name}"), F.col(f"c_{name}"))
@@ -135,7 +138,7 @@ def _slots(rows: DataFrame, params: DataFrame) -> DataFrame:
     names = {"Arrivalslot": ("arrival_slot", "own_slot"), "RingAhead": ("ring_ahead", "own_ring"), "TaskClosureReason": ("closure", "own_closure")}
     found = bundle_values(params, "order_number", "name", "value", "BundleId", list(names))
     found = found.withColumnsRenamed({n: f"__{n}" for n in names})
-    out = rows.join(found, "bundle", "left")
+    out = left_lookup(rows, found, ["bundle"], IDENT)
     # one entry state for all three: the bundle is asked when the order has no slot of its own
     mine = {n: F.when(reads, F.coalesce(own, F.lit(""))).otherwise("") for n, (_, own) in names.items()}
     ask = (p == dr.MPF) & (mine["Arrivalslot"] == "") & (F.coalesce("bundle", F.lit("")) != "")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators.joins import left_lookup
+from loomwork.plans import delay_details as dd
 from loomwork.plans.order_check import gather_facts
 
 
@@ -54,3 +55,13 @@ def test_requests_without_an_open_order_are_dealt_out(spark, plain_plans):
     facts = gather_facts(requests, units, ports, addresses, exchanges, params, False)
     assert facts.count() == 400 and facts.where("has_open_order").count() == 0
     assert most_in_a_task(facts) < 200
+
+
+def test_requests_without_a_linked_order_are_dealt_out(spark, plain_plans):
+    requests = spark.createDataFrame([(n, f"O{n}", "565 - Delay") for n in range(400)], "request_id long, order_number string, reason string")
+    params = spark.createDataFrame([("X1", "ProductName", "SBS")], "order_number string, name string, value string")
+    pending = spark.createDataFrame([("G1", "SubType", "Provide")], "key string, name string, value string")
+    by_order = spark.createDataFrame([("X1", "G1", "SubType", "Provide")], "order_number string, ref string, name string, value string")
+    rows = dd._slots(dd.context(requests, params, pending, by_order), params)
+    assert rows.count() == 400
+    assert most_in_a_task(rows) < 200
