@@ -30,14 +30,23 @@ LAST = datetime.datetime(8000, 1, 1)
 ROW = [T.StructField("micros", T.LongType()), T.StructField("ident", T.LongType()), T.StructField("value", T.DoubleType())]
 
 
+#: What a key holds back, column by column in one value, and when its timer is set. (A list state would pass every row to the state store by itself.)
+HELD = T.StructType([T.StructField("timer", T.LongType()), *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in ROW]])
+
+_Out = Row("key", "micros", "ident", "value", "late")
+
+
 class InOrder(StatefulProcessor):
-    """Rows are (key, micros, ident, value). ``take`` gets those that are due, in order, and yields results; ``due_at`` says when it must be called again."""
+    """Rows are (key, micros, ident, value). ``take`` gets those that are due, in order, and yields results; ``due_at``, asked after it, says when it must be called again.
+
+    Every call of the state store is a message to the JVM, so state is read once, written only where it changes, and the key's one timer is known from it.
+    """
 
     output = T.StructType([T.StructField("key", T.LongType()), *ROW, T.StructField("late", T.BooleanType())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType(ROW))
+        self.waiting = handle.getValueState("waiting", HELD)
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -50,37 +59,54 @@ class InOrder(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mark, held = timerValues.getCurrentWatermarkInMs() * 1000, [tuple(r) for r in self.waiting.get()]
-        for r in rows:
-            if r["micros"] < mark:
-                yield Row(key=key[0], micros=r["micros"], ident=r["ident"], value=r["value"], late=True)
+        mark, was = timerValues.getCurrentWatermarkInMs() * 1000, self.waiting.get()
+        held = self._rows(was)
+        for _, micros, ident, value in rows:
+            if micros < mark:
+                yield _Out(key[0], micros, ident, value, True)
             else:
-                held.append((r["micros"], r["ident"], r["value"]))
-        yield from self._release(key, held, mark)
+                held.append((micros, ident, value))
+        yield from self._release(key, held, mark, was, was[0] if was else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._release(key, [tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs() * 1000)
+        was = self.waiting.get()
+        # Spark takes the expired timer away itself
+        yield from self._release(key, self._rows(was), timerValues.getCurrentWatermarkInMs() * 1000, was, None)
+
+    @staticmethod
+    def _rows(was) -> list[tuple]:
+        return list(zip(*was[1:])) if was else []
 
-    def _release(self, key, held: list[tuple], mark: int) -> Iterator[Row]:
+    def _release(self, key, held: list[tuple], mark: int, was, timer: int | None) -> Iterator[Row]:
         due = sorted(r for r in held if r[0] < mark)
-        rest = [r for r in held if r[0] >= mark]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        rest = [r for r in held if r[0] >= mark] if due else held
         for micros, ident, value in self.take(due, mark):
-            yield Row(key=key[0], micros=micros, ident=ident, value=value, late=False)
+            yield _Out(key[0], micros, ident, value, False)
         # one timer: when the next row is due, or the state has something to do
         times = [t for t in (min((r[0] for r in rest), default=None), self.due_at()) if t is not None]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if times:
-            # the first millisecond at which the time has passed
-            self.handle.registerTimer(min(times) // 1000 + 1)
+        # the first millisecond at which the time has passed
+        at = min(times) // 1000 + 1 if times else None
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if at is not None:
+            self.waiting.update((at, *(map(list, zip(*rest)) if rest else ([], [], []))))
+        elif was is not None:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def keep(state, was, now) -> None:
+        """Set a value state to ``now``, or end it (None); nothing is sent if it stays as it ``was``."""
+        if now is None and was is not None:
+            state.clear()
+        elif now is not None and now != was:
+            state.update(now)
+
 
 class Debounce(InOrder):
     """Rows after which the key is quiet for at least ``gap_us``."""
@@ -92,7 +118,8 @@ class Debounce(InOrder):
         self.last = handle.getValueState("last", T.StructType(ROW))
 
     def take(self, rows, mark):
-        last = tuple(self.last.get()) if self.last.exists() else None
+        was = self.last.get()
+        last = was = was and tuple(was)
         for r in rows:
             if last is not None and r[0] - last[0] >= self.gap_us:
                 yield last
@@ -100,13 +127,11 @@ class Debounce(InOrder):
         if last is not None and last[0] + self.gap_us <= mark:
             yield last
             last = None
-        if last is None:
-            self.last.clear()
-        else:
-            self.last.update(last)
+        self.keep(self.last, was, last)
+        self.due = None if last is None else last[0] + self.gap_us
 
     def due_at(self):
-        return tuple(self.last.get())[0] + self.gap_us if self.last.exists() else None
+        return self.due
 
 
 class Quota(InOrder):
@@ -119,19 +144,20 @@ class Quota(InOrder):
         self.count = handle.getValueState("count", T.StructType([T.StructField("window", T.LongType()), T.StructField("n", T.LongType())]))
 
     def take(self, rows, mark):
-        window, n = tuple(self.count.get()) if self.count.exists() else (None, 0)
+        was = self.count.get()
+        was = was and tuple(was)
+        window, n = was or (None, 0)
         for r in rows:
             at = r[0] // self.window_us
             window, n = at, (n if at == window else 0) + 1
             if n <= self.quota:
                 yield r
-        if window is None or (window + 1) * self.window_us <= mark:
-            self.count.clear()
-        else:
-            self.count.update((window, n))
+        ended = window is None or (window + 1) * self.window_us <= mark
+        self.keep(self.count, was, None if ended else (window, n))
+        self.due = None if ended else (window + 1) * self.window_us
 
     def due_at(self):
-        return (tuple(self.count.get())[0] + 1) * self.window_us if self.count.exists() else None
+        return self.due
 
 
 class Spaced(InOrder):
@@ -144,18 +170,19 @@ class Spaced(InOrder):
         self.last = handle.getValueState("last", T.StructType([T.StructField("micros", T.LongType())]))
 
     def take(self, rows, mark):
-        last = tuple(self.last.get())[0] if self.last.exists() else None
+        was = self.last.get()
+        was = was and tuple(was)
+        last = was[0] if was else None
         for r in rows:
             if last is None or r[0] - last >= self.gap_us:
                 last = r[0]
                 yield r
-        if last is None or last + self.gap_us <= mark:
-            self.last.clear()
-        else:
-            self.last.update((last,))
+        ended = last is None or last + self.gap_us <= mark
+        self.keep(self.last, was, None if ended else (last,))
+        self.due = None if ended else last + self.gap_us
 
     def due_at(self):
-        return tuple(self.last.get())[0] + self.gap_us if self.last.exists() else None
+        return self.due
 
 
 class VisitTotal(InOrder):
@@ -168,18 +195,19 @@ class VisitTotal(InOrder):
         self.total = handle.getValueState("total", T.StructType([T.StructField("micros", T.LongType()), T.StructField("total", T.DoubleType())]))
 
     def take(self, rows, mark):
-        last, total = tuple(self.total.get()) if self.total.exists() else (None, 0.0)
+        was = self.total.get()
+        was = was and tuple(was)
+        last, total = was or (None, 0.0)
         for micros, ident, value in rows:
             total = (0.0 if last is None or micros - last >= self.idle_us else total) + (value or 0.0)
             last = micros
             yield micros, ident, total
-        if last is None or last + self.idle_us <= mark:
-            self.total.clear()
-        else:
-            self.total.update((last, total))
+        ended = last is None or last + self.idle_us <= mark
+        self.keep(self.total, was, None if ended else (last, total))
+        self.due = None if ended else last + self.idle_us
 
     def due_at(self):
-        return tuple(self.total.get())[0] + self.idle_us if self.total.exists() else None
+        return self.due
 
 
 def in_order(stream: DataFrame, key: str, ts: str, ident: str, value: Column, processor: InOrder, delay: str) -> DataFrame:

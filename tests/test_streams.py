@@ -191,3 +191,54 @@ def test_covered_slices_are_not_replayed(spark, monkeypatch):
     out = st.ledger(df, "account", ["id"], "kind", "amount", limit=500)
     assert out.count() == 20000 and seen[0] == 0 and seen[1] < 100
     assert out.where("not accepted").count() == 0 and out.agg(F.max("balance")).first()[0] == 10001.0 + 1
+
+
+class CountedState:
+    """A value state, and timers, that count the messages sent."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def _sent(self):
+        self.calls += 1
+
+    def get(self):
+        self._sent()
+        return self.value
+
+    def update(self, value):
+        self._sent()
+        self.value = value
+
+    def clear(self):
+        self._sent()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._sent()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._sent()
+        self.timers.remove(at)
+
+
+def test_a_key_is_held_back_with_few_messages():
+    """However many rows wait, they are one value, and the timer is known without asking for all timers."""
+    from types import SimpleNamespace
+    handle = CountedState()
+    states = {}
+    handle.getValueState = lambda name, schema: states.setdefault(name, CountedState())
+    mark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    sent = lambda: handle.calls + sum(s.calls for s in states.values())
+    processor = timed.Spaced(10_000)
+    processor.init(handle)
+    rows_in = [(7, n * 1000, n, None if n % 3 else 1.0) for n in range(5000)]
+    assert list(processor.handleInputRows((7,), iter(rows_in), mark(0))) == []
+    assert sent() <= 4 and handle.timers == {1}
+    out = list(processor.handleExpiredTimer((7,), mark(2500), None))
+    assert [r.ident for r in out] == list(range(0, 2500, 10)) and sent() <= 9
+    handle.timers.discard(1)  # as Spark does
+    out = list(processor.handleInputRows((7,), iter([(7, 1000, 9999, 0.0)]), mark(9_000_000)))
+    assert out[0].late and [r.ident for r in out[1:]] == list(range(2500, 5000, 10))
+    assert handle.timers == set() and all(s.value is None for s in states.values())
