@@ -29,6 +29,9 @@ def pipe_steps(t):
 
 @query("pandas_udf_map", "select doc_id, strip_accents(text) as plain from documents")
 def pandas_udf_map(t):
+    # ten thousand whole texts in a batch fill a Python worker, so batches are bounded in bytes
+    t.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+
     # no built-in takes the accents off letters
     @F.pandas_udf("string")
     def plain(text: pd.Series) -> pd.Series:
