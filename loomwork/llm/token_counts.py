@@ -3,13 +3,18 @@
 A count is stored under (content digest, tokenizer digest). Texts are joined to
 the stored counts by digest; only distinct texts without a stored count are
 encoded, and their counts are appended to the cache.
+
+Where the tokenizer's own rule says that no token crosses the gap between words, a
+Python worker gives each piece between two gaps to the library once and adds up.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -21,6 +26,48 @@ from loomwork.session import fresh_path
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 
+#: The byte-level rule ends a word before white space and does not look back, so a text may be cut before a space or line break that follows a visible character.
+GAP = re.compile(r"(?<=\S)(?=[ \n])")
+
+#: Pieces whose counts a Python worker keeps (some 150 bytes each), characters of a piece that is kept, and pieces encoded at a time.
+KEPT_PIECES = 1 << 19
+KEPT_CHARS = 64
+ENCODED_PIECES = 10_000
+
+Counter = Callable[[list[str]], list[int]]
+
+#: The counter that this process used last; Spark keeps its Python workers from task to task.
+_loaded: dict[str, Counter] = {}
+
+
+def _cut_at_gaps(file: dict) -> bool:
+    """Whether a tokenizer file counts the pieces between gaps as it counts the whole text."""
+    pre, model, post = (file.get(k) or {} for k in ("pre_tokenizer", "model", "post_processor"))
+    return (file.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+            and post.get("type", "ByteLevel") == "ByteLevel" and model.get("type") == "BPE" and not model.get("dropout")
+            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file.get("added_tokens") or []))
+
+
+def by_pieces(count: Counter) -> Counter:
+    """``count`` as a sum over the pieces between gaps; each piece is given to ``count`` once, as long as it is kept."""
+    known: dict[str, int] = {}
+
+    def total(texts: list[str]) -> list[int]:
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        pieces = [GAP.split(text) for text in texts]
+        new = list({p for text in pieces for p in text}.difference(known))
+        for at in range(0, len(new), ENCODED_PIECES):
+            part = new[at:at + ENCODED_PIECES]
+            known.update(zip(part, count(part), strict=True))
+        totals = [sum(map(known.__getitem__, text)) for text in pieces]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del known[p]
+        return totals
+
+    return total
+
 
 class Tokenizer:
     """A public tokenizer file: ``.json`` for the tokenizers library, ``.model`` for sentencepiece.
@@ -37,7 +84,13 @@ class Tokenizer:
         # the version: the vocabulary file and the options that change a count
         self.version = hashlib.sha256(self.kind.encode() + b"\0no-added-tokens\0" + self.data).hexdigest()
 
-    def counter(self):
+    def counter(self) -> Counter:
+        if self.version not in _loaded:
+            _loaded.clear()
+            _loaded[self.version] = self._load()
+        return _loaded[self.version]
+
+    def _load(self) -> Counter:
         if self.kind == ".json":
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer as Library
@@ -45,7 +98,11 @@ class Tokenizer:
             lib = Library.from_str(self.data.decode())
             lib.no_truncation()
             lib.no_padding()
-            return lambda texts: [len(e) for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+            def count(texts: list[str]) -> list[int]:
+                return [len(e) for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+            return by_pieces(count) if _cut_at_gaps(json.loads(self.data)) else count
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_proto=self.data)

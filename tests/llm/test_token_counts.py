@@ -1,10 +1,14 @@
+import json
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from llm.conftest import EDGES, frame, same
-from loomwork.llm.token_counts import Tokenizer, add_misses, count_tokens, read_cache
+from loomwork.llm import token_counts
+from loomwork.llm.token_counts import Tokenizer, add_misses, by_pieces, count_tokens, read_cache
 from loomwork.session import fresh_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,3 +57,43 @@ def test_an_empty_table(spark):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_pieces_between_gaps_add_up_to_the_whole_text(monkeypatch):
+    """Also around white space of all kinds, special strings, contractions, and when the kept pieces run over."""
+    library, rng = Library.from_file(PATH), random.Random(7)
+    parts = ["a", "Word", "é", "ß", "中文", "1", "½", "²", "'s", "'ll", "'", ".", "!!", "|", "<|endoftext|>", "<|endo", "e\u0301", "\u0301", "\ufffd", "\x00", "\U0001f600",
+             " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "x" * 80]
+    texts = ["", " ", "\n", *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(4000))]
+    want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert Tokenizer(PATH).counter()(texts) == want
+    monkeypatch.setattr(token_counts, "KEPT_PIECES", 50)
+    few = Tokenizer(PATH)._load()
+    assert [n for i in range(0, len(texts), 100) for n in few(texts[i:i + 100])] == want
+
+
+def test_a_piece_is_encoded_once():
+    seen = []
+
+    def count(pieces):
+        seen.extend(pieces)
+        return [len(p) for p in pieces]
+
+    counted, long = by_pieces(count), "y" * 100
+    assert counted(["ab cd ab", f"ab\ncd {long}", ""]) == [8, 106, 0]
+    assert counted([f"ab cd {long}"]) == [106]
+    assert sorted(seen) == sorted(["ab", " cd", " ab", "\ncd", "", f" {long}", f" {long}"])
+
+
+def test_the_counter_is_kept_from_task_to_task_and_cuts_only_where_the_rule_allows():
+    one, other = Tokenizer(PATH), Tokenizer(PATH)
+    assert one.counter() is other.counter()
+    file = json.loads(one.data)
+    assert token_counts._cut_at_gaps(file)
+    added = file["added_tokens"][0]
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None},
+                   {"added_tokens": [{**added, "content": "two words"}]}, {"added_tokens": [{**added, "lstrip": True}]}, {"model": {"type": "WordPiece"}}):
+        assert not token_counts._cut_at_gaps({**file, **change})
+    words = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["A b  c\n d", "", "two  words <|endoftext|>", "x" * 70]
+    assert Tokenizer(words).counter()(texts) == [len(e) for e in Library.from_file(words).encode_batch(texts, add_special_tokens=False)]
