@@ -5,7 +5,7 @@ the stored counts by digest; only distinct texts without a stored count are
 encoded, and their counts are appended to the cache.
 
 Where the tokenizer's own rule says that no token crosses the gap between words, a
-Python worker gives each piece between two gaps to the library once and adds up.
+Python worker gives a repeated piece between two gaps to the library once and adds up.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter as Tally
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -49,22 +51,21 @@ def _cut_at_gaps(file: dict) -> bool:
 
 
 def by_pieces(count: Counter) -> Counter:
-    """``count`` as a sum over the pieces between gaps; each piece is given to ``count`` once, as long as it is kept."""
+    """``count`` as a sum over the pieces between gaps: a piece met twice in a call is given to ``count`` once and kept, the other pieces of a text go to it together."""
     known: dict[str, int] = {}
 
     def total(texts: list[str]) -> list[int]:
         if len(known) > KEPT_PIECES:
             known.clear()
         pieces = [GAP.split(text) for text in texts]
-        new = list({p for text in pieces for p in text}.difference(known))
+        met = Tally(chain.from_iterable(pieces))
+        new = [p for p, n in met.items() if n > 1 and len(p) <= KEPT_CHARS and p not in known]
         for at in range(0, len(new), ENCODED_PIECES):
             part = new[at:at + ENCODED_PIECES]
             known.update(zip(part, count(part), strict=True))
-        totals = [sum(map(known.__getitem__, text)) for text in pieces]
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del known[p]
-        return totals
+        # the gaps between them stay: all pieces but a text's first begin with white space, all but its last end visibly
+        rest = count(["".join([p for p in text if p not in known]) for text in pieces])
+        return [n + sum([known[p] for p in text if p in known]) for n, text in zip(rest, pieces, strict=True)]
 
     return total
 

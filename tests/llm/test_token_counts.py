@@ -72,17 +72,19 @@ def test_pieces_between_gaps_add_up_to_the_whole_text(monkeypatch):
     assert [n for i in range(0, len(texts), 100) for n in few(texts[i:i + 100])] == want
 
 
-def test_a_piece_is_encoded_once():
+def test_a_repeated_piece_is_encoded_once_and_the_others_together():
     seen = []
 
     def count(pieces):
-        seen.extend(pieces)
+        seen.extend(p for p in pieces if p)
         return [len(p) for p in pieces]
 
     counted, long = by_pieces(count), "y" * 100
-    assert counted(["ab cd ab", f"ab\ncd {long}", ""]) == [8, 106, 0]
-    assert counted([f"ab cd {long}"]) == [106]
-    assert sorted(seen) == sorted(["ab", " cd", " ab", "\ncd", "", f" {long}", f" {long}"])
+    assert counted([f"ab ab cd {long} ab cd", f"ef\ncd {long}", ""]) == [115, 106, 0]
+    assert sorted(seen) == sorted([" ab", " cd", f"ab {long}", f"ef\ncd {long}"])
+    seen.clear()
+    assert counted(["ab cd ab", "gh cd"]) == [8, 5]
+    assert seen == ["ab", "gh"]
 
 
 def test_the_counter_is_kept_from_task_to_task_and_cuts_only_where_the_rule_allows():
