@@ -60,9 +60,11 @@ def odometer(n: Column, prefix: str, letters: str, number: int) -> Column:
     """The serial handed out after ``n`` earlier ones.
 
     Three digits run from 001 to 999, then two letters step from AA to ZZ, then
-    the two digits that end the eight-character prefix rise by one, written
-    without a leading zero. Where that has no meaning (past 99, or a second
-    step after a one-digit result) the row fails.
+    the two characters that end the prefix rise by one, written without a
+    leading zero. So a prefix that ends in 01 loses a character at its first
+    step (``..X01`` to ``..X2``), and the next one reads the digit before it
+    too (``..12`` to ``..113``). Where that has no meaning (past 99, or no
+    digit there) the row fails.
     """
     at = n + (number - 1)
     step = F.floor(at / 999) + (ord(letters[0]) - 65) * 26 + (ord(letters[1]) - 65)
@@ -72,9 +74,11 @@ def odometer(n: Column, prefix: str, letters: str, number: int) -> Column:
     text = F.concat(F.chr((F.floor(pair / 26) + 65)), F.chr((pair % 26 + 65)))
     carry = F.floor(step / 676)
     end = int(prefix[6:8])
-    most = 99 - end if end >= 9 else 1
+    # from the second step on a one-digit result is read with the digit before it
+    later = end + (10 * int(prefix[5]) if prefix[5] in "0123456789" else 99) if end < 9 else end
+    risen = F.when(carry <= 1, carry + end).otherwise(carry + later)
     head = F.when(carry == 0, F.lit(prefix)).when(
-        carry <= most, F.concat(F.lit(prefix[:6]), (carry + end).cast("string"))).otherwise(
+        risen <= 99, F.concat(F.lit(prefix[:6]), risen.cast("string"))).otherwise(
         F.raise_error(F.lit("serial numbers are used up")))
     return F.concat(head, text, digits)
 

@@ -148,6 +148,30 @@ def test_odometer_steps_like_the_counter(spark):
     assert [r.s for r in got.collect()] == want
 
 
+@pytest.mark.parametrize("prefix", ["ABCDE101", "ABCDE001", "ABCDE908", "ABCDE009", "ABCDE088"])
+def test_odometer_goes_on_after_a_one_digit_result(spark, prefix):
+    """The first and last serials of every prefix, against the counter: the last two characters as a number, plus one."""
+    pairs, head = 26 * 26 * 999, prefix
+    want = {}
+    for turn in range(100):
+        want |= {turn * pairs: head + "AA001", turn * pairs + pairs - 1: head + "ZZ999"}
+        if head[-2:] == "99":
+            break
+        head = head[:6] + str(int(head[-2:]) + 1)
+    got = spark.createDataFrame([(n,) for n in want], "n long").select("n", changes.odometer(F.col("n"), prefix, "AA", 1).alias("s"))
+    assert {r.n: r.s for r in got.collect()} == want and len(set(want.values())) == len(want)
+    with pytest.raises(Exception, match="used up"):
+        spark.createDataFrame([(max(want) + 1,)], "n long").select(changes.odometer(F.col("n"), prefix, "AA", 1)).collect()
+
+
+def test_odometer_fails_without_a_digit_to_read(spark):
+    pairs = 26 * 26 * 999
+    got = spark.range(2 * pairs - 1, 2 * pairs).select(changes.odometer(F.col("id"), "ABCDEF01", "AA", 1).alias("s")).collect()
+    assert got[0].s == "ABCDEF2ZZ999"
+    with pytest.raises(Exception, match="used up"):
+        spark.range(2 * pairs, 2 * pairs + 1).select(changes.odometer(F.col("id"), "ABCDEF01", "AA", 1)).collect()
+
+
 def test_odometer_fails_when_used_up(spark):
     with pytest.raises(Exception, match="used up"):
         spark.range(2).select(changes.odometer(F.col("id"), "ABCDEF99", "ZZ", 999)).collect()
