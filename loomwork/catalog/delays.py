@@ -14,6 +14,7 @@ from loomwork.plans.rules import apply_rules, steps_of
 c = F.col
 RUN = datetime.datetime(2024, 5, 23, 8, 0, 0)
 HOLIDAYS = [datetime.date(2024, 5, 27)]
+ORDERS_A_TASK = 50_000
 INPUT = ("delay_requests", "delay_params", "pending", "pending_by_order", "delay_rules", "delay_addresses", "exchange_params", "site_visit_texts")
 
 
@@ -142,7 +143,9 @@ def details_sql() -> str:
 
 
 def ready(t):
-    requests, params, pending, by_order, rules, addresses, exchanges, texts = (frame(t, n) for n in INPUT)
+    # an order has some thirty attributes, which are sorted by order before they meet
+    requests, params, pending, by_order, rules, addresses, exchanges, texts = (
+        frame(t, n, ORDERS_A_TASK if n in ("delay_params", "pending", "pending_by_order") else None) for n in INPUT)
     return dd.prepare_requests(requests, params, pending, by_order, rules, addresses, exchanges, answers_wide(texts))
 
 

@@ -71,8 +71,18 @@ def _put(text: str, names: dict[str, str]) -> str:
     return text
 
 
-def frame(t, name: str):
-    """The derived table as a DataFrame."""
+def _dealt(df, task_rows: int):
+    rows = df.count()
+    return df.repartition(-(-rows // task_rows)) if rows > task_rows else df
+
+
+def frame(t, name: str, task_rows: int | None = None):
+    """The derived table as a DataFrame; with ``task_rows``, made in tasks of about so many given rows.
+
+    A few bytes of a given table may make many rows, which sort in memory only in small parts.
+    """
     text = SQL[name]
     used = {x: getattr(t, x) for x in TABLES if "{" + x + "}" in text}
+    if task_rows:
+        used = {x: _dealt(df, task_rows) for x, df in used.items()}
     return t.spark.sql(text, **used)

@@ -64,8 +64,8 @@ def bundle_values(params: DataFrame, owner: str, name: str, value: str, bundle:
     """Per bundle, one non-empty value (the smallest) of each wanted attribute of any of its owners."""
     members = params.where(F.col(name) == bundle).select(owner, F.col(value).alias("bundle")).distinct()
     facts = params.where(F.col(name).isin(list(wanted)) & (F.col(value) != ""))
-    return (facts.join(members, owner).groupBy("bundle")
-            .agg(*[F.min(F.when(F.col(name) == w, F.col(value))).alias(w) for w in wanted]))
+    facts = facts.groupBy(owner).agg(*[F.min(F.when(F.col(name) == w, F.col(value))).alias(w) for w in wanted])  # one row per owner is shuffled
+    return facts.join(members, owner).groupBy("bundle").agg(*[F.min(w).alias(w) for w in wanted])
 
 
 def range_lookup(df: DataFrame, rules: DataFrame, on: Column, value: Column, low: str, high: str) -> DataFrame:

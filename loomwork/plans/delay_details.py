@@ -25,8 +25,8 @@ from loomwork.plans.eligibility import area_valid
 from loomwork.plans.rules import apply_rules, bind, names_in
 from loomwork.sources.tables import staged
 
-# What tells requests apart; those without a linked order, a reference or a bundle are dealt by it.
-IDENT = ["request_id", "order_number"]
+# What tells orders apart; those without a linked order, a reference or a bundle are dealt by it.
+IDENT = ["order_number"]
 
 # Attribute name -> column, for everything the job reads about the order itself.
 OWN = {
@@ -40,6 +40,8 @@ OWN = {
     "DelayRef9561": "ref_9561", "DelayRef588": "ref_588",
 }
 OTHER = {"GeSSLoggingRef": "ref2", "ProductName": "product2", "TargetLineServiceID": "target_line", "TargetAccessLineId": "target_access"}
+# What the links of an order to others are found by.
+KEYS = ("ProductName", "SIM2Marker", "GeSSLoggingRef", "LinkedOrderReference", "SMPFLinkOrdRef")
 PENDING = ("SubType", "SIM2PCPOnly", "ReappointmentReqd", "delayNoteCode", "LastDelayNoteCode", "KCI9652Notes")
 
 # Product -> (attribute with the link value, attributes of the other order, products of the other order).
@@ -85,20 +87,24 @@ def pending_wide(pending: DataFrame, keys: Sequence[str], prefix: str, names: Se
     return wide.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 
-def context(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_by_order: DataFrame) -> DataFrame:
-    """Requests with product, marker, linked order and the pending values of both orders."""
-    own = to_wide(params, "order_number", "name", "value", list(OWN)).withColumnsRenamed(OWN)
-    other = to_wide(params, "order_number", "name", "value", list(OTHER)).withColumnsRenamed({**OTHER, "order_number": "order2"})
+def _marked(rows: DataFrame) -> DataFrame:
+    """With ``marker`` and ``lorn``, the link value by which the other order is looked for."""
     p = F.col("product")
-    out = requests.join(own, "order_number", "left")
     family = p.isin(*LINKS)
-    out = out.withColumn("marker", F.when(family, F.coalesce("own_marker", F.lit("N"))).otherwise("N"))
+    rows = rows.withColumn("marker", F.when(family, F.coalesce("own_marker", F.lit("N"))).otherwise("N"))
     link = F.when(p == dr.WLR, F.col("smpf_ref")).otherwise(F.col("link_ref"))
-    out = out.withColumn("lorn", F.when(family & (F.col("marker") == "Y"), F.nullif(link, F.lit(""))))
+    return rows.withColumn("lorn", F.when(family & (F.col("marker") == "Y"), F.nullif(link, F.lit(""))))
+
+
+def order_facts(asked: DataFrame, params: DataFrame, pending: DataFrame, pending_by_order: DataFrame) -> DataFrame:
+    """Per order of ``asked`` (``order_number``) that has attributes: the linked order and the pending values of both, ``mine_`` and ``their_``.
+
+    Only keys go through the lookups, so that no shuffle moves the requests or the other attributes.
+    """
+    orders = to_wide(params, "order_number", "name", "value", list(KEYS)).withColumnsRenamed({k: OWN[k] for k in KEYS})
+    orders = _marked(orders.join(asked, "order_number", "left_semi"))
+    other = to_wide(params, "order_number", "name", "value", list(OTHER)).withColumnsRenamed({**OTHER, "order_number": "order2"})
     links = linked_orders(params).withColumnsRenamed({"ask": "product", "link": "lorn"})
-    out = left_lookup(out, links, ["product", "lorn"], IDENT)
-    out = left_lookup(out, other, ["order2"], IDENT)
-    out = out.withColumn("ref", F.coalesce("ref2", "own_ref"))
     # the pending table is keyed by reference, the second source by order and reference
     first_own = pending_wide(pending, ["key"], "a_", ["SubType", "SIM2PCPOnly", "LastDelayNoteCode"]).withColumnRenamed("key", "own_ref")
     first_ref = pending_wide(pending, ["key"], "b_", PENDING[1:]).withColumnRenamed("key", "ref")
@@ -106,14 +112,33 @@ def context(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_
                               ["SubType", "SIM2PCPOnly", "LastDelayNoteCode"]).withColumnRenamed("ref", "own_ref")
     second_ref = (pending_wide(pending_by_order, ["order_number", "ref"], "d_", PENDING[1:])
                   .withColumnRenamed("order_number", "order2"))
-    out = left_lookup(left_lookup(out, first_own, ["own_ref"], IDENT), first_ref, ["ref"], IDENT)
-    out = left_lookup(out.join(second_own, ["order_number", "own_ref"], "left"), second_ref, ["order2", "ref"], IDENT)
+    linked = orders.where("lorn is not null").select("order_number", "product", "lorn", "own_ref")
+    linked = left_lookup(linked, links, ["product", "lorn"], IDENT).where("order2 is not null").drop("product", "lorn")
+    linked = left_lookup(linked, other, ["order2"], IDENT).withColumn("ref", F.coalesce("ref2", "own_ref"))
+    linked = left_lookup(linked, second_ref, ["order2", "ref"], IDENT).drop("ref", "own_ref")
+    out = orders.select("order_number", "own_ref").join(linked, "order_number", "left")
+    out = out.withColumn("ref", F.coalesce("ref2", "own_ref")).drop("ref2")
+    out = left_lookup(out, first_own, ["own_ref"], IDENT).join(second_own, ["order_number", "own_ref"], "left")
+    out = out.select("order_number", "order2", "ref", *[c for c in other.columns if c not in ("order2", "ref2")], *[f"d_{n}" for n in PENDING[1:]], *[
+        with_fallback(F.col(f"a_{n}"), F.col(f"c_{n}")).alias(f"mine_{n}") for n in ("SubType", "SIM2PCPOnly", "LastDelayNoteCode")])
+    out = left_lookup(out, first_ref, ["ref"], IDENT)
+    return out.withColumns({f"their_{n}": with_fallback(F.col(f"b_{n}"), F.col(f"d_{n}")) for n in PENDING[1:]}).drop(
+        *[f"{x}_{n}" for x in "bd" for n in PENDING[1:]])
+
+
+def context(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_by_order: DataFrame) -> DataFrame:
+    """Requests with product, marker, linked order and the pending values of both orders."""
+    own = to_wide(params, "order_number", "name", "value", list(OWN)).withColumnsRenamed(OWN)
+    facts = order_facts(requests.select("order_number").distinct(), params, pending, pending_by_order)
+    p = F.col("product")
+    family = p.isin(*LINKS)
+    out = _marked(requests.join(own, "order_number", "left").join(facts, "order_number", "left"))
 
     def mine(name):
-        return with_fallback(F.col(f"a_{name}"), F.col(f"c_{name}"))
+        return F.col(f"mine_{name}")
 
     def theirs(name):
-        return with_fallback(F.col(f"b_{name}"), F.col(f"d_{name}"))
+        return F.col(f"their_{name}")
 
     known = F.coalesce("ref", F.lit("")) != ""
     return out.withColumns({
@@ -138,7 +163,11 @@ def _slots(rows: DataFrame, params: DataFrame) -> DataFrame:
     names = {"Arrivalslot": ("arrival_slot", "own_slot"), "RingAhead": ("ring_ahead", "own_ring"), "TaskClosureReason": ("closure", "own_closure")}
     found = bundle_values(params, "order_number", "name", "value", "BundleId", list(names))
     found = found.withColumnsRenamed({n: f"__{n}" for n in names})
-    out = left_lookup(rows, found, ["bundle"], IDENT)
+    # the bundles of the orders that ask are looked up, so that the rows stay where they are
+    asking = to_wide(params, "order_number", "name", "value", ["ProductName", "Arrivalslot", "BundleId"])
+    asking = asking.where((F.col("ProductName") == dr.MPF) & (F.coalesce("Arrivalslot", F.lit("")) == "") & (F.col("BundleId") != ""))
+    found = left_lookup(asking.select("order_number", F.col("BundleId").alias("bundle")), found, ["bundle"], IDENT).drop("bundle")
+    out = rows.join(found, "order_number", "left")
     # one entry state for all three: the bundle is asked when the order has no slot of its own
     mine = {n: F.when(reads, F.coalesce(own, F.lit(""))).otherwise("") for n, (_, own) in names.items()}
     ask = (p == dr.MPF) & (mine["Arrivalslot"] == "") & (F.coalesce("bundle", F.lit("")) != "")
@@ -160,33 +189,39 @@ def date_texts(run_ts: datetime.datetime, holidays: Sequence[datetime.date] = ()
     return texts | {"next_open": table[day][3].strftime("%d/%m/%Y"), "run_stamp": run_ts.strftime("%d/%m/%Y %H:%M:%S")}
 
 
-def _rules_joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule that holds for reason and release (the one with the highest lower bound), and the configured one."""
+def _rule_found(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Requests with ``__rule``, the key of the rule that holds for reason and release (the one with the highest lower bound)."""
     release = F.coalesce(F.substring("release", 2, 5).try_cast("int"), F.lit(99999))
-    fields = [c for c in rules.columns if c not in ("reason", "min_version", "max_version", "send_eaos", "delay_type")]
-    small = rules.select(F.col("reason").alias("__reason"), "min_version", "max_version", F.struct(*fields).alias("__fields"))
-    hits = (rows.select("request_id", "reason", release.alias("__release"))
+    small = rules.select(F.col("reason").alias("__reason"), "min_version", "max_version").distinct()
+    hits = (requests.select("request_id", "reason", release.alias("__release"))
             .join(small, (F.col("reason") == F.col("__reason")) & F.col("__release").between(F.col("min_version"), F.col("max_version")))
-            .groupBy("request_id").agg(F.max_by("__fields", "min_version").alias("__rule")))
+            .groupBy("request_id").agg(F.max_by(F.struct("reason", "min_version", "max_version"), "min_version").alias("__rule")))
+    return requests.join(hits, "request_id", "left")
+
+
+def _rules_joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The fields of the rule found, those of its reason, and the configured one."""
+    fields = [c for c in rules.columns if c not in ("reason", "min_version", "max_version", "send_eaos", "delay_type")]
+    held = rules.groupBy(F.struct("reason", "min_version", "max_version").alias("__at")).agg(F.max(F.struct(*fields)).alias("__fields"))
     by_reason = rules.groupBy(F.col("reason").alias("__r")).agg(
         F.max("send_eaos").alias("rule_eaos"), F.max("delay_type").alias("delay_type"))
     set_by = rules.groupBy(F.col("reason").alias("configured")).agg(
         F.max_by(F.struct(*[F.col(c).alias(f"cfg_{c}") for c in ("reappt", "amend_required", "confirmation", "consent")]), "min_version").alias("__cfg"))
-    out = (rows.join(hits, "request_id", "left").join(by_reason, F.col("reason") == F.col("__r"), "left")
+    out = (rows.join(held, F.col("__rule") == F.col("__at"), "left").join(by_reason, F.col("reason") == F.col("__r"), "left")
            .join(set_by, "configured", "left"))
     return out.select(
-        *[c for c in out.columns if c not in ("__rule", "__r", "__cfg")], F.col("__rule").isNotNull().alias("rule_found"),
-        F.col("__cfg").isNotNull().alias("cfg_found"), *[F.col(f"__rule.{c}").alias(f"rule_{c}") for c in fields],
+        *[c for c in out.columns if c not in ("__rule", "__at", "__fields", "__r", "__cfg")], F.col("__rule").isNotNull().alias("rule_found"),
+        F.col("__cfg").isNotNull().alias("cfg_found"), *[F.col(f"__fields.{c}").alias(f"rule_{c}") for c in fields],
         *[F.col(f"__cfg.cfg_{c}").alias(f"cfg_{c}") for c in ("reappt", "amend_required", "confirmation", "consent")])
 
 
 def prepare_requests(requests: DataFrame, params: DataFrame, pending: DataFrame, pending_by_order: DataFrame, rules: DataFrame,
                      addresses: DataFrame, exchange_params: DataFrame, answers: DataFrame, eaos_switch: bool = True) -> DataFrame:
     """Everything a rule can look at, one row per request; staged, because the branches share it."""
-    rows = _slots(context(requests, params, pending, pending_by_order), params)
-    rows = _rules_joined(rows, rules)
     scale = exchange_params.where("name = 'ScaleEnabled'").groupBy("exchange").agg(F.max("value").alias("exchange_scale"))
-    rows = rows.join(addresses, "address_key", "left").join(scale, "exchange", "left")
+    # while the rows are short: what needs no attribute of the order
+    rows = _rule_found(requests.join(addresses, "address_key", "left").join(scale, "exchange", "left"), rules)
+    rows = _rules_joined(_slots(context(rows, params, pending, pending_by_order), params), rules)
     rows = area_valid(rows, "address_scale", "exchange_scale", "network_notes", "fttp_stages", "area_ok")
     audit = (params.where(F.col("name").like("KSUDelay-%")).groupBy("order_number")
              .agg(F.when(F.bool_or(F.split("value", r"\|")[1].isin(*dr.OR_MISSED_CODES)), "Y").otherwise("N").alias("or_missed")))
@@ -229,10 +264,15 @@ def delay_details(ready: DataFrame, run_ts: datetime.datetime, holidays: Sequenc
     issued = numbered(issued, [], ["request_ts", "request_id", "branch"], "seq").select(
         "request_id", "branch", (F.col("seq") + first_sequence).alias("__seq"))
     issued = staged(issued, "delay_numbers")  # both halves of the union below read it
-    rows = (done.join(issued, ["request_id", "branch"], "left")
-            .withColumn("seq", F.coalesce("__seq", "seq")).drop("__seq"))
-    late = apply_rules(rows.where("branch = 'c'"), bind(dr.LATE, days))
-    return late.unionByName(rows.where("branch <> 'c'"))
+    # the late rules up to the first that looks at the number run before it is joined, so that what only they read is not shuffled
+    late = bind(dr.LATE, days)
+    at = next((i for i, step in enumerate(late) if "seq" in names_in([step])), len(late))
+
+    def with_numbers(rows: DataFrame) -> DataFrame:
+        return rows.join(issued, ["request_id", "branch"], "left").withColumn("seq", F.coalesce("__seq", "seq")).drop("__seq")
+
+    early = apply_rules(done.where("branch = 'c'"), late[:at])
+    return apply_rules(with_numbers(early), late[at:]).unionByName(with_numbers(done.where("branch <> 'c'")))
 
 
 def _branches(ready: DataFrame, days: dict[str, str]) -> list[DataFrame]:

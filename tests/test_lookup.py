@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators.joins import left_lookup
+from loomwork.catalog.derived import frame
+from loomwork.catalog.registry import Tables
+from loomwork.operators.joins import bundle_values, left_lookup
 from loomwork.plans import delay_details as dd
 from loomwork.plans.order_check import gather_facts
 
@@ -65,3 +67,64 @@ def test_requests_without_a_linked_order_are_dealt_out(spark, plain_plans):
     rows = dd._slots(dd.context(requests, params, pending, by_order), params)
     assert rows.count() == 400
     assert most_in_a_task(rows) < 200
+
+
+def shuffles_with(df, column):
+    """The shuffles of the plan that move ``column``."""
+    def walk(node):
+        kids = node.children()
+        own = node.nodeName() == "Exchange" and any(node.output().apply(i).name() == column for i in range(node.output().size()))
+        return own + sum(walk(kids.apply(i)) for i in range(kids.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def delay_tables(spark):
+    """Two linked orders, a bundle, an order without attributes, requests that come twice or name no order."""
+    requests = spark.createDataFrame(
+        [(1, "G1", "9775 - Visit"), (1, "G1", "9775 - Visit"), (2, "W1", "565 - Delay"), (3, "M1", "565 - Delay"), (4, "X9", "565 - Delay"), (5, None, "565 - Delay")],
+        "request_id long, order_number string, reason string")
+    values = {"G1": {"ProductName": dd.dr.GEA, "SIM2Marker": "Y", "GeSSLoggingRef": "RG", "LinkedOrderReference": "L"},
+              "W1": {"ProductName": dd.dr.WLR, "SIM2Marker": "Y", "GeSSLoggingRef": "RW", "LinkedOrderReference": "L", "SMPFLinkOrdRef": "L", "TargetLineServiceID": "T"},
+              "M1": {"ProductName": dd.dr.MPF, "BundleId": "B", "Arrivalslot": ""}, "M2": {"ProductName": "SBS", "BundleId": "B", "Arrivalslot": "PM", "RingAhead": "ring"}}
+    rows = [(o, n, v) for o, named in values.items() for n, v in named.items()] + [("G1", "SIM2Marker", "N"), (None, "ProductName", dd.dr.GEA)]
+    params = spark.createDataFrame(rows, "order_number string, name string, value string")
+    pending = spark.createDataFrame([("RG", "SubType", " "), ("RG", "SIM2PCPOnly", "Y"), ("RW", "delayNoteCode", "577"), ("RW", "SubType", "Provide")], "key string, name string, value string")
+    by_order = spark.createDataFrame([("G1", "RG", "SubType", "Migration"), ("W1", "RW", "ReappointmentReqd", "CP"), ("W1", "RG", "ReappointmentReqd", "no")],
+                                     "order_number string, ref string, name string, value string")
+    return requests, params, pending, by_order
+
+
+def test_orders_are_looked_up_by_their_keys(spark):
+    requests, params, pending, by_order = delay_tables(spark)
+    rows = dd._slots(dd.context(requests, params, pending, by_order), params)
+    got = {r.request_id: r for r in rows.collect()}
+    assert rows.count() == 6
+    g, w, m = got[1], got[2], got[3]
+    assert (g.order2, g.ref, g.product2, g.migrate, g.pcp_only, g.temp_code, g.mpf_reappt, g.target_dn) == ("W1", "RW", dd.dr.WLR, "Migration", "Y", "577", "CP", "Y")
+    assert (w.order2, w.ref, w.product2, w.migrate, w.target_dn) == ("G1", "RG", dd.dr.GEA, "Provide", "N")
+    assert (m.order2, m.arrival_slot, m.ring_ahead, m.closure) == (None, "PM", "ring", "")
+    for other in (got[4], got[5]):
+        assert (other.product, other.marker, other.order2, other.ref, other.migrate, other.pcp_only, other.arrival_slot) == (None, "N", None, None, "N", "N", "")
+
+
+def test_requests_are_shuffled_once_for_all_facts_of_their_order(spark, plain_plans):
+    """Each lookup shuffled the whole request with all attributes found so far: eight times."""
+    requests, params, pending, by_order = delay_tables(spark)
+    rows = dd._slots(dd.context(requests, params, pending, by_order), params)
+    assert shuffles_with(rows, "reason") == 1 and shuffles_with(rows, "placed") <= 1
+
+
+def test_bundle_values_shuffle_one_row_per_owner(spark, plain_plans):
+    params = spark.createDataFrame([("o1", "BundleId", "b"), ("o2", "BundleId", "b"), ("o1", "A", "2"), ("o1", "A", "3"), ("o2", "A", "1"), ("o2", "C", ""), ("o3", "A", "0")],
+                                   "order_number string, name string, value string")
+    found = bundle_values(params, "order_number", "name", "value", "BundleId", ["A", "C"])
+    assert [tuple(r) for r in found.collect()] == [("b", "1", None)]
+    assert shuffles_with(found, "value") == 0
+
+
+def test_derived_rows_are_made_in_small_tasks(spark, tmp_path):
+    spark.range(1000).selectExpr("id as o_orderkey", "id % 7 as o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    t = Tables(spark, str(tmp_path))
+    whole, dealt = frame(t, "pending"), frame(t, "pending", 50)
+    assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 20
+    assert sorted(whole.collect()) == sorted(dealt.collect())
